@@ -255,3 +255,63 @@ def q_pair_predictions(spark, d):
 def q_text_stats(spark, d):
     from ..operators.textstats import text_stats
     return text_stats(fx.pairs_docs(spark, d))
+
+
+# --- run logs
+
+_PER_EPOCH = (
+    "rb AS (SELECT run_id, epoch, val_loss, min(CASE WHEN isnan(val_loss) THEN NULL ELSE val_loss END) "
+    " OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before "
+    " FROM run_metrics), "
+    "imp AS (SELECT *, coalesce(NOT isnan(val_loss) AND val_loss < coalesce(best_before, 'inf'::DOUBLE), false) "
+    " AS improved FROM rb), "
+    "pe AS (SELECT *, CAST(epoch - coalesce(max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run_id "
+    " ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS INTEGER) AS patience_counter FROM imp)")
+
+
+def _runs_sql(select: str) -> str:
+    body = with_fixtures("SELECT 1", "run_metrics")
+    return f"{body[: body.rindex(chr(10) + 'SELECT 1')]},\n{_PER_EPOCH}\n{select}"
+
+
+@register("early_stop_epochs", _runs_sql(
+    "SELECT run_id, epoch, val_loss, best_before, improved, patience_counter FROM pe"))
+def q_early_stop_epochs(spark, d):
+    from ..operators.runlog import early_stop
+    return early_stop(fx.run_metrics(spark, d)).select(
+        "run_id", "epoch", "val_loss", "best_before", "improved", "patience_counter")
+
+
+@register("best_epoch_runs", _runs_sql(
+    "SELECT s.run_id, stop_epoch, stopped_early, "
+    "max(CASE WHEN improved AND epoch <= stop_epoch THEN epoch END) AS best_epoch, "
+    "arg_max(CASE WHEN improved AND epoch <= stop_epoch THEN val_loss END, "
+    "CASE WHEN improved AND epoch <= stop_epoch THEN epoch END) AS best_val_loss "
+    "FROM (SELECT run_id, coalesce(min(CASE WHEN patience_counter >= 3 THEN epoch END), max(epoch)) "
+    "AS stop_epoch, min(CASE WHEN patience_counter >= 3 THEN epoch END) IS NOT NULL AS stopped_early "
+    "FROM pe GROUP BY run_id) s JOIN pe USING (run_id) GROUP BY s.run_id, stop_epoch, stopped_early"))
+def q_best_epoch(spark, d):
+    from ..operators.runlog import run_summary
+    return run_summary(fx.run_metrics(spark, d))
+
+
+@register("cosine_lr_log", with_fixtures(
+    "SELECT run_id, epoch, val_loss, lr * 1000000 AS lr_micro FROM ("
+    " SELECT *, 0.0001 * 0.01 + (0.0001 - 0.0001 * 0.01) * "
+    " (1 + cos(pi() * epoch / max(epoch) OVER (PARTITION BY run_id))) / 2 AS lr FROM run_metrics)",
+    "run_metrics"))
+def q_cosine_lr(spark, d):
+    from ..operators.runlog import lr_log
+    # learning rates are ~1e-4: compared in micro-units so that 6-decimal
+    # rounding keeps their digits
+    return lr_log(fx.run_metrics(spark, d)).select(
+        "run_id", "epoch", "val_loss", (F.col("lr") * 1_000_000).alias("lr_micro"))
+
+
+@register("epoch_loss_runs", with_fixtures(
+    "SELECT run_id, coalesce(avg(batch_loss), 0.0) AS epoch_loss, count(*) AS n_batches, "
+    "round(coalesce(avg(batch_loss), 0.0), 4) AS epoch_loss_shown FROM batch_losses GROUP BY run_id",
+    "batch_losses"))
+def q_epoch_loss(spark, d):
+    from ..operators.runlog import epoch_loss
+    return epoch_loss(fx.batch_losses(spark, d))
