@@ -315,3 +315,161 @@ def q_cosine_lr(spark, d):
 def q_epoch_loss(spark, d):
     from ..operators.runlog import epoch_loss
     return epoch_loss(fx.batch_losses(spark, d))
+
+
+# --- tokenizer corpus and byte-level BPE
+
+from ..functions.text import BYTE_ALPHABET, SORTED_ALPHABET  # noqa: E402
+from .oracle_sql import PRETOKEN_DUCK_SQL  # noqa: E402
+
+_ALPHA_SQL = BYTE_ALPHABET.replace("'", "''")
+_SALPHA_SQL = SORTED_ALPHABET.replace("'", "''")
+
+
+def _duck_byte_char(p: str, i: str) -> str:
+    return (f"substr('{_ALPHA_SQL}', CAST(('0x' || substr(hex(encode({p})), 2 * {i} + 1, 2)) AS INTEGER) + 1, 1)")
+
+
+def _duck_symbols(p: str) -> str:
+    return (f"array_to_string(list_transform(range(0, octet_length(encode({p}))), "
+            f"lambda i: {_duck_byte_char(p, 'i')}), '')")
+
+
+def _duck_symbol_ids(p: str) -> str:
+    return (f"list_transform(range(0, octet_length(encode({p}))), "
+            f"lambda i: CAST(instr('{_SALPHA_SQL}', {_duck_byte_char(p, 'i')}) + 4 AS INTEGER))")
+
+
+_DOC_PRETOKENS = (f"SELECT unnest(regexp_extract_all(text, '{PRETOKEN_DUCK_SQL}')) AS pretoken FROM documents")
+
+
+@register("pretokens_conv", with_fixtures(
+    "SELECT pair_id, kind, CAST(pos AS INTEGER) AS pos, pretoken FROM conv_pretokens", "conv_pretokens"))
+def q_pretokens(spark, d):
+    return fx.conv_pretokens(spark, d)
+
+
+@register("byte_symbols_conv", with_fixtures(
+    f"SELECT DISTINCT pretoken, {_duck_symbols('pretoken')} AS symbols FROM conv_pretokens",
+    "conv_pretokens"))
+def q_byte_symbols(spark, d):
+    pt = fx.conv_pretokens(spark, d).select("pretoken").distinct()
+    return pt.select("pretoken", tx.byte_symbols("pretoken").alias("symbols"))
+
+
+@register("byte_roundtrip_docs",
+          "SELECT doc_id, text AS roundtrip FROM documents")
+def q_byte_roundtrip(spark, d):
+    docs = fx.table(spark, d, "documents")
+    return docs.select("doc_id", tx.byte_unsymbols(tx.byte_symbols("text")).alias("roundtrip"))
+
+
+@register("pretoken_counts_docs",
+          f"SELECT pretoken, count(*) AS n FROM ({_DOC_PRETOKENS}) GROUP BY pretoken")
+def q_pretoken_counts(spark, d):
+    from ..operators.corpus import pretoken_counts
+    docs = fx.table(spark, d, "documents").select(F.col("text").alias("value"))
+    return pretoken_counts(docs)
+
+
+@register("pair_counts_docs",
+          "WITH w AS (SELECT pretoken, count(*) AS n FROM (" + _DOC_PRETOKENS + ") GROUP BY pretoken), "
+          f"s AS (SELECT n, {_duck_symbol_ids('pretoken')} AS syms FROM w), "
+          "e AS (SELECT n, syms, unnest(range(1, len(syms))) AS i FROM s) "
+          "SELECT syms[i] AS l, syms[i + 1] AS r, CAST(sum(n) AS BIGINT) AS c FROM e GROUP BY 1, 2")
+def q_pair_counts(spark, d):
+    from ..operators.bpe import pair_counts, word_table
+    from ..operators.corpus import pretoken_counts
+    docs = fx.table(spark, d, "documents").select(F.col("text").alias("value"))
+    return pair_counts(word_table(pretoken_counts(docs)))
+
+
+def _docs_bpe(spark, d, vocab_size=300):
+    from ..operators.bpe import train_bpe
+    docs = fx.table(spark, d, "documents").select(F.col("text").alias("value"))
+    return train_bpe(docs, vocab_size=vocab_size)
+
+
+@register("bpe_merges_docs")
+def q_bpe_merges(spark, d):
+    """A4: merges learned on all documents (vocabulary 300)."""
+    return _docs_bpe(spark, d).merges_frame(spark)
+
+
+@register("bpe_vocab_docs")
+def q_bpe_vocab(spark, d):
+    """A5: specials, byte alphabet, merges."""
+    return _docs_bpe(spark, d).vocab_frame(spark)
+
+
+@register("bpe_encode_conv")
+def q_bpe_encode(spark, d):
+    """X4 + X10: pairs_conv texts encoded with the documents' BPE and
+    decoded back."""
+    from ..operators.encode import bpe_encode, decode_ids
+    model = _docs_bpe(spark, d)
+    enc = bpe_encode(fx.pairs_conv(spark, d).select("pair_id", "text"), model, "text")
+    return enc.select("pair_id", "ids", decode_ids("ids", model).alias("decoded"))
+
+
+# --- encoding, batching, next-token scorer
+
+@register("token_ids_conv", with_fixtures(
+    "SELECT pair_id, kind, CAST(pos AS INTEGER) AS pos, pretoken, id FROM tokens", "tokens"))
+def q_token_ids(spark, d):
+    return fx.conv_tokens(spark, d).select("pair_id", "kind", "pos", "pretoken", "id")
+
+
+@register("encoded_pairs_conv", with_fixtures(
+    "SELECT pair_id, src_ids[1:128] AS src, list_concat([0], tgt_ids[1:126], [2]) AS tgt FROM conv_encoded",
+    "conv_encoded"))
+def q_encoded_pairs(spark, d):
+    from ..operators.encode import encode_pairs
+    return encode_pairs(fx.conv_encoded(spark, d), max_len=128).select("pair_id", "src", "tgt")
+
+
+def _padded(spark, d):
+    from ..operators.encode import encode_pairs, padded_batches
+    return padded_batches(encode_pairs(fx.conv_encoded(spark, d), max_len=128), 32)
+
+
+@register("padded_batches_conv", with_fixtures("SELECT * FROM padded", "padded"))
+def q_padded(spark, d):
+    return _padded(spark, d)
+
+
+@register("next_token_table_conv", with_fixtures("SELECT * FROM next_token", "next_token"))
+def q_next_token(spark, d):
+    from ..operators.nexttoken import next_token_table
+    return next_token_table(_padded(spark, d), fx.conv_vocab_size(spark, d))
+
+
+_XENT_SQL = with_fixtures(
+    "SELECT batch_id, avg(-ln((coalesce(nt.n, 0) + 0.1) / (coalesce(t.total, 0) + 0.1 * "
+    "(SELECT 5 + count(DISTINCT pretoken) FROM conv_pretokens)))) AS batch_loss, count(*) AS n_tokens "
+    "FROM (SELECT batch_id, unnest(tgt_in) AS prev, unnest(tgt_out) AS next FROM padded) pos "
+    "LEFT JOIN next_token nt USING (prev, next) "
+    "LEFT JOIN (SELECT DISTINCT prev, total FROM next_token) t USING (prev) "
+    "WHERE pos.next <> 1 GROUP BY batch_id", "next_token")
+
+
+@register("token_cross_entropy_conv", _XENT_SQL)
+def q_xent(spark, d):
+    from ..operators.nexttoken import next_token_table, token_cross_entropy
+    v = fx.conv_vocab_size(spark, d)
+    b = _padded(spark, d)
+    return token_cross_entropy(b, next_token_table(b, v), v)
+
+
+_XENT_HEAD, _XENT_BODY = _XENT_SQL.rsplit("\nSELECT batch_id, avg(", 1)
+
+
+@register("epoch_loss_conv", _XENT_HEAD + "\nSELECT coalesce(avg(batch_loss), 0.0) AS epoch_loss, "
+          "count(*) AS n_batches FROM (SELECT batch_id, avg(" + _XENT_BODY + ")")
+def q_epoch_loss_conv(spark, d):
+    from ..operators.nexttoken import next_token_table, token_cross_entropy
+    v = fx.conv_vocab_size(spark, d)
+    b = _padded(spark, d)
+    per_batch = token_cross_entropy(b, next_token_table(b, v), v)
+    return per_batch.agg(F.coalesce(F.avg("batch_loss"), F.lit(0.0)).alias("epoch_loss"),
+                         F.count(F.lit(1)).alias("n_batches"))

@@ -119,3 +119,27 @@ def conv_pretokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("summary").alias("kind"), F.col("summary").alias("value")))).alias("s"))
     return sides.select("pair_id", "s.kind",
                         F.posexplode(pretokenize(F.col("s.value"))).alias("pos", "pretoken"))
+
+
+def conv_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tokens``: pre-tokens of pairs_conv with ids ``5 + dense rank`` of the
+    pre-token (J2 against a vocabulary built without a single-task window)."""
+    from ..operators.encode import dense_vocab, token_lookup
+    pt = conv_pretokens(spark, sf_dir)
+    vocab = dense_vocab(pt)
+    return token_lookup(pt, vocab)
+
+
+def conv_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per pair: ``src_ids`` (text) and ``tgt_ids`` (summary) in
+    pre-token order.  A group is one pair."""
+    t = conv_tokens(spark, sf_dir)
+    def ids(kind):
+        item = F.when(F.col("kind") == kind, F.struct("pos", "id"))
+        return F.transform(F.array_sort(F.collect_list(item)), lambda s: s["id"])
+    return t.groupBy("pair_id").agg(ids("text").alias("src_ids"), ids("summary").alias("tgt_ids"))
+
+
+def conv_vocab_size(spark: SparkSession, sf_dir: str) -> int:
+    """5 specials + distinct pre-tokens of pairs_conv."""
+    return 5 + conv_pretokens(spark, sf_dir).select("pretoken").distinct().count()

@@ -76,6 +76,48 @@ def word_count_duck(expr: str) -> str:
     return f"len(regexp_extract_all(coalesce({expr}, ''), '[^\\s\\x1c-\\x1f]+'))"
 
 
+PRETOKEN_DUCK_SQL = PRETOKEN_DUCK.replace("'", "''")
+
+CONV_PRETOKENS = f"""
+SELECT pair_id, kind, generate_subscripts(arr, 1) - 1 AS pos, unnest(arr) AS pretoken FROM (
+  SELECT pair_id, 'text' AS kind, regexp_extract_all(text, '{PRETOKEN_DUCK_SQL}') AS arr FROM pairs_conv
+  UNION ALL
+  SELECT pair_id, 'summary', regexp_extract_all(summary, '{PRETOKEN_DUCK_SQL}') FROM pairs_conv)"""
+
+TOKENS = """
+SELECT pair_id, kind, pos, pretoken,
+       CAST(5 + dense_rank() OVER (ORDER BY pretoken) - 1 AS INTEGER) AS id
+FROM conv_pretokens"""
+
+CONV_ENCODED = """
+SELECT pair_id, list(id ORDER BY pos) FILTER (WHERE kind = 'text') AS src_ids,
+       list(id ORDER BY pos) FILTER (WHERE kind = 'summary') AS tgt_ids
+FROM tokens GROUP BY pair_id"""
+
+VOCAB_SIZE = "(SELECT 5 + count(DISTINCT pretoken) FROM conv_pretokens)"
+
+PADDED = """
+WITH enc AS (SELECT pair_id, src_ids[1:128] AS src, list_concat([0], tgt_ids[1:126], [2]) AS tgt
+             FROM conv_encoded),
+b AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY pair_id) - 1) / 32) AS BIGINT) AS batch_id,
+             CAST(mod(row_number() OVER (ORDER BY pair_id) - 1, 32) AS INTEGER) AS pos_in_batch FROM enc),
+l AS (SELECT *, max(len(src)) OVER (PARTITION BY batch_id) AS src_len,
+             max(len(tgt)) OVER (PARTITION BY batch_id) AS tgt_len FROM b),
+p AS (SELECT *, list_concat(src, list_transform(range(src_len - len(src)), lambda x: 1)) AS src_pad,
+             list_concat(tgt, list_transform(range(tgt_len - len(tgt)), lambda x: 1)) AS tgt_pad FROM l)
+SELECT batch_id, pos_in_batch, pair_id, src_len, tgt_len, src_pad,
+       tgt_pad[1:len(tgt_pad) - 1] AS tgt_in, tgt_pad[2:len(tgt_pad)] AS tgt_out,
+       list_transform(src_pad, lambda x: x = 1) AS src_mask,
+       list_transform(tgt_pad[1:len(tgt_pad) - 1], lambda x: x = 1) AS tgt_mask
+FROM p"""
+
+NEXT_TOKEN = f"""
+WITH pairs AS (SELECT batch_id, unnest(tgt_in) AS prev, unnest(tgt_out) AS next FROM padded),
+cnt AS (SELECT prev, next, count(*) AS n FROM pairs WHERE next <> 1 GROUP BY prev, next)
+SELECT prev, next, n, CAST(sum(n) OVER (PARTITION BY prev) AS BIGINT) AS total,
+       ln((n + 0.1) / (sum(n) OVER (PARTITION BY prev) + 0.1 * {VOCAB_SIZE})) AS logp
+FROM cnt"""
+
 DEPENDS = {
     "pairs_conv": (PAIRS_CONV, ()),
     "pairs_docs": (PAIRS_DOCS, ()),
@@ -87,6 +129,11 @@ DEPENDS = {
     "logits": (LOGITS, ()),
     "prefixes": (PREFIXES, ()),
     "sources_all": (SOURCES_ALL, ("pairs_conv", "pairs_docs", "pairs_pages")),
+    "conv_pretokens": (CONV_PRETOKENS, ("pairs_conv",)),
+    "tokens": (TOKENS, ("conv_pretokens",)),
+    "conv_encoded": (CONV_ENCODED, ("tokens",)),
+    "padded": (PADDED, ("conv_encoded",)),
+    "next_token": (NEXT_TOKEN, ("padded", "conv_pretokens")),
 }
 
 
