@@ -473,3 +473,114 @@ def q_epoch_loss_conv(spark, d):
     per_batch = token_cross_entropy(b, next_token_table(b, v), v)
     return per_batch.agg(F.coalesce(F.avg("batch_loss"), F.lit(0.0)).alias("epoch_loss"),
                          F.count(F.lit(1)).alias("n_batches"))
+
+
+# --- decoding rules on the logits / prefixes tables
+
+_NEG = "'-inf'::DOUBLE"
+_DEC = (
+    f"g1 AS (SELECT seq_id, token_id, CASE WHEN token_id IN (0, 1, 3, 4) THEN {_NEG} ELSE logit END AS logit "
+    " FROM logits), "
+    "recent AS (SELECT DISTINCT seq_id, CAST(unnest(prefix[greatest(len(prefix) - 7, 1):len(prefix)]) AS BIGINT) "
+    " AS token_id FROM prefixes), "
+    "g2 AS (SELECT g1.seq_id, g1.token_id, CASE WHEN r.token_id IS NOT NULL THEN "
+    " (CASE WHEN g1.logit > 0 THEN g1.logit / 1.5 ELSE g1.logit * 1.5 END) ELSE g1.logit END AS logit "
+    " FROM g1 LEFT JOIN recent r ON g1.seq_id = r.seq_id AND g1.token_id = r.token_id), "
+    f"g3 AS (SELECT g2.seq_id, token_id, CASE WHEN len(prefix) < 5 AND token_id = 2 THEN {_NEG} ELSE logit END "
+    " AS logit FROM g2 JOIN prefixes p ON g2.seq_id = p.seq_id), "
+    "bigrams AS (SELECT seq_id, CAST(i - 1 AS INTEGER) AS pos, prefix[i] AS t0, prefix[i + 1] AS t1, "
+    " prefix[i + 2] AS t2 FROM (SELECT seq_id, prefix, unnest(range(1, len(prefix) - 1)) AS i FROM prefixes)), "
+    "banned AS (SELECT DISTINCT b.seq_id, CAST(b.t2 AS BIGINT) AS token_id FROM bigrams b JOIN prefixes p "
+    " ON b.seq_id = p.seq_id WHERE len(p.prefix) >= 4 AND b.t0 = p.prefix[len(p.prefix) - 1] "
+    " AND b.t1 = p.prefix[len(p.prefix)]), "
+    f"g4 AS (SELECT g3.seq_id, g3.token_id, CASE WHEN x.token_id IS NOT NULL THEN {_NEG} ELSE logit END AS logit "
+    " FROM g3 LEFT JOIN banned x ON g3.seq_id = x.seq_id AND g3.token_id = x.token_id), "
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY logit DESC, token_id) AS rank FROM g4), "
+    "top AS (SELECT seq_id, max(CASE WHEN rank = 1 THEN token_id END) AS best, "
+    " max(CASE WHEN rank = 2 THEN token_id END) AS second FROM rk WHERE rank <= 2 GROUP BY seq_id)")
+
+
+def _dec_sql(select: str) -> str:
+    body = with_fixtures("SELECT 1", "logits", "prefixes")
+    return f"{body[: body.rindex(chr(10) + 'SELECT 1')]},\n{_DEC}\n{select}"
+
+
+def _vis(t: str) -> str:
+    return (f"SELECT seq_id, token_id, CASE WHEN logit = {_NEG} THEN NULL ELSE logit END AS logit, "
+            f"logit = {_NEG} AS excluded FROM {t}")
+
+
+def _dec(spark, d):
+    from ..operators import decoding as dc
+    return dc, fx.logits(spark, d), fx.prefixes(spark, d)
+
+
+@register("block_specials", _dec_sql(_vis("g1")))
+def q_block_specials(spark, d):
+    dc, c, _ = _dec(spark, d)
+    return dc.visible(dc.block_specials(c))
+
+
+@register("drop_blocked", with_fixtures(
+    "SELECT seq_id, token_id, logit FROM logits WHERE token_id NOT IN (0, 1, 3, 4)", "logits"))
+def q_drop_blocked(spark, d):
+    dc, c, _ = _dec(spark, d)
+    return dc.drop_blocked(c).select("seq_id", "token_id", "logit")
+
+
+@register("recent_tokens", with_fixtures(
+    "SELECT seq_id, list_sort(list_distinct(prefix[greatest(len(prefix) - 7, 1):len(prefix)])) AS recent "
+    "FROM prefixes", "prefixes"))
+def q_recent(spark, d):
+    dc, _, p = _dec(spark, d)
+    return dc.recent_tokens(p).select("seq_id", F.array_sort("recent").alias("recent"))
+
+
+@register("prefix_token_flags", _dec_sql(
+    "SELECT l.seq_id, l.token_id, l.logit, r.token_id IS NOT NULL AS in_recent FROM logits l "
+    "LEFT JOIN recent r ON l.seq_id = r.seq_id AND l.token_id = r.token_id"))
+def q_prefix_flags(spark, d):
+    dc, c, p = _dec(spark, d)
+    return dc.prefix_token_flags(c, p).select("seq_id", "token_id", "logit", "in_recent")
+
+
+@register("repetition_penalty", _dec_sql(_vis("g2")))
+def q_repetition(spark, d):
+    dc, c, p = _dec(spark, d)
+    return dc.visible(dc.repetition_penalty(dc.block_specials(c), p))
+
+
+@register("min_length_rule", _dec_sql(_vis("g3")))
+def q_min_length(spark, d):
+    dc, c, p = _dec(spark, d)
+    return dc.visible(dc.min_length(dc.repetition_penalty(dc.block_specials(c), p), p))
+
+
+@register("prefix_bigrams", _dec_sql("SELECT seq_id, pos, t0, t1, t2 FROM bigrams"))
+def q_bigrams(spark, d):
+    dc, _, p = _dec(spark, d)
+    return dc.prefix_bigrams(p)
+
+
+@register("no_repeat_trigram", _dec_sql(_vis("g4")))
+def q_trigram(spark, d):
+    dc, c, p = _dec(spark, d)
+    return dc.visible(dc.apply_rules(c, p))
+
+
+@register("top2_token", _dec_sql(
+    f"SELECT seq_id, token_id, CASE WHEN logit = {_NEG} THEN NULL ELSE logit END AS logit FROM rk WHERE rank = 2"))
+def q_top2(spark, d):
+    dc, c, p = _dec(spark, d)
+    t = dc.top2_token(dc.apply_rules(c, p))
+    return t.select("seq_id", "token_id", F.when(F.col("logit") == dc.NEG_INF, F.lit(None))
+                    .otherwise(F.col("logit")).alias("logit"))
+
+
+@register("pick_token", _dec_sql(
+    "SELECT t.seq_id, CASE WHEN len(prefix) > 2 AND best = prefix[len(prefix)] AND best = prefix[len(prefix) - 1] "
+    "AND second IS NOT NULL THEN second ELSE best END AS next_token, best, second "
+    "FROM top t JOIN prefixes p ON t.seq_id = p.seq_id"))
+def q_pick(spark, d):
+    dc, c, p = _dec(spark, d)
+    return dc.decode_step(c, p)
