@@ -12,6 +12,8 @@ join key, and the text never leaves its partition.
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,19 +92,20 @@ class _Encoder:
         return out
 
 
-_ENCODERS: dict[int, _Encoder] = {}
+_ENCODERS: dict[str, _Encoder] = {}
 
 
 def bpe_encode_udf(spark, model: BpeModel):
     """A pandas UDF ``array<string> pretokens -> array<int> ids`` bound to
     ``model`` through a broadcast variable."""
     bc = spark.sparkContext.broadcast(list(model.merges))
+    token = uuid.uuid4().hex  # cache key of this model in the Python workers
 
     @F.pandas_udf("array<int>")
     def encode(pieces: pd.Series) -> pd.Series:
-        enc = _ENCODERS.get(bc.id)
+        enc = _ENCODERS.get(token)
         if enc is None:
-            enc = _ENCODERS[bc.id] = _Encoder(bc.value)
+            enc = _ENCODERS[token] = _Encoder(bc.value)
         return pd.Series([enc.encode(p if p is not None else []) for p in pieces])
 
     return encode
@@ -176,10 +179,10 @@ def encode_pairs(df: DataFrame, src: str = "src_ids", tgt: str = "tgt_ids",
 
 
 def padded_batches(encoded: DataFrame, batch_size: int = 32, key: str = "pair_id",
-                   pad: int = PAD, order_cols=None) -> DataFrame:
+                   pad: int = PAD, order_cols=None, sort_key: Column | None = None) -> DataFrame:
     """L6 + W1 + X7-X9: consecutive rows in batches, each padded to the
     longest source / target of its batch (the window holds one batch)."""
-    batched = batch_rows(encoded, batch_size, order_cols or (key,))
+    batched = batch_rows(encoded, batch_size, order_cols or (key,), sort_key=sort_key)
     w = Window.partitionBy("batch_id")
     with_len = batched.withColumn("src_len", F.max(F.size("src")).over(w)) \
                       .withColumn("tgt_len", F.max(F.size("tgt")).over(w))

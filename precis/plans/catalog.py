@@ -384,10 +384,18 @@ def q_pair_counts(spark, d):
     return pair_counts(word_table(pretoken_counts(docs)))
 
 
+_MODELS: dict = {}
+
+
 def _docs_bpe(spark, d, vocab_size=300):
+    """Tokenizer trained on all documents (kept per session and folder: it
+    is bounded by the vocabulary size)."""
     from ..operators.bpe import train_bpe
-    docs = fx.table(spark, d, "documents").select(F.col("text").alias("value"))
-    return train_bpe(docs, vocab_size=vocab_size)
+    key = (id(spark), d, vocab_size)
+    if key not in _MODELS:
+        docs = fx.table(spark, d, "documents").select(F.col("text").alias("value"))
+        _MODELS[key] = train_bpe(docs, vocab_size=vocab_size)
+    return _MODELS[key]
 
 
 @register("bpe_merges_docs")
@@ -584,3 +592,37 @@ def q_top2(spark, d):
 def q_pick(spark, d):
     dc, c, p = _dec(spark, d)
     return dc.decode_step(c, p)
+
+
+# --- generation and evaluation
+
+def _summarizer(spark, d):
+    from .flow import Summarizer, fit_scorer
+    model = _docs_bpe(spark, d)
+    train = scan.load_source(spark, "conv", "train", None, d)
+    return Summarizer(model, fit_scorer(train, model))
+
+
+@register("generate_summaries_conv")
+def q_generate(spark, d):
+    """G7 on every conversation pair."""
+    from ..operators.generate import batch_generate
+    s = _summarizer(spark, d)
+    return batch_generate(fx.pairs_conv(spark, d).select("pair_id", "text"), s.model, s.table,
+                          s.vocab_size).select("pair_id", "gen_ids", "summary", "error")
+
+
+@register("greedy_plain_conv")
+def q_greedy_plain(spark, d):
+    """G6 (rules off, eos dropped, sos kept) on every conversation pair."""
+    from ..operators.generate import batch_generate
+    s = _summarizer(spark, d)
+    return batch_generate(fx.pairs_conv(spark, d).select("pair_id", "text"), s.model, s.table,
+                          s.vocab_size, rules=False).select("pair_id", "gen_ids", "summary")
+
+
+@register("evaluate_model_conv")
+def q_evaluate(spark, d):
+    """P2 on the whole conv test split: generate, pair, ROUGE-1/2/L/Lsum."""
+    from .flow import evaluate_model
+    return evaluate_model(spark, d, _summarizer(spark, d), num_samples=None)
