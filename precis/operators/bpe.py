@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SORTED_ALPHABET, SPECIAL_TOKENS, byte_symbol_array
+from ..session import shuffle_partitions
 from .corpus import pretoken_counts
 
 N_SPECIAL = len(SPECIAL_TOKENS)
@@ -42,38 +43,38 @@ def symbol_ids(pretoken: Column) -> Column:
 
 
 def word_table(counts: DataFrame, pretoken: str = "pretoken", n: str = "n") -> DataFrame:
-    """Distinct pre-tokens as (pretoken, n, syms array<int>)."""
+    """Distinct pre-tokens as (pretoken, n, syms), ``syms`` being the symbol
+    ids as text: ``,5,12,7,`` (a comma before and after every id).  Text
+    keeps every round inside codegen'd string expressions."""
+    ids = symbol_ids(F.col(pretoken))
     return counts.select(pretoken, F.col(n).cast("long").alias("n"),
-                         symbol_ids(F.col(pretoken)).alias("syms"))
+                         F.concat(F.lit(","), F.array_join(ids, ","), F.lit(",")).alias("syms"))
 
 
-def pair_counts(words: DataFrame) -> DataFrame:
-    """A3: count of each adjacent symbol pair, weighted by the word count;
-    overlapping pairs all count (``aaa`` has two ``aa``)."""
-    pairs = F.zip_with(F.slice("syms", 1, F.size("syms") - 1), F.slice("syms", 2, F.size("syms") - 1),
-                       lambda x, y: F.struct(x.alias("l"), y.alias("r")))
-    return words.where(F.size("syms") >= 2).select("n", F.inline(pairs)) \
-        .groupBy("l", "r").agg(F.sum("n").alias("c"))
+def has_pair(syms: Column) -> Column:
+    """At least two symbols."""
+    return syms.rlike(r"^,[0-9]+,[0-9]+,")
 
 
-_KEY_BITS = 1 << 24  # ids stay below 2**24
+def pair_counts(words: DataFrame) -> DataFrame:
+    """A3: count of each adjacent symbol pair, weighted by the word count;
+    overlapping pairs all count (``aaa`` has two ``aa``).  A look-ahead
+    finds every pair, overlapping ones included."""
+    pairs = F.regexp_extract_all(F.col("syms"), F.lit(r"(?=,([0-9]+,[0-9]+),)"), F.lit(1))
+    counted = words.where(has_pair(F.col("syms"))).select("n", F.explode(pairs).alias("p")) \
+        .groupBy("p").agg(F.sum("n").alias("c"))
+    return counted.select(F.split_part("p", F.lit(","), F.lit(1)).cast("int").alias("l"),
+                          F.split_part("p", F.lit(","), F.lit(2)).cast("int").alias("r"), "c")
 
 
 def merge_expr(syms: Column, merges: list[tuple[int, int, int]]) -> Column:
-    """Apply one round's merges in a single left-to-right pass without
-    overlap.  The merges of a round share no symbol and create fresh ids, so
-    one pass equals applying them one after the other."""
-    lookup = F.create_map(*[x for a, b, n in merges
-                            for x in (F.lit(a * _KEY_BITS + b).cast("long"), F.lit(n))])
-    lefts = F.array(*[F.lit(a) for a, _, _ in merges])
-
-    def step(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        hit = F.try_element_at(lookup, last.cast("long") * F.lit(_KEY_BITS) + x)
-        return F.when(hit.isNotNull(), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(hit))) \
-                .otherwise(F.concat(acc, F.array(x)))
-    folded = F.aggregate(syms, F.array().cast("array<int>"), step)
-    return F.when(F.arrays_overlap(syms, lefts), folded).otherwise(syms)
+    """Apply one round's merges one after the other; each replaces every
+    (a, b) left to right without overlap (the trailing comma is only looked
+    at, so ``a a a a`` gives two merges)."""
+    out = syms
+    for a, b, n in merges:
+        out = F.regexp_replace(out, f",{a},{b}(?=,)", f",{n}")
+    return out
 
 
 @dataclass
@@ -98,17 +99,29 @@ def base_tokens() -> list[str]:
     return list(SPECIAL_TOKENS) + list(SORTED_ALPHABET)
 
 
-def round_candidates(state: DataFrame, top_k: int) -> DataFrame:
-    """One round's statistics in one job: the ``top_k`` pairs by (count desc,
-    left, right) with ``lmax`` = the highest count of a pair (x, l) and
-    ``rmax`` = the highest count of a pair (r, y).  A pair created by merging
-    (l, r) occurs at most min(count, max(lmax, rmax)) times."""
-    pc = pair_counts(state)
-    top = pc.orderBy(F.col("c").desc(), "l", "r").limit(top_k)
-    by_right = pc.groupBy(F.col("r").alias("s")).agg(F.max("c").alias("lmax"))
-    by_left = pc.groupBy(F.col("l").alias("s")).agg(F.max("c").alias("rmax"))
-    return top.join(F.broadcast(by_right), top["l"] == by_right["s"], "left").drop("s") \
-              .join(F.broadcast(by_left), F.col("r") == by_left["s"], "left").drop("s")
+def round_candidates(state: DataFrame, top_k: int) -> list[tuple[int, int, int, int, int]]:
+    """One round's statistics: the ``top_k`` pairs by (count desc, left,
+    right) with ``lmax`` = the highest count of a pair (x, l) and ``rmax`` =
+    the highest count of a pair (r, y).  A pair created by merging (l, r)
+    occurs at most min(count, max(lmax, rmax)) times.  The pair table is
+    cached for the two small collects (top pairs, then the maxima of their
+    symbols only)."""
+    pc = pair_counts(state).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        top = pc.orderBy(F.col("c").desc(), "l", "r").limit(top_k).collect()
+        if not top:
+            return []
+        syms = sorted({r["l"] for r in top} | {r["r"] for r in top})
+        sides = F.array(F.struct(F.lit("in").alias("side"), F.col("r").alias("s"), "c"),
+                        F.struct(F.lit("out").alias("side"), F.col("l").alias("s"), "c"))
+        maxima = pc.where(F.col("l").isin(syms) | F.col("r").isin(syms)) \
+            .select(F.inline(sides)).where(F.col("s").isin(syms)) \
+            .groupBy("side", "s").agg(F.max("c").alias("m")).collect()
+    finally:
+        pc.unpersist()
+    bound = {(r["side"], r["s"]): r["m"] for r in maxima}
+    return [(r["c"], r["l"], r["r"], bound.get(("in", r["l"]), 0), bound.get(("out", r["r"]), 0))
+            for r in top]
 
 
 def train_bpe(corpus: DataFrame, vocab_size: int = 30000, value: str = "value",
@@ -119,9 +132,10 @@ def train_bpe(corpus: DataFrame, vocab_size: int = 30000, value: str = "value",
     whose string already exists reuses that id.  ``batched=False`` accepts
     one merge per round (the plain loop, for tests).  One Spark job per
     round, plus a checkpoint every ``checkpoint_every`` rounds."""
+    parts = shuffle_partitions(corpus.sparkSession)
     words = word_table(pretoken_counts(corpus, value)).select("n", "syms") \
-        .where(F.size("syms") >= 2)
-    state = words.checkpoint(eager=True)
+        .where(has_pair(F.col("syms")))
+    state = words.repartition(parts).checkpoint(eager=True)
     previous: DataFrame | None = None
     tokens = base_tokens()
     index = {t: i for i, t in enumerate(tokens)}
@@ -131,12 +145,10 @@ def train_bpe(corpus: DataFrame, vocab_size: int = 30000, value: str = "value",
         if max_rounds is not None and rounds >= max_rounds:
             break
         t_round = time.time()
-        rows = round_candidates(state, top_k if batched else 1).collect()
+        top = round_candidates(state, top_k if batched else 1)
         if previous is not None:
             previous.unpersist()
             previous = None
-        top = sorted(((r["c"], r["l"], r["r"], r["lmax"] or 0, r["rmax"] or 0) for r in rows),
-                     key=lambda t: (-t[0], t[1], t[2]))
         if not top:
             break
         accepted: list[tuple[int, int, int]] = []
@@ -172,7 +184,7 @@ def train_bpe(corpus: DataFrame, vocab_size: int = 30000, value: str = "value",
                    .persist(StorageLevel.MEMORY_AND_DISK)
         if rounds % checkpoint_every == 0:
             # cut the lineage; words left with one symbol have no pair
-            ckpt = nxt.where(F.size("syms") >= 2).checkpoint(eager=True)
+            ckpt = nxt.where(has_pair(F.col("syms"))).repartition(parts).checkpoint(eager=True)
             nxt.unpersist()
             state.unpersist()
             nxt = ckpt

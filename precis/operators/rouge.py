@@ -218,12 +218,21 @@ def rouge_all(pairs: DataFrame, pred: str = "prediction", ref: str = "reference"
         .unionByName(rouge_lsum(pairs, pred, ref, unicode, key))
 
 
-def rouge_corpus(scores: DataFrame) -> DataFrame:
-    """Corpus score per metric = mean of per-pair F (0.0 when no pair
-    is scored)."""
-    return scores.groupBy("metric").agg(
+def rouge_corpus(scores: DataFrame, metrics: tuple[str, ...] | None = None) -> DataFrame:
+    """Corpus score per metric = mean of per-pair F.  With ``metrics``
+    every named metric gets a row, 0.0 when no pair is scored."""
+    agg = scores.groupBy("metric").agg(
         F.coalesce(F.avg("fmeasure"), F.lit(0.0)).alias("score"),
         F.count(F.lit(1)).alias("n_pairs"))
+    if metrics is None:
+        return agg
+    names = scores.sparkSession.createDataFrame([(m,) for m in metrics], "metric string")
+    return names.join(agg, "metric", "left").select(
+        "metric", F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.coalesce("n_pairs", F.lit(0)).cast("long").alias("n_pairs"))
+
+
+ALL_METRICS = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 
 
 def pair_predictions(predictions: DataFrame, references: DataFrame, key: str = KEY,

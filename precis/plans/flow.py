@@ -58,7 +58,7 @@ def evaluate_pairs(spark: SparkSession, test_pairs: DataFrame, summarizer: Summa
     joined = rouge.pair_predictions(gen.select("pair_id", F.col("summary").alias("prediction")),
                                     test_pairs)
     per_pair = rouge.rouge_all(joined)
-    return per_pair, rouge.rouge_corpus(per_pair)
+    return per_pair, rouge.rouge_corpus(per_pair, rouge.ALL_METRICS)
 
 
 def evaluate_model(spark: SparkSession, sf_dir: str, summarizer: Summarizer, num_samples: int = 20,
