@@ -223,7 +223,22 @@ def q_rouge_corpus(spark, d):
     return rouge.rouge_corpus(rouge.rouge_n(fx.rouge_pairs(spark, d)))
 
 
-@register("rouge_l_pairs")
+_LCS_DUCK = (
+    "list_reduce(range(1, len(p) + 1), lambda prev, i: list_reduce(range(1, len(r) + 1), "
+    "lambda acc, j: list_append(acc, greatest(acc[j], prev[j + 1], "
+    "CASE WHEN p[i] = r[j] THEN prev[j] + 1 ELSE 0 END)), [0]), "
+    "list_transform(range(0, len(r) + 1), lambda x: 0))[len(r) + 1]")
+
+
+@register("rouge_l_pairs", with_fixtures(
+    "SELECT pair_id, 'rougeL' AS metric, "
+    "CASE WHEN np > 0 AND nr > 0 THEN lcs / np ELSE 0.0 END AS precision, "
+    "CASE WHEN np > 0 AND nr > 0 THEN lcs / nr ELSE 0.0 END AS recall, "
+    "CASE WHEN np > 0 AND nr > 0 AND lcs > 0 THEN 2 * (lcs / np) * (lcs / nr) / (lcs / np + lcs / nr) "
+    "ELSE 0.0 END AS fmeasure FROM ("
+    f" SELECT pair_id, len(p) AS np, len(r) AS nr, {_LCS_DUCK} AS lcs FROM ("
+    f"  SELECT pair_id, {rouge_tokens_duck('prediction')} AS p, {rouge_tokens_duck('reference')} AS r "
+    "  FROM rouge_pairs))", "rouge_pairs"))
 def q_rouge_l(spark, d):
     return rouge.rouge_l(fx.rouge_pairs(spark, d))
 
