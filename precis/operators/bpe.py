@@ -2,20 +2,24 @@
 
 Training works on the table of *distinct* pre-tokens with their counts (A2
 did the heavy reduction: a corpus of any size becomes one row per distinct
-pre-token).  Each round is one Spark aggregation of adjacent symbol pairs
-over that table; the driver only receives the top ``K`` pairs and, for their
-symbols, the highest count of any pair they take part in (both bounded by
-K and the vocabulary size).  Several merges are accepted per round when the
-one-by-one algorithm would provably pick them next:
+pre-token).  Symbols are kept as text (``,5,12,7,``) so that every step is a
+codegen'd string expression.  The pair-count table is built once and then
+updated each round from the words a merge actually changed (old pairs -n,
+new pairs +n: exact deltas), so a round does not re-explode every word.  The
+driver only receives the top ``K`` pairs and, for their symbols, the highest
+count of any pair they take part in (bounded by K and the vocabulary size).
+Several merges are accepted per round when the one-by-one algorithm would
+provably pick them next:
 
 * a candidate shares no symbol with the merges already accepted this round,
   so its count is unchanged, and
 * its count is strictly above every count a pair created by those merges can
   reach (a pair (x, ab) occurs at most min(count(x, a), count(a, b)) times).
 
-The state is rewritten with a higher-order fold (left to right, no overlap),
-words left with one symbol are dropped (they have no pair any more), and the
-lineage is cut with ``checkpoint()`` into the cluster's checkpoint folder.
+Merges are applied left to right without overlap; lineage is cut with
+``checkpoint()`` into the cluster's checkpoint folder (the pair table every
+round, the words every ``checkpoint_every`` rounds, when one-symbol words
+are also dropped).
 """
 
 from __future__ import annotations
@@ -67,6 +71,20 @@ def pair_counts(words: DataFrame) -> DataFrame:
                           F.split_part("p", F.lit(","), F.lit(2)).cast("int").alias("r"), "c")
 
 
+def pair_deltas(rewritten: DataFrame) -> DataFrame:
+    """Change of the pair counts caused by one round: every word whose
+    symbols changed counts its old pairs -n and its new pairs +n."""
+    changed = rewritten.where(F.col("old") != F.col("syms"))
+    signed = changed.select("n", F.inline(F.array(
+        F.struct(F.col("old").alias("s"), F.lit(-1).alias("sign")),
+        F.struct(F.col("syms").alias("s"), F.lit(1).alias("sign")))))
+    rows = signed.select((F.col("n") * F.col("sign")).alias("dn"), F.explode(
+        F.regexp_extract_all(F.col("s"), F.lit(r"(?=,([0-9]+,[0-9]+),)"), F.lit(1))).alias("p"))
+    return rows.groupBy("p").agg(F.sum("dn").alias("c")).select(
+        F.split_part("p", F.lit(","), F.lit(1)).cast("int").alias("l"),
+        F.split_part("p", F.lit(","), F.lit(2)).cast("int").alias("r"), "c")
+
+
 def merge_expr(syms: Column, merges: list[tuple[int, int, int]]) -> Column:
     """Apply one round's merges one after the other; each replaces every
     (a, b) left to right without overlap (the trailing comma is only looked
@@ -99,26 +117,30 @@ def base_tokens() -> list[str]:
     return list(SPECIAL_TOKENS) + list(SORTED_ALPHABET)
 
 
-def round_candidates(state: DataFrame, top_k: int) -> list[tuple[int, int, int, int, int]]:
-    """One round's statistics: the ``top_k`` pairs by (count desc, left,
-    right) with ``lmax`` = the highest count of a pair (x, l) and ``rmax`` =
-    the highest count of a pair (r, y).  A pair created by merging (l, r)
-    occurs at most min(count, max(lmax, rmax)) times.  The pair table is
-    cached for the two small collects (top pairs, then the maxima of their
-    symbols only)."""
-    pc = pair_counts(state).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        top = pc.orderBy(F.col("c").desc(), "l", "r").limit(top_k).collect()
-        if not top:
-            return []
-        syms = sorted({r["l"] for r in top} | {r["r"] for r in top})
-        sides = F.array(F.struct(F.lit("in").alias("side"), F.col("r").alias("s"), "c"),
-                        F.struct(F.lit("out").alias("side"), F.col("l").alias("s"), "c"))
-        maxima = pc.where(F.col("l").isin(syms) | F.col("r").isin(syms)) \
-            .select(F.inline(sides)).where(F.col("s").isin(syms)) \
-            .groupBy("side", "s").agg(F.max("c").alias("m")).collect()
-    finally:
-        pc.unpersist()
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (into the cluster's checkpoint folder) that
+    computes the plan once: the checkpoint job reads the cache."""
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
+def round_candidates(pc: DataFrame, top_k: int) -> list[tuple[int, int, int, int, int]]:
+    """One round's statistics from the pair table: the ``top_k`` pairs by
+    (count desc, left, right) with ``lmax`` = the highest count of a pair
+    (x, l) and ``rmax`` = the highest count of a pair (r, y).  A pair created
+    by merging (l, r) occurs at most min(count, max(lmax, rmax)) times.  Two
+    small collects: the top pairs, then the maxima of their symbols only."""
+    top = pc.orderBy(F.col("c").desc(), "l", "r").limit(top_k).collect()
+    if not top:
+        return []
+    syms = sorted({r["l"] for r in top} | {r["r"] for r in top})
+    sides = F.array(F.struct(F.lit("in").alias("side"), F.col("r").alias("s"), "c"),
+                    F.struct(F.lit("out").alias("side"), F.col("l").alias("s"), "c"))
+    maxima = pc.where(F.col("l").isin(syms) | F.col("r").isin(syms)) \
+        .select(F.inline(sides)).where(F.col("s").isin(syms)) \
+        .groupBy("side", "s").agg(F.max("c").alias("m")).collect()
     bound = {(r["side"], r["s"]): r["m"] for r in maxima}
     return [(r["c"], r["l"], r["r"], bound.get(("in", r["l"]), 0), bound.get(("out", r["r"]), 0))
             for r in top]
@@ -130,13 +152,21 @@ def train_bpe(corpus: DataFrame, vocab_size: int = 30000, value: str = "value",
     """A4: learn merges until the vocabulary has ``vocab_size`` entries or
     no pair is left.  Ties go to the smallest (left id, right id).  A merge
     whose string already exists reuses that id.  ``batched=False`` accepts
-    one merge per round (the plain loop, for tests).  One Spark job per
-    round, plus a checkpoint every ``checkpoint_every`` rounds."""
+    one merge per round (the plain loop, for tests).  Per round: two small
+    collects from the pair table and one job that rewrites the words and
+    updates the pair table from the changed words only; the words are
+    checkpointed every ``checkpoint_every`` rounds."""
     parts = shuffle_partitions(corpus.sparkSession)
-    words = word_table(pretoken_counts(corpus, value)).select("n", "syms") \
-        .where(has_pair(F.col("syms")))
-    state = words.repartition(parts).checkpoint(eager=True)
-    previous: DataFrame | None = None
+    # no filter before this checkpoint: ``syms`` derives from the grouping key,
+    # so the optimizer would push it below the aggregation, onto every raw
+    # pre-token row; one-symbol words are dropped at the next checkpoints
+    words = word_table(pretoken_counts(corpus, value)).select("n", "syms")
+    t_start = time.time()
+    state = _checkpoint(words.repartition(parts))
+    pc = _checkpoint(pair_counts(state))
+    if verbose:
+        print(f"words and pair table: {time.time() - t_start:.2f}s", flush=True)
+    base: DataFrame | None = None  # cached frame under ``state`` between checkpoints
     tokens = base_tokens()
     index = {t: i for i, t in enumerate(tokens)}
     merges: list[tuple[int, int, int]] = []
@@ -145,10 +175,7 @@ def train_bpe(corpus: DataFrame, vocab_size: int = 30000, value: str = "value",
         if max_rounds is not None and rounds >= max_rounds:
             break
         t_round = time.time()
-        top = round_candidates(state, top_k if batched else 1)
-        if previous is not None:
-            previous.unpersist()
-            previous = None
+        top = round_candidates(pc, top_k if batched else 1)
         if not top:
             break
         accepted: list[tuple[int, int, int]] = []
@@ -180,20 +207,28 @@ def train_bpe(corpus: DataFrame, vocab_size: int = 30000, value: str = "value",
             print(f"round {rounds}: {len(accepted)} merges, vocab {len(index)}, "
                   f"{time.time() - t_round:.2f}s", flush=True)
 
-        nxt = state.select("n", merge_expr(F.col("syms"), accepted).alias("syms")) \
-                   .persist(StorageLevel.MEMORY_AND_DISK)
+        # Only the words a merge changed are counted again (exact deltas).
+        # The pair table is small; checkpointing it every round keeps its
+        # plan shallow and fills the cache of ``nxt`` on the way.
+        nxt = state.select("n", F.col("syms").alias("old"),
+                           merge_expr(F.col("syms"), accepted).alias("syms")) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        pc = _checkpoint(pc.unionByName(pair_deltas(nxt)).groupBy("l", "r")
+                         .agg(F.sum("c").alias("c")).where(F.col("c") > 0))
+        if base is not None:
+            base.unpersist()
+        if verbose:
+            print(f"  update: {time.time() - t_round:.2f}s", flush=True)
         if rounds % checkpoint_every == 0:
             # cut the lineage; words left with one symbol have no pair
-            ckpt = nxt.where(has_pair(F.col("syms"))).repartition(parts).checkpoint(eager=True)
+            state = _checkpoint(nxt.select("n", "syms").where(has_pair(F.col("syms")))
+                                .repartition(parts))
             nxt.unpersist()
-            state.unpersist()
-            nxt = ckpt
+            base = None
         else:
-            previous = state  # dropped once the next round's job has cached nxt
-        state = nxt
-    if previous is not None:
-        previous.unpersist()
-    state.unpersist()
+            state, base = nxt.select("n", "syms"), nxt
+    if base is not None:
+        base.unpersist()
     return BpeModel(tokens, merges, rounds)
 
 
