@@ -2,7 +2,7 @@
 X5-X9 through ``encode_pairs`` / ``padded_batches``, W1 pad_length.
 
 X4 plan: the JVM splits special-token literals out and pre-tokenizes
-(``regexp_extract_all``); an Arrow-batched pandas UDF turns each pre-token
+(``regexp_extract_all``); an Arrow UDF turns each distinct pre-token of a batch
 into ids with the ranked merges, which are broadcast (their size is bounded
 by the vocabulary size, not by the data) and cached per Python worker
 together with already-encoded pre-tokens.  Encoding therefore needs no
@@ -12,9 +12,12 @@ join key, and the text never leaves its partition.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,18 +98,44 @@ class _Encoder:
 _ENCODERS: dict[str, _Encoder] = {}
 
 
+def encode_arrow(enc: _Encoder, pieces: pa.Array) -> pa.Array:
+    """Encode a batch of pre-token lists: each *distinct* piece of the batch
+    goes through the BPE helper once; ids are gathered and regrouped per row
+    with numpy on the Arrow offsets."""
+    if isinstance(pieces, pa.ChunkedArray):
+        pieces = pieces.combine_chunks()
+    row_lens = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pieces.flatten()
+    if len(flat) == 0:
+        return pa.ListArray.from_arrays(pa.array(np.zeros(len(pieces) + 1, dtype=np.int32)),
+                                        pa.array([], pa.int32()))
+    denc = pc.dictionary_encode(flat)
+    uniq = denc.dictionary.to_pylist()
+    idx = denc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = [enc.word(u) for u in uniq]
+    lens = np.fromiter((len(c) for c in coded), dtype=np.int64, count=len(coded))
+    vals = np.fromiter(itertools.chain.from_iterable(coded), dtype=np.int32, count=int(lens.sum()))
+    starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+    piece_len = lens[idx]
+    piece_start = np.concatenate([[0], np.cumsum(piece_len)[:-1]])
+    gather = np.arange(int(piece_len.sum())) + np.repeat(starts[idx] - piece_start, piece_len)
+    piece_cum = np.concatenate([[0], np.cumsum(piece_len)])
+    row_off = piece_cum[np.concatenate([[0], np.cumsum(row_lens)])]
+    return pa.ListArray.from_arrays(pa.array(row_off.astype(np.int32)), pa.array(vals[gather], pa.int32()))
+
+
 def bpe_encode_udf(spark, model: BpeModel):
-    """A pandas UDF ``array<string> pretokens -> array<int> ids`` bound to
+    """An Arrow UDF ``array<string> pretokens -> array<int> ids`` bound to
     ``model`` through a broadcast variable."""
     bc = spark.sparkContext.broadcast(list(model.merges))
     token = uuid.uuid4().hex  # cache key of this model in the Python workers
 
-    @F.pandas_udf("array<int>")
-    def encode(pieces: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def encode(pieces: pa.Array) -> pa.Array:
         enc = _ENCODERS.get(token)
         if enc is None:
             enc = _ENCODERS[token] = _Encoder(bc.value)
-        return pd.Series([enc.encode(p if p is not None else []) for p in pieces])
+        return encode_arrow(enc, pieces)
 
     return encode
 
