@@ -117,12 +117,14 @@ def scorer_rows(table: DataFrame) -> tuple[list, list, list]:
 
 def batch_generate(df: DataFrame, model: BpeModel, table: DataFrame, vocab_size: int,
                    text: str = "text", key: str = "pair_id", max_length: int = 150,
-                   rules: bool = True) -> DataFrame:
+                   rules: bool = True, min_length: int | None = None,
+                   num_beams: int | None = None) -> DataFrame:
     """G7 / G6 over a whole table.  Adds ``gen_ids``, ``summary`` and
     ``error``: blank text -> '' without generation (F6); a text with no
     ids -> ''; a failing row -> 'Error during generation' (X19) while the
-    job goes on.  ``min_length`` / ``num_beams`` of the reference are
-    accepted there and ignored, so they are not parameters here."""
+    job goes on.  ``min_length`` and ``num_beams`` are accepted and ignored,
+    as in the original ``summarize``."""
+    del min_length, num_beams
     spark = df.sparkSession
     bc_merges = spark.sparkContext.broadcast(list(model.merges))
     bc_table = spark.sparkContext.broadcast(scorer_rows(table))

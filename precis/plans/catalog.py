@@ -119,6 +119,33 @@ def q_row_counts(spark, d):
     return pairs.row_counts(scan.load_pairs(spark, "all", "train", None, d))
 
 
+@register("source_split_counts", with_fixtures(
+    f"SELECT source, {SPLIT_OF_BUCKET} AS split, count(*) AS n_rows FROM sources_all GROUP BY ALL",
+    "sources_all"))
+def q_source_split_counts(spark, d):
+    """S1 + S2 + A1: rows per source and split after F1-F3."""
+    parts = [scan.load_pairs(spark, "all", split, None, d).withColumn("split", F.lit(split))
+             for split in ("train", "test", "validation")]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.groupBy("source", "split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("first_rows_per_source", with_fixtures(
+    "SELECT source, pair_id, row_no, left(text, 500) || '...' AS text_preview FROM ("
+    " SELECT *, row_number() OVER (PARTITION BY source ORDER BY pair_id) AS row_no FROM sources_all "
+    f" WHERE {SPLIT_OF_BUCKET} = 'train') WHERE row_no <= 3", "sources_all"))
+def q_first_rows_per_source(spark, d):
+    """L5 second form: rows 1..3 of every source (L1 per source)."""
+    from pyspark.sql import Window
+    rows = []
+    for name in ("conv", "docs", "pages"):
+        rows.append(scan.load_pairs(spark, name, "train", 3, d))
+    out = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    w = Window.partitionBy("source").orderBy("pair_id")  # at most 3 rows per source here
+    return out.select("source", "pair_id", F.row_number().over(w).alias("row_no"),
+                      tx.preview_always("text", 500).alias("text_preview"))
+
+
 @register("unpivot_corpus", with_fixtures(
     "SELECT source, pair_id, kind, value FROM ("
     "  SELECT source, pair_id, 'text' AS kind, text AS value FROM sources_all "
