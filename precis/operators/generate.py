@@ -28,7 +28,7 @@ from .encode import _Encoder, decode_ids, pretokens_with_specials
 
 ERROR_TEXT = "Error during generation"
 #: successor rows allowed in the broadcast scorer
-MAX_SCORER_ROWS = 20_000_000
+MAX_SCORER_ROWS = 5_000_000
 SOURCE_BONUS = 1.0
 ALPHA = 0.1
 
@@ -41,7 +41,7 @@ class Scorer:
         self.v = vocab_size
         self.alpha = alpha
         self.bonus = bonus
-        prev, nxt, cnt = (np.asarray(x) for x in rows) if len(rows[0]) else (np.zeros(0, int),) * 3
+        prev, nxt, cnt = (np.asarray(x) for x in rows)
         order = np.argsort(prev, kind="stable")
         self.prev, self.next, self.n = prev[order], nxt[order], cnt[order].astype(float)
         self.starts = {}
@@ -104,15 +104,18 @@ def generate_ids(src: list[int], scorer: Scorer, max_len: int, rules: bool = Tru
 _WORKERS: dict[str, tuple[_Encoder, Scorer]] = {}
 
 
-def scorer_rows(table: DataFrame) -> tuple[list, list, list]:
-    """Collect the next-token table for broadcasting, after checking its
-    size (it grows with the vocabulary, not with the corpus)."""
+def scorer_rows(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The next-token table as three numpy arrays for broadcasting, after
+    checking its size (it grows with the vocabulary and the distinct
+    bigrams of the training data, not with the corpus being summarised).
+    Fetched through Arrow, not as Python rows."""
     n = table.count()
     if n > MAX_SCORER_ROWS:
         raise ValueError(f"next-token table has {n} rows (> {MAX_SCORER_ROWS}); "
                          "train it with a smaller vocabulary")
-    rows = table.select("prev", "next", "n").collect()
-    return ([r["prev"] for r in rows], [r["next"] for r in rows], [r["n"] for r in rows])
+    t = table.select(F.col("prev").cast("int"), F.col("next").cast("int"),
+                     F.col("n").cast("long")).toArrow()
+    return tuple(t.column(c).to_numpy() for c in ("prev", "next", "n"))
 
 
 def batch_generate(df: DataFrame, model: BpeModel, table: DataFrame, vocab_size: int,
