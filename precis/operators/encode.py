@@ -39,8 +39,10 @@ def pretokens_with_specials(text) -> Column:
     """Special literals become their own piece; the rest is pre-tokenized."""
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     segs = F.split(t, SPECIAL_SPLIT, -1)
-    return F.flatten(F.transform(
+    split = F.flatten(F.transform(
         segs, lambda s: F.when(s.isin(*SPECIAL_TOKENS), F.array(s)).otherwise(pretokenize(s))))
+    # texts without '<' hold no special literal: one codegen'd regex, no lambda
+    return F.when(F.instr(t, "<") == 0, pretokenize(t)).otherwise(split)
 
 
 class _Encoder:
