@@ -127,23 +127,23 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 
 
 def round_candidates(pc: DataFrame, top_k: int) -> list[tuple[int, int, int, int, int]]:
-    """One round's statistics from the pair table: the ``top_k`` pairs by
-    (count desc, left, right) with ``lmax`` = the highest count of a pair
-    (x, l) and ``rmax`` = the highest count of a pair (r, y).  A pair created
-    by merging (l, r) occurs at most min(count, max(lmax, rmax)) times.  Two
-    small collects: the top pairs, then the maxima of their symbols only."""
-    top = pc.orderBy(F.col("c").desc(), "l", "r").limit(top_k).collect()
-    if not top:
-        return []
-    syms = sorted({r["l"] for r in top} | {r["r"] for r in top})
-    sides = F.array(F.struct(F.lit("in").alias("side"), F.col("r").alias("s"), "c"),
-                    F.struct(F.lit("out").alias("side"), F.col("l").alias("s"), "c"))
-    maxima = pc.where(F.col("l").isin(syms) | F.col("r").isin(syms)) \
-        .select(F.inline(sides)).where(F.col("s").isin(syms)) \
-        .groupBy("side", "s").agg(F.max("c").alias("m")).collect()
-    bound = {(r["side"], r["s"]): r["m"] for r in maxima}
-    return [(r["c"], r["l"], r["r"], bound.get(("in", r["l"]), 0), bound.get(("out", r["r"]), 0))
-            for r in top]
+    """One round's statistics from the pair table, in one job: the
+    ``top_k`` pairs by (count desc, left, right) with ``lmax`` = the highest
+    count of a pair (x, l) and ``rmax`` = the highest count of a pair (r, y).
+    A pair created by merging (l, r) occurs at most min(count, max(lmax,
+    rmax)) times.  The per-symbol maxima have one row per symbol and side,
+    so the collect is bounded by K + 2 x vocabulary size."""
+    top = pc.orderBy(F.col("c").desc(), "l", "r").limit(top_k) \
+        .select(F.lit("top").alias("kind"), F.col("l").alias("a"), F.col("r").alias("b"), "c")
+    max_in = pc.groupBy(F.col("r").alias("a")).agg(F.max("c").alias("c")) \
+        .select(F.lit("in").alias("kind"), "a", F.lit(None).cast("int").alias("b"), "c")
+    max_out = pc.groupBy(F.col("l").alias("a")).agg(F.max("c").alias("c")) \
+        .select(F.lit("out").alias("kind"), "a", F.lit(None).cast("int").alias("b"), "c")
+    rows = top.unionByName(max_in).unionByName(max_out).collect()
+    bound = {(r["kind"], r["a"]): r["c"] for r in rows if r["kind"] != "top"}
+    top_rows = sorted(((r["c"], r["a"], r["b"]) for r in rows if r["kind"] == "top"),
+                      key=lambda t: (-t[0], t[1], t[2]))
+    return [(c, l, r, bound.get(("in", l), 0), bound.get(("out", r), 0)) for c, l, r in top_rows]
 
 
 def train_bpe(corpus: DataFrame, vocab_size: int = 30000, value: str = "value",
