@@ -12,25 +12,32 @@ from ..operators.pairs import KEY, normalise
 from ..plans.fixtures import split_of_bucket
 from .registry import ALL, Registry, SourceSpec, fixture_registry
 
-#: bits of ``pair_id`` kept for the row index inside one file
-_ROW_BITS = 40
+#: ``pair_id`` = listed path << 48 | part file number << 32 | row index
+_FILE_SHIFT = 48
+_PART_SHIFT = 32
 
 
 def scan_source(spark: SparkSession, spec: SourceSpec, split: str, base_dir: str) -> DataFrame:
     """The raw rows of one source and split, with a ``pair_id`` key.
 
     Parquet sources read only the files of the split; ``pair_id`` is
-    (file number << 40) | row index in the file, i.e. table order.  Builder
+    (listed path << 48) | (part file number << 32) | row index in the file,
+    i.e. table order, also when a listed path is a folder of part files.  Builder
     sources filter their ``bucket``-derived split (pushed below the scan when
     the bucket is a plain column expression)."""
     if spec.parquet_files:
         files = spec.parquet_files[split]
         paths = [f"{base_dir.rstrip('/')}/{f}" for f in files]
         df = spark.read.parquet(*paths)
+        path = F.col("_metadata.file_path")
         file_no = F.lit(0)
         for i, f in enumerate(files):
-            file_no = F.when(F.col("_metadata.file_path").endswith(f), F.lit(i)).otherwise(file_no)
-        key = F.shiftleft(file_no.cast("long"), _ROW_BITS) + F.col("_metadata.row_index")
+            # a listed path is a file or a folder of part files
+            hit = path.endswith(f) | path.contains(f"/{f.strip('/')}/")
+            file_no = F.when(hit, F.lit(i)).otherwise(file_no)
+        part = F.coalesce(F.regexp_extract(path, r"/part-(\d+)[^/]*$", 1).try_cast("long"), F.lit(0))
+        key = (F.shiftleft(file_no.cast("long"), _FILE_SHIFT) + F.shiftleft(part, _PART_SHIFT)
+               + F.col("_metadata.row_index"))
         return df.withColumn(KEY, key)
     df = spec.builder(spark, base_dir)
     return df.where(split_of_bucket("bucket") == split)

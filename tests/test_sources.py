@@ -76,3 +76,25 @@ def test_write_summaries_round_trip(spark, folder):
     assert sorted(r["summary"] for r in spark.read.parquet(f"{folder}/pq").collect()) == ["deux", "un"]
     write_summaries(df, f"{folder}/txt", as_text=True)
     assert sorted(r["value"] for r in spark.read.text(f"{folder}/txt").collect()) == ["deux", "un"]
+
+
+def test_parquet_registry_source_keeps_file_order(spark, folder):
+    from precis.sources.registry import Registry, SourceSpec
+    from precis.sources import scan
+    a = [(f"src{i}", f"tgt{i}", i) for i in range(5)] + [("", "dropped", 99)]
+    b = [(f"src{i}", f"tgt{i}", i) for i in range(5, 8)]
+    spark.createDataFrame(a, "source string, target string, extra int").repartition(1) \
+        .sortWithinPartitions("extra").write.parquet(f"{folder}/fr/train/0000")
+    spark.createDataFrame(b, "source string, target string, extra int").coalesce(1) \
+        .write.parquet(f"{folder}/fr/train/0001")
+    spec = SourceSpec("wiki", text_column="source", summary_column="target",
+                      parquet_files={"train": ("fr/train/0000", "fr/train/0001"), "test": ("fr/train/0001",)})
+    reg = Registry((spec,))
+    df = scan.load_source(spark, "wiki", "train", None, folder, reg)
+    assert df.columns == ["pair_id", "text", "summary"]
+    rows = sorted(df.collect(), key=lambda r: r["pair_id"])
+    assert [r["text"] for r in rows] == [f"src{i}" for i in range(8)]
+    first3 = scan.load_source(spark, "wiki", "train", 3, folder, reg).collect()
+    assert sorted(r["text"] for r in first3) == ["src0", "src1", "src2"]
+    with pytest.raises(ValueError, match="Available: train, test"):
+        scan.load_source(spark, "wiki", "validation", None, folder, reg)
