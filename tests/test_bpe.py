@@ -93,3 +93,17 @@ def test_missing_special_named(trained):
     with pytest.raises(ValueError, match="<pad>, <unk>, <mask>"):
         require_specials(broken)
     assert require_specials(model)["<s>"] == 0
+
+
+def test_decode_encode_random_texts(spark, trained):
+    """decode(encode(x)) == x for texts without special literals."""
+    import random
+    model, tok, _ = trained
+    rng = random.Random(11)
+    alphabet = "abcdefghijklmnopqrstuvwxyz éèàçÉ'.,;:!?0123456789\n\t😀中文" + "  "
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    out = bpe_encode(df, model, "text").select("id", "ids", decode_ids("ids", model).alias("back")).collect()
+    for r in out:
+        assert r["back"] == texts[r["id"]]
+        assert r["ids"] == tok.encode(texts[r["id"]]).ids
