@@ -9,8 +9,8 @@ task, so positions are computed in a distributed way instead:
 2. ``Bucketizer`` (JVM binary search) assigns every row a bucket that is a
    monotone function of the key, so bucket order is row order;
 3. rows per bucket are counted (B rows per group) and turned into offsets with
-   a window over that small table, which is broadcast back (size <= B x
-   groups, both known up front);
+   a window over that small table, which is broadcast back (B rows without
+   groups; with groups only after its size is counted, else a shuffle join);
 4. inside a bucket ``row_number()`` runs on a window partitioned by
    (group, bucket): B balanced tasks instead of one.
 
@@ -30,8 +30,8 @@ from ..session import shuffle_partitions
 
 #: ordered limits up to this size use TakeOrderedAndProject
 TOP_K_MAX = 10_000
-#: groups allowed in ``with_positions`` (offsets are broadcast: B x groups)
-MAX_POSITION_GROUPS = 64
+#: offset tables (B x groups rows) up to this size are broadcast
+MAX_BROADCAST_OFFSETS = 1_000_000
 
 
 def string_sort_key(col) -> Column:
@@ -50,7 +50,8 @@ def with_positions(df: DataFrame, order_cols: Sequence[str], pos_col: str = "pos
     (which must be a unique key) inside ``group_cols``.
 
     ``sort_key`` is a numeric column monotone in ``order_cols``; by default the
-    first order column.  ``group_cols`` must have few values (e.g. sources).
+    first order column.  With ``group_cols`` every group is cut by the same
+    buckets, so a group holding most rows still spreads over B tasks.
     """
     spark = df.sparkSession
     n_buckets = max(2, buckets or shuffle_partitions(spark))
@@ -70,7 +71,10 @@ def with_positions(df: DataFrame, order_cols: Sequence[str], pos_col: str = "pos
 
     in_bucket = Window.partitionBy(*group_cols, "_bk").orderBy(*order_cols)
     ranked = bucketed.withColumn("_rn", F.row_number().over(in_bucket))
-    out = ranked.join(F.broadcast(offsets), [*group_cols, "_bk"])
+    # without groups the offsets have at most B rows; with groups their size
+    # is counted first, and a large table is joined by a shuffle instead
+    small = not group_cols or offsets.count() <= MAX_BROADCAST_OFFSETS
+    out = ranked.join(F.broadcast(offsets) if small else offsets, [*group_cols, "_bk"])
     return out.withColumn(pos_col, (F.col("_off") + F.col("_rn") - 1).cast("long")) \
               .drop("_bk", "_off", "_rn")
 
