@@ -38,3 +38,26 @@ def test_batch_generate_blank_and_errors(spark):
     assert out[1]["gen_ids"][0] == 0 and out[1]["error"] is None
     assert len(out[1]["gen_ids"]) <= 13
     assert out[4]["error"] is None
+
+
+def test_x19_failing_rows_report_error_and_job_goes_on(spark):
+    """A scorer row pointing outside the vocabulary makes generation fail for
+    the rows that reach it; they get the fallback text, the others do not."""
+    from precis.operators.bpe import train_bpe
+    from precis.operators.generate import ERROR_TEXT, batch_generate
+    corpus = spark.createDataFrame([("le chat noir",)], "value string")
+    model = train_bpe(corpus, vocab_size=265)
+    v = len(model.tokens)
+    table = spark.createDataFrame([(0, v + 7, 3, 3)], "prev int, next int, n long, total long")
+    df = spark.createDataFrame([(1, "le chat"), (2, "  ")], "pair_id long, text string")
+    out = {r["pair_id"]: r for r in batch_generate(df, model, table, v, max_length=5).collect()}
+    assert out[1]["summary"] == ERROR_TEXT and out[1]["error"]
+    assert out[2]["summary"] == "" and out[2]["error"] is None
+
+
+def test_t14_default_lengths():
+    import inspect
+    from precis.operators.encode import encode_pairs
+    from precis.operators.generate import batch_generate
+    assert inspect.signature(batch_generate).parameters["max_length"].default == 150
+    assert inspect.signature(encode_pairs).parameters["max_len"].default == 128
