@@ -54,3 +54,17 @@ def test_grouped_positions(spark):
     for s in ("a", "b", "c"):
         mine = sorted((r["pair_id"], r["pos"]) for r in got if r["source"] == s)
         assert [p for _, p in mine] == list(range(len(mine)))
+
+
+def test_positions_with_a_hot_group(spark):
+    """One group holding 90% of the rows: positions stay exact, and the hot
+    group is spread over the same B buckets as everything else."""
+    hot = spark.range(0, 9000).select(F.lit("hot").alias("source"), F.col("id").alias("pair_id"))
+    cold = spark.range(0, 1000).select(F.lit("cold").alias("source"), (F.col("id") * 9).alias("pair_id"))
+    df = hot.unionByName(cold)
+    out = ordering.with_positions(df, ["pair_id"], "pos", group_cols=["source"], buckets=8)
+    got = out.groupBy("source").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"),
+                                    F.count(F.lit(1)).alias("n"), F.countDistinct("pos").alias("d")).collect()
+    stats = {r["source"]: (r["lo"], r["hi"], r["n"], r["d"]) for r in got}
+    assert stats == {"hot": (0, 8999, 9000, 9000), "cold": (0, 999, 1000, 1000)}
+    assert out.where((F.col("source") == "hot") & (F.col("pair_id") == 4321)).first()["pos"] == 4321
