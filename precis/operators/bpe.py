@@ -92,7 +92,13 @@ def merge_expr(syms: Column, merges: list[tuple[int, int, int]]) -> Column:
     out = syms
     for a, b, n in merges:
         out = F.regexp_replace(out, f",{a},{b}(?=,)", f",{n}")
-    return out
+    if not merges:
+        return syms
+    # most words hold none of the round's pairs: a substring test skips them
+    hit = F.lit(False)
+    for a, b, _ in merges:
+        hit = hit | syms.contains(f",{a},{b},")
+    return F.when(hit, out).otherwise(syms)
 
 
 @dataclass
