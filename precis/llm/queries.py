@@ -3,11 +3,13 @@ can express."""
 
 from __future__ import annotations
 
-from precis.llm import line_dedup, secrets, warc
+from precis.llm import line_dedup, lz_fingerprint, quality, secrets, warc
 from precis.llm.common import table
 
 QUERIES = {
     "op1_warc_normalise": warc.warc_roundtrip,
+    "op2_lz_fingerprint": lz_fingerprint.lz_fingerprints,
+    "op3_quality_scores": quality.quality_scores,
     "op7_secret_scan": lambda spark, d: secrets.scan_secrets(table(spark, d, "documents")),
     "op8_line_dedup": lambda spark, d: line_dedup.line_dedup_digest(table(spark, d, "documents")),
 }
