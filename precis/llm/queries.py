@@ -3,17 +3,21 @@ can express."""
 
 from __future__ import annotations
 
-from precis.llm import line_dedup, lz_fingerprint, quality, secrets, warc
+from precis.llm import chat, line_dedup, lz_fingerprint, packing, quality, secrets, warc
 from precis.llm.common import table
 
 QUERIES = {
     "op1_warc_normalise": warc.warc_roundtrip,
     "op2_lz_fingerprint": lz_fingerprint.lz_fingerprints,
     "op3_quality_scores": quality.quality_scores,
+    "op5_length_buckets": packing.pack_buckets,
     "op7_secret_scan": lambda spark, d: secrets.scan_secrets(table(spark, d, "documents")),
     "op8_line_dedup": lambda spark, d: line_dedup.line_dedup_digest(table(spark, d, "documents")),
+    "op9_perspective_chat": chat.rotate_conversations,
 }
 ORACLE = {
     "op1_warc_normalise": warc.ORACLE,
+    "op5_length_buckets": packing.oracle(),
     "op8_line_dedup": line_dedup.ORACLE,
+    "op9_perspective_chat": chat.ORACLE,
 }
