@@ -3,7 +3,7 @@ can express."""
 
 from __future__ import annotations
 
-from precis.llm import chat, line_dedup, lz_fingerprint, packing, quality, secrets, warc
+from precis.llm import chat, line_dedup, lz_fingerprint, order_minhash, packing, quality, secrets, warc
 from precis.llm.common import table
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_length_buckets": packing.pack_buckets,
     "op7_secret_scan": lambda spark, d: secrets.scan_secrets(table(spark, d, "documents")),
     "op8_line_dedup": lambda spark, d: line_dedup.line_dedup_digest(table(spark, d, "documents")),
+    "op10_order_minhash": order_minhash.near_duplicate_classes,
     "op9_perspective_chat": chat.rotate_conversations,
 }
 ORACLE = {
