@@ -3,13 +3,14 @@ can express."""
 
 from __future__ import annotations
 
-from precis.llm import chat, line_dedup, lz_fingerprint, order_minhash, packing, quality, secrets, warc
+from precis.llm import chat, decontaminate, line_dedup, lz_fingerprint, order_minhash, packing, quality, secrets, warc
 from precis.llm.common import table
 
 QUERIES = {
     "op1_warc_normalise": warc.warc_roundtrip,
     "op2_lz_fingerprint": lz_fingerprint.lz_fingerprints,
     "op3_quality_scores": quality.quality_scores,
+    "op4_cgk_decontaminate": decontaminate.benchmark_hits,
     "op5_length_buckets": packing.pack_buckets,
     "op7_secret_scan": lambda spark, d: secrets.scan_secrets(table(spark, d, "documents")),
     "op8_line_dedup": lambda spark, d: line_dedup.line_dedup_digest(table(spark, d, "documents")),
