@@ -3,7 +3,7 @@ can express."""
 
 from __future__ import annotations
 
-from precis.llm import chat, decontaminate, line_dedup, lz_fingerprint, order_minhash, packing, quality, secrets, warc
+from precis.llm import chat, decontaminate, line_dedup, lz_fingerprint, order_minhash, packing, quality, secrets, suffix_dedup, warc
 from precis.llm.common import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op3_quality_scores": quality.quality_scores,
     "op4_cgk_decontaminate": decontaminate.benchmark_hits,
     "op5_length_buckets": packing.pack_buckets,
+    "op6_suffix_dedup": suffix_dedup.drop_repeats_digest,
     "op7_secret_scan": lambda spark, d: secrets.scan_secrets(table(spark, d, "documents")),
     "op8_line_dedup": lambda spark, d: line_dedup.line_dedup_digest(table(spark, d, "documents")),
     "op10_order_minhash": order_minhash.near_duplicate_classes,
