@@ -48,7 +48,7 @@ def positions(df: DataFrame, group: str, by: str, order: list[str], name: str =
     n = shuffle_partitions(df.sparkSession)
     quantiles = F.percentile_approx(by, [k / n for k in range(1, n)] or [0.5], 10_000)
     cuts = sorted(set(df.agg(quantiles).first()[0] or []))  # at most one per shuffle partition
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
     cell = F.coalesce(F.size(F.filter(bounds, lambda c: c <= F.col(by))), F.lit(0))
     cut = df.withColumn("__range", F.when(F.col(by).isNull(), -1).otherwise(cell))
     counts = (cut.groupBy(F.col(group).alias("__group"), F.col("__range").alias("__at"))

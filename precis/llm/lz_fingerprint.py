@@ -130,10 +130,10 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.coalesce(F.col(id_col).cast("long"), F.lit(-2**63)).alias("o"))
     quantiles = F.percentile_approx("o", [k / n for k in range(1, n)] or [0.5], 10_000)
     cuts = sorted(set(rows.agg(quantiles).first()[0] or []))  # at most one per shuffle partition
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
     placed = rows.withColumn("b", F.size(F.filter(bounds, lambda c: c > F.col("o"))))
     heads = sorted((r.b, r.o) for r in placed.groupBy("b").agg(F.max("o").alias("o")).collect())  # one per range
-    before = [F.lit(x) for k, (_, o) in enumerate(heads) for x in (o, heads[k - 1][0])]
+    before = [x for k, (_, o) in enumerate(heads) for x in (F.lit(o).cast("long"), F.lit(heads[k - 1][0]))]
     target = F.create_map(*before)[F.col("o")] if before else F.lit(None).cast("int")
     here = F.struct(F.col("b").alias("bucket"), F.lit(0).alias("halo"))
     there = F.struct(target.alias("bucket"), F.lit(1).alias("halo"))

@@ -107,7 +107,8 @@ def page_number(urn: str) -> int | None:
 
 
 def write_monolithic(pages: DataFrame, folder: str, id_col: str = "page_id", html_col: str = "html",
-                     url_col: str | None = "url") -> DataFrame:
+                     url_col: str | None = "url", archive_bytes: int = ARCHIVE_BYTES,
+                     archive_records: int = ARCHIVE_RECORDS) -> DataFrame:
     """Writes the archives when it runs; rows as in ``RECORDS``."""
     url = F.col(url_col) if url_col else F.lit(None)
     rows = pages.select(F.col(id_col).cast("long").alias("i"), url.cast("string").alias("u"),
@@ -132,7 +133,7 @@ def write_monolithic(pages: DataFrame, folder: str, id_col: str = "page_id", htm
                 out.write(gz.compress(record("response", i, u, len(payload), sha, None, payload)))
                 told.append((name, len(told), i, len(payload), sha))
                 size += len(payload)
-                if size >= ARCHIVE_BYTES or len(told) >= ARCHIVE_RECORDS:
+                if size >= archive_bytes or len(told) >= archive_records:
                     yield from _arrow(done(), RECORDS)
                     out, seq = None, seq + 1
         if out is not None:
@@ -255,12 +256,12 @@ def read_back(spark: SparkSession, archives: DataFrame, folder: str) -> DataFram
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
-                  url_col: str | None = "url") -> tuple[str, DataFrame]:
+                  url_col: str | None = "url", **limits: int) -> tuple[str, DataFrame]:
     """Writes and normalises the archives of ``pages``; the folder that holds
     them and the index rows."""
     spark = pages.sparkSession
     mono, final = scratch(spark, "warc-whole"), scratch(spark, "warc")
-    records = stored(write_monolithic(pages, mono, id_col, html_col, url_col), "warc-records")
+    records = stored(write_monolithic(pages, mono, id_col, html_col, url_col, **limits), "warc-records")
     index = stored(normalise(with_types(records), mono, final), "warc-index")
     return final, index
 
