@@ -26,13 +26,11 @@ from ..functions.arrays import (PAD, frame_target, pad_ids, pad_mask, shift_inpu
 from ..functions.text import (BYTE_ALPHABET, SORTED_ALPHABET, SPECIAL_TOKENS, byte_unsymbols,
                               pretokenize)
 from .bpe import BpeModel
-from .ordering import batch_rows, string_sort_key, with_positions
+from .ordering import batch_rows, with_positions
 
-_SPECIAL_ALT = "|".join(t.replace("/", "/") for t in SPECIAL_TOKENS)
+_SPECIAL_ALT = "|".join(SPECIAL_TOKENS)
 #: zero-width split before and after every special-token literal
 SPECIAL_SPLIT = f"(?={_SPECIAL_ALT})|(?<={_SPECIAL_ALT})"
-#: vocabularies up to this size are broadcast for lookups
-BROADCAST_VOCAB_MAX = 2_000_000
 
 
 def pretokens_with_specials(text) -> Column:
@@ -173,32 +171,21 @@ def decode_ids(ids, model: BpeModel, strip: bool = False) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "") if strip else text
 
 
-def token_lookup(pieces: DataFrame, vocab: DataFrame, token: str = "pretoken",
-                 vocab_size: int | None = None) -> DataFrame:
-    """Attach ``id`` to every token row.  The vocabulary is broadcast
-    only when its size is known to be small; otherwise a shuffle join (AQE
-    splits skewed hot tokens)."""
-    n = vocab_size if vocab_size is not None else vocab.count()
-    side = F.broadcast(vocab) if n <= BROADCAST_VOCAB_MAX else vocab
-    return pieces.join(side, token, "inner")
+def token_lookup(pieces: DataFrame, vocab: DataFrame, token: str = "pretoken") -> DataFrame:
+    """Attach ``id`` to every token row.  AQE broadcasts the vocabulary
+    when its measured bytes allow, and else splits the partitions of hot
+    tokens of the shuffle join."""
+    return pieces.join(vocab, token, "inner")
 
 
 def dense_vocab(pieces: DataFrame, token: str = "pretoken", first_id: int = len(SPECIAL_TOKENS)) -> DataFrame:
     """Ids ``first_id + dense rank`` of the distinct tokens in byte order,
     computed without a single-task window."""
     distinct = pieces.select(token).distinct()
-    ranked = with_positions(distinct, [token], "pos", sort_key=string_sort_key(F.col(token)))
+    ranked = with_positions(distinct, [token], "pos")
     return ranked.select(token, (F.col("pos") + F.lit(first_id)).cast("int").alias("id"))
 
 
-def ordered_ids(rows: DataFrame, key: str, pos: str = "pos", id_col: str = "id",
-                out: str = "ids") -> DataFrame:
-    """Regroup (key, pos, id) rows into one id array per key, in ``pos``
-    order.  One group is one text (bounded by the text's length)."""
-    return rows.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(pos, id_col))), lambda s: s[id_col]).alias(out))
-
-
 def encode_pairs(df: DataFrame, src: str = "src_ids", tgt: str = "tgt_ids",
                  max_len: int = 128) -> DataFrame:
     """X5 + X6: source truncated to ``max_len``; target truncated to
@@ -210,10 +197,10 @@ def encode_pairs(df: DataFrame, src: str = "src_ids", tgt: str = "tgt_ids",
 
 
 def padded_batches(encoded: DataFrame, batch_size: int = 32, key: str = "pair_id",
-                   pad: int = PAD, order_cols=None, sort_key: Column | None = None) -> DataFrame:
+                   pad: int = PAD, order_cols=None) -> DataFrame:
     """L6 + W1 + X7-X9: consecutive rows in batches, each padded to the
     longest source / target of its batch (the window holds one batch)."""
-    batched = batch_rows(encoded, batch_size, order_cols or (key,), sort_key=sort_key)
+    batched = batch_rows(encoded, batch_size, order_cols or (key,))
     w = Window.partitionBy("batch_id")
     with_len = batched.withColumn("src_len", F.max(F.size("src")).over(w)) \
                       .withColumn("tgt_len", F.max(F.size("tgt")).over(w))

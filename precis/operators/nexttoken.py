@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.arrays import PAD
 
 ALPHA = 0.1
-#: next-token tables up to this many rows are broadcast in joins
-BROADCAST_TABLE_MAX = 5_000_000
 
 
 def teacher_forced_pairs(batches: DataFrame, pad: int = PAD) -> DataFrame:
@@ -46,11 +44,8 @@ def token_cross_entropy(batches: DataFrame, table: DataFrame, vocab_size: int,
     pos = teacher_forced_pairs(batches, pad)
     pairs = table.select("prev", "next", "n")
     totals = table.select("prev", "total").distinct()
-    # the table has one row per (prev, next): broadcast it when its size is
-    # checked to be small, so a hot bigram of the batches is no skewed key;
-    # otherwise a shuffle join (AQE splits skewed partitions)
-    if table.count() <= BROADCAST_TABLE_MAX:
-        pairs, totals = F.broadcast(pairs), F.broadcast(totals)
+    # AQE broadcasts the table when its measured bytes allow; else a shuffle
+    # join, whose partitions of hot bigrams it splits
     joined = pos.join(pairs, ["prev", "next"], "left").join(totals, "prev", "left")
     p = (F.coalesce(F.col("n"), F.lit(0)) + alpha) / (F.coalesce(F.col("total"), F.lit(0)) + alpha * vocab_size)
     return joined.groupBy("batch_id").agg(F.avg(-F.log(p)).alias("batch_loss"),

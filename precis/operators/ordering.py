@@ -2,110 +2,79 @@
 
 The reference relies on table order (first N rows, batches of consecutive
 rows).  ``row_number()`` without ``PARTITION BY`` would move every row to one
-task, so positions are computed in a distributed way instead:
-
-1. ``approxQuantile`` on a numeric sort key gives B-1 cut points (one small
-   job, the only thing collected to the driver: B doubles);
-2. ``Bucketizer`` (JVM binary search) assigns every row a bucket that is a
-   monotone function of the key, so bucket order is row order;
-3. rows per bucket are counted (B rows per group) and turned into offsets with
-   a window over that small table, which is broadcast back (B rows without
-   groups; with groups only after its size is counted, else a shuffle join);
-4. inside a bucket ``row_number()`` runs on a window partitioned by
-   (group, bucket): B balanced tasks instead of one.
-
-Everything is a deterministic function of the data, so a lost executor
-recomputes the same positions.
+task, so positions are computed in a distributed way instead: the rows are
+range-partitioned and sorted by the whole key, of any type and any number of
+columns, numbered inside their partitions, and written once to the shared
+folder; a row's position is its number plus the row counts of the partitions
+before its own, a table of one row per partition.
+
+The key must be unique; rows that repeat a key get consecutive positions in no
+particular order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import materialize
 
-#: ordered limits up to this size use TakeOrderedAndProject
-TOP_K_MAX = 10_000
-#: offset tables (B x groups rows) up to this size are broadcast
-MAX_BROADCAST_OFFSETS = 1_000_000
-
-
-def string_sort_key(col) -> Column:
-    """Monotone numeric key of a string: its first 6 UTF-8 bytes as a
-    number (byte order = Spark's string order).  Strings sharing those bytes
-    share a bucket; the full string orders them inside it."""
-    c = F.col(col) if isinstance(col, str) else col
-    head = F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6))
-    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+#: ``monotonically_increasing_id`` holds the partition above this many bits
+_ROW_BITS = 33
 
 
 def with_positions(df: DataFrame, order_cols: Sequence[str], pos_col: str = "pos",
-                   group_cols: Sequence[str] = (), sort_key: Column | None = None,
-                   buckets: int | None = None) -> DataFrame:
+                   group_cols: Sequence[str] = ()) -> DataFrame:
     """Add a 0-based ``pos_col``: the rank of each row by ``order_cols``
-    (which must be a unique key) inside ``group_cols``.
-
-    ``sort_key`` is a numeric column monotone in ``order_cols``; by default the
-    first order column.  With ``group_cols`` every group is cut by the same
-    buckets, so a group holding most rows still spreads over B tasks.
-    """
-    spark = df.sparkSession
-    n_buckets = max(2, buckets or shuffle_partitions(spark))
-    key = sort_key if sort_key is not None else F.col(order_cols[0])
-    keyed = df.withColumn("_pk", key.cast("double"))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = keyed.stat.approxQuantile("_pk", probs, 1.0 / (4 * n_buckets))
-    splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="_pk", outputCol="_bk").transform(keyed)
-    bucketed = bucketed.withColumn("_bk", F.col("_bk").cast("int")).drop("_pk")
-
-    counts = bucketed.groupBy(*group_cols, "_bk").agg(F.count(F.lit(1)).alias("_n"))
-    before = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0)))
-    before = before.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group_cols, "_bk",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-
-    in_bucket = Window.partitionBy(*group_cols, "_bk").orderBy(*order_cols)
-    ranked = bucketed.withColumn("_rn", F.row_number().over(in_bucket))
-    # without groups the offsets have at most B rows; with groups their size
-    # is counted first, and a large table is joined by a shuffle instead
-    small = not group_cols or offsets.count() <= MAX_BROADCAST_OFFSETS
-    out = ranked.join(F.broadcast(offsets) if small else offsets, [*group_cols, "_bk"])
-    return out.withColumn(pos_col, (F.col("_off") + F.col("_rn") - 1).cast("long")) \
-              .drop("_bk", "_off", "_rn")
-
-
-def first_n(df: DataFrame, n: int | None, order_cols: Sequence[str] = ("pair_id",),
-            sort_key: Column | None = None) -> DataFrame:
+    inside ``group_cols``.  The positions of a group are the global ones,
+    ordered by group first, less the group's smallest."""
+    keys = [*group_cols, *order_cols]
+    fixed = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                        .withColumn("_mid", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("_mid", _ROW_BITS)
+    counts = fixed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    row = F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    out = (fixed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+           .withColumn(pos_col, (F.col("_off") + row).cast("long")).drop("_part", "_off", "_mid"))
+    if not group_cols:
+        return out
+    first = out.groupBy(*[F.col(c).alias(f"_g_{c}") for c in group_cols]).agg(F.min(pos_col).alias("_first"))
+    same = reduce(lambda a, b: a & b, [out[c].eqNullSafe(first[f"_g_{c}"]) for c in group_cols])
+    return (out.join(first, same).withColumn(pos_col, F.col(pos_col) - F.col("_first"))
+            .drop("_first", *[f"_g_{c}" for c in group_cols]))
+
+
+def first_n(df: DataFrame, n: int | None, order_cols: Sequence[str] = ("pair_id",)) -> DataFrame:
     """L1: the first ``min(n, rows)`` rows in key order; ``None`` keeps all.
-    Small ``n``: TakeOrderedAndProject (n rows per task at most).  Large
-    ``n``: distributed positions, then a filter."""
+    One way for every ``n``: the n-th key is found on the key columns alone
+    and becomes a filter, so the rows stay in their partitions and the filter
+    can reach the scan."""
     if n is None:
         return df
     if n <= 0:
         return df.limit(0)
-    if n <= TOP_K_MAX:
-        return df.orderBy(*order_cols).limit(n)
-    return with_positions(df, order_cols, "_pos", sort_key=sort_key) \
-        .where(F.col("_pos") < n).drop("_pos")
+    key = F.col(order_cols[0]) if len(order_cols) == 1 else F.struct(*order_cols)
+    nth = (df.select(*order_cols).orderBy(*order_cols).limit(n)
+           .agg(F.max(key).alias("nth")).scalar())
+    return df.where(key <= nth)
 
 
 def seeded_shuffle_key(seed: int, epoch: int, key: str = "pair_id") -> Column:
-    """L4: a reproducible random order: hash of (seed, epoch, key)."""
-    return F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key))
+    """L4: a reproducible random order: digest of (seed, epoch, key)."""
+    return F.md5(F.concat_ws(",", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string")))
 
 
-def batch_rows(df: DataFrame, batch_size: int, order_cols: Sequence[str] = ("pair_id",),
-               sort_key: Column | None = None) -> DataFrame:
+def batch_rows(df: DataFrame, batch_size: int, order_cols: Sequence[str] = ("pair_id",)) -> DataFrame:
     """Consecutive rows into batches of ``batch_size``; the last batch may
     be short, no row is dropped.  Adds ``pos``, ``batch_id``, ``pos_in_batch``."""
     if batch_size < 1:
         raise ValueError("batch_size must be >= 1")
-    with_pos = with_positions(df, order_cols, "pos", sort_key=sort_key)
+    with_pos = with_positions(df, order_cols, "pos")
     return with_pos.withColumn("batch_id", F.floor(F.col("pos") / batch_size).cast("long")) \
                    .withColumn("pos_in_batch", (F.col("pos") % batch_size).cast("int"))
 

@@ -56,17 +56,17 @@ def drop_blank_scored(df: DataFrame, pred: str = "prediction", ref: str = "refer
     return df.where(~is_blank(F.col(pred)) & ~is_blank(F.col(ref)))
 
 
-def require_nonempty(df: DataFrame, what: str = "The selected evaluation dataset") -> DataFrame:
+def require_nonempty(df: DataFrame, what: str = "evaluation table") -> DataFrame:
     """F8: zero rows -> ValueError (one cheap ``isEmpty`` job)."""
     if df.isEmpty():
-        raise ValueError(f"{what} is empty.")
+        raise ValueError(f"no rows: the {what} is empty")
     return df
 
 
 def require_split(splits: set[str] | list[str], split: str = "test", where: str = "") -> None:
     """missing split -> ValueError."""
     if split not in set(splits):
-        raise ValueError(f"Dataset at {where} does not contain a {split} split.")
+        raise ValueError(f"no {split} split at {where}; found: {', '.join(sorted(splits)) or 'none'}")
 
 
 def validation_cap(max_samples: int | None) -> int:
@@ -83,9 +83,11 @@ def head_preview(df: DataFrame, width: int = 500) -> DataFrame:
                       preview_always(F.col("text"), width).alias("text_preview"), "summary")
 
 
-def spot_check_rows(batched: DataFrame, limit: int = 20) -> DataFrame:
-    """First ``min(limit, rows)`` rows of batch 0."""
-    return batched.where((F.col("batch_id") == 0) & (F.col("pos_in_batch") < limit))
+def spot_check_rows(rows: DataFrame, limit: int = 20, batch_size: int = 32) -> DataFrame:
+    """First ``min(limit, rows)`` rows of the first batch (L1: numbering
+    every row to take twenty is not needed)."""
+    from .ordering import first_n
+    return first_n(rows, min(limit, batch_size), (KEY,))
 
 
 def row_counts(df: DataFrame, source_col: str = "source") -> DataFrame:

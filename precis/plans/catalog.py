@@ -160,19 +160,17 @@ def q_unpivot(spark, d):
 
 @register("head_preview_conv", with_fixtures(
     "SELECT row_number() OVER (ORDER BY pair_id) AS row_no, pair_id, "
-    "left(text, 500) || '...' AS text_preview, summary FROM pairs_conv "
-    "WHERE bucket NOT IN (0, 1) AND text <> '' AND summary <> ''", "pairs_conv"))
+    "left(text, 500) || '...' AS text_preview, summary FROM pairs_conv", "pairs_conv"))
 def q_head_preview(spark, d):
-    return pairs.head_preview(scan.load_source(spark, "conv", "train", None, d))
+    return pairs.head_preview(fx.pairs_conv(spark, d))
 
 
-@register("batch_rows_docs", with_fixtures(
+@register("batch_rows_docs",
     "SELECT pair_id, CAST(floor((rn - 1) / 32) AS BIGINT) AS batch_id, "
     "CAST(mod(rn - 1, 32) AS INTEGER) AS pos_in_batch FROM ("
-    "  SELECT pair_id, row_number() OVER (ORDER BY pair_id) AS rn FROM pairs_docs "
-    "  WHERE bucket NOT IN (0, 1) AND text <> '' AND summary <> '')", "pairs_docs"))
+    "  SELECT doc_id AS pair_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents)")
 def q_batch_rows(spark, d):
-    df = scan.load_source(spark, "docs", "train", None, d)
+    df = fx.table(spark, d, "documents").select(F.col("doc_id").alias("pair_id"))
     return ordering.batch_rows(df, 32).select("pair_id", "batch_id", "pos_in_batch")
 
 
@@ -181,12 +179,16 @@ def q_batch_rows(spark, d):
     "WHERE bucket = 1 AND text <> '' AND summary <> '' ORDER BY pair_id LIMIT 20", "pairs_conv"))
 def q_spot_check(spark, d):
     df = scan.load_source(spark, "conv", "validation", None, d)
-    return pairs.spot_check_rows(ordering.batch_rows(df, 32), 20).select("pair_id", "text", "summary")
+    return pairs.spot_check_rows(df, 20).select("pair_id", "text", "summary")
 
 
-@register("shuffled_batches_conv")
+@register("shuffled_batches_conv", with_fixtures(
+    "SELECT pair_id, CAST(floor((rn - 1) / 32) AS BIGINT) AS batch_id, "
+    "CAST(mod(rn - 1, 32) AS INTEGER) AS pos_in_batch FROM ("
+    "  SELECT pair_id, row_number() OVER (ORDER BY md5('13,1,' || CAST(pair_id AS VARCHAR)), pair_id) AS rn "
+    "  FROM pairs_conv)", "pairs_conv"))
 def q_shuffled(spark, d):
-    df = scan.load_source(spark, "conv", "train", None, d)
+    df = fx.pairs_conv(spark, d)
     return ordering.shuffled_batches(df, 32, seed=13, epoch=1).select(
         "pair_id", "batch_id", "pos_in_batch")
 
@@ -293,10 +295,10 @@ def q_pair_predictions(spark, d):
     f"{word_count_duck('summary')} - {word_count_duck('text')} AS word_delta, "
     "left(text, 500) || '...' AS preview_500, "
     "CASE WHEN length(text) > 1000 THEN left(text, 1000) || '...' ELSE text END AS preview_1000 "
-    "FROM pairs_docs", "pairs_docs"))
+    "FROM docs_all", "docs_all"))
 def q_text_stats(spark, d):
     from ..operators.textstats import text_stats
-    return text_stats(fx.pairs_docs(spark, d))
+    return text_stats(fx.docs_all(spark, d))
 
 
 # --- run logs

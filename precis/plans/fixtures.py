@@ -11,32 +11,35 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import pretokenize
+from ..sources import scan
+from ..sources.registry import Registry, SourceSpec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def split_of_bucket(bucket) -> F.Column:
-    """bucket -> split: 0 = test, 1 = validation, others = train."""
-    b = F.col(bucket) if isinstance(bucket, str) else bucket
-    return F.when(b == 0, "test").when(b == 1, "validation").otherwise("train")
-
-
 def pairs_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn followed by an assistant turn: (text, summary)."""
     conv = table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = conv.agg(F.max("turn") + 1).scalar()  # more than any turn number, so that keys are unique
     nxt = conv.select("conv_id", "turn", "role", "text",
                       F.lead("role").over(w).alias("nr"), F.lead("text").over(w).alias("nt"))
     return nxt.where((F.col("role") == "user") & (F.col("nr") == "assistant")).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"),
+        (F.col("conv_id") * turns + F.col("turn")).alias("pair_id"),
         (F.col("conv_id") % 10).alias("bucket"),
         "text",
         F.col("nt").alias("summary"),
     )
 
 
+def docs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document; the first line plays the summary."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("pair_id"), "text", F.substring_index("text", "\n", 1).alias("summary"))
+
+
 def pairs_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """French documents; the first line plays the summary."""
     docs = table(spark, sf_dir, "documents").where(F.col("lang") == "fr")
@@ -143,3 +146,16 @@ def conv_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conv_vocab_size(spark: SparkSession, sf_dir: str) -> int:
     """5 specials + distinct pre-tokens of pairs_conv."""
     return 5 + conv_pretokens(spark, sf_dir).select("pretoken").distinct().count()
+
+
+def fixture_registry() -> Registry:
+    """Three stand-in sources, in rank order.  ``pages`` keeps the
+    source-specific column names (``source`` -> text, ``target`` -> summary)."""
+    return Registry((
+        SourceSpec("conv", builder=pairs_conv),
+        SourceSpec("docs", builder=pairs_docs),
+        SourceSpec("pages", text_column="source", summary_column="target", builder=pairs_pages),
+    ))
+
+
+scan.set_default_registry(fixture_registry)

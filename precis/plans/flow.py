@@ -15,10 +15,14 @@ from ..operators import pairs as pr
 from ..operators import rouge
 from ..operators.bpe import BpeModel, read_tokenizer, require_specials, train_bpe, write_tokenizer
 from ..operators.corpus import unpivot_corpus
-from ..operators.encode import bpe_encode, encode_pairs, padded_batches
+from ..functions.numeric import cosine_lr
+from ..operators.encode import bpe_encode, decode_ids, encode_pairs, padded_batches
 from ..operators.generate import batch_generate
 from ..operators.nexttoken import next_token_table, token_cross_entropy
+from ..operators.ordering import first_n
+from ..session import materialize, shuffle_partitions
 from ..sources import scan
+from ..sources.saved import scan_saved_split
 
 
 @dataclass
@@ -49,63 +53,95 @@ def fit_scorer(pairs: DataFrame, model: BpeModel, max_len: int = 128) -> DataFra
     return next_token_table(rows, len(model.tokens))
 
 
+def generated_pairs(test_pairs: DataFrame, summarizer: Summarizer, max_length: int = 150,
+                    rules: bool = True) -> DataFrame:
+    """G7 / G6 for the pairs: ``pair_id, prediction, reference``, in as many
+    tasks as the session shuffles into."""
+    spread = test_pairs.select("pair_id", "text", F.col("summary").alias("reference")).repartition(
+        shuffle_partitions(test_pairs.sparkSession), "pair_id")
+    gen = batch_generate(spread, summarizer.model, summarizer.table, summarizer.vocab_size,
+                         max_length=max_length, rules=rules)
+    return gen.select("pair_id", F.col("summary").alias("prediction"), "reference")
+
+
 def evaluate_pairs(spark: SparkSession, test_pairs: DataFrame, summarizer: Summarizer,
                    max_length: int = 150) -> tuple[DataFrame, DataFrame]:
-    """G7 -> J1 -> A8-A11.  Returns (per-pair scores, corpus scores)."""
+    """G7 -> A8-A11.  Returns (per-pair scores, corpus scores); take the
+    second from the written first if both are needed."""
     pr.require_nonempty(test_pairs)
-    gen = batch_generate(test_pairs, summarizer.model, summarizer.table, summarizer.vocab_size,
-                         max_length=max_length)
-    joined = rouge.pair_predictions(gen.select("pair_id", F.col("summary").alias("prediction")),
-                                    test_pairs)
-    per_pair = rouge.rouge_all(joined)
+    per_pair = rouge.rouge_all(generated_pairs(test_pairs, summarizer, max_length))
     return per_pair, rouge.rouge_corpus(per_pair, rouge.ALL_METRICS)
 
 
-def evaluate_model(spark: SparkSession, sf_dir: str, summarizer: Summarizer, num_samples: int = 20,
-                   source: str = "conv", saved_path: str | None = None) -> DataFrame:
+def evaluate_model(spark: SparkSession, sf_dir: str, summarizer: Summarizer, num_samples: int | None = 20,
+                   source: str = "conv", saved_path: str | None = None) -> DataFrame | None:
     """The test rows (S2 + F1-F3 + L1, or the saved ``test`` split taken
-    as is, T16), F8, generation, pairing and ROUGE."""
+    as is, T16), F8, generation and ROUGE; None if nothing is saved at
+    ``saved_path``."""
     if saved_path:
-        from ..sources.saved import scan_saved_split
         test = scan_saved_split(spark, saved_path, "test")
         if test is None:
-            raise ValueError(f"Nothing saved at {saved_path}")
-        from ..operators.ordering import first_n
+            return None
         test = pr.null_to_empty(first_n(test, num_samples))
     else:
         test = scan.load_source(spark, source, "test", num_samples, sf_dir)
     return evaluate_pairs(spark, test, summarizer)[1]
 
 
-def train_and_evaluate(spark: SparkSession, sf_dir: str, out_dir: str, vocab_size: int = 300,
+def spot_check(pairs: DataFrame, summarizer: Summarizer, max_len: int = 128, limit: int = 20,
+               batch_size: int = 32) -> DataFrame:
+    """The check after an epoch: the first rows of the first validation batch,
+    plain greedy decoding, references decoded from the truncated ids (T9),
+    blank pairs left out (F7), mean ROUGE."""
+    first = pr.spot_check_rows(pairs, limit, batch_size)
+    model = summarizer.model
+    told = encoded_pairs(first, model, max_len).select("pair_id", "text", decode_ids("tgt", model).alias("summary"))
+    scored = pr.drop_blank_scored(generated_pairs(told, summarizer, max_len, rules=False))
+    return rouge.rouge_corpus(rouge.rouge_scores(scored, ("rouge1", "rouge2", "rougeL")),
+                              ("rouge1", "rouge2", "rougeL"))
+
+
+def mean_loss(pairs: DataFrame, summarizer: Summarizer, max_len: int, batch_size: int) -> DataFrame:
+    """A6 + A7 over the pairs in order of source and key: ``loss, n_batches``."""
+    encoded = materialize(encoded_pairs(pairs, summarizer.model, max_len).select(
+        "source_rank", "pair_id", "src", "tgt"), "encoded")
+    batches = padded_batches(encoded, batch_size, order_cols=("source_rank", "pair_id"))
+    per_batch = token_cross_entropy(batches, summarizer.table, summarizer.vocab_size)
+    return per_batch.agg(F.coalesce(F.avg("batch_loss"), F.lit(0.0)).alias("loss"),
+                         F.count(F.lit(1)).alias("n_batches"))
+
+
+def train_and_evaluate(spark: SparkSession, sf_dir: str, out_dir: str, vocab_size: int = 32_000,
                        max_samples: int | None = None, max_len: int = 128, batch_size: int = 32,
-                       eval_samples: int = 200, seed: int = 13) -> dict[str, str]:
+                       eval_samples: int = 200, seed: int = 13, lr: float = 1e-4, epochs: int = 1) -> dict[str, str]:
     """Tokenizer on the training corpus of every source (A4, S7), scorer
-    table on the encoded training pairs (G8), validation loss (A6, A7) and
-    ROUGE on the test split (P2).  Every stage lands in ``out_dir``; a
-    failing step raises and stops the job."""
+    table on the encoded training pairs (G8), losses and spot check in the run
+    log (A6, A7, X15), and ROUGE on the test split (P2).  Every stage lands in
+    ``out_dir``; a failing step raises and stops the job."""
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{out_dir}/{name}")
+        return spark.read.parquet(f"{out_dir}/{name}")
+
     train = scan.load_pairs(spark, "all", "train", max_samples, sf_dir)
-    corpus = unpivot_corpus(train)
-    model = train_bpe(corpus, vocab_size=vocab_size)
+    model = train_bpe(unpivot_corpus(train), vocab_size=vocab_size)
     require_specials(model)
     write_tokenizer(model, spark, f"{out_dir}/tokenizer")
     model = read_tokenizer(spark, f"{out_dir}/tokenizer")
-
-    table = fit_scorer(train, model, max_len)
-    table.write.mode("overwrite").parquet(f"{out_dir}/scorer")
-    table = spark.read.parquet(f"{out_dir}/scorer")
+    summarizer = Summarizer(model, kept("scorer", fit_scorer(train, model, max_len)))
 
     val = scan.load_pairs(spark, "all", "validation", pr.validation_cap(max_samples), sf_dir)
-    batches = padded_batches(encoded_pairs(val, model, max_len), batch_size, key="pair_id",
-                             order_cols=("source_rank", "pair_id"),
-                             sort_key=F.col("source_rank") * F.lit(2.0 ** 50) + F.col("pair_id"))
-    per_batch = token_cross_entropy(batches, table, len(model.tokens))
-    val_loss = per_batch.agg(F.coalesce(F.avg("batch_loss"), F.lit(0.0)).alias("val_loss"),
-                             F.count(F.lit(1)).alias("n_batches"))
-    val_loss.write.mode("overwrite").parquet(f"{out_dir}/validation_loss")
+    val_loss = kept("validation_loss", mean_loss(val, summarizer, max_len, batch_size).withColumnRenamed("loss", "val_loss"))
+    checked = val.where(F.col("source_rank") == val.agg(F.min("source_rank")).scalar())
+    shown = kept("spot_check", spot_check(checked, summarizer, max_len, batch_size=batch_size))
+    log = (mean_loss(train, summarizer, max_len, batch_size).select(F.lit(1).alias("epoch"), F.col("loss").alias("train_loss"))
+           .crossJoin(val_loss.select("val_loss"))  # one row each
+           .crossJoin(shown.agg(*[F.max(F.when(F.col("metric") == m, F.col("score"))).alias(m)
+                                  for m in ("rouge1", "rouge2", "rougeL")]))
+           .withColumn("lr", cosine_lr(F.col("epoch"), F.lit(epochs), lr)))
+    kept("run_log", log)
 
     test = scan.load_source(spark, "conv", "test", eval_samples, sf_dir)
-    per_pair, corpus_scores = evaluate_pairs(spark, test, Summarizer(model, table))
-    per_pair.write.mode("overwrite").parquet(f"{out_dir}/rouge_pairs")
-    corpus_scores.write.mode("overwrite").parquet(f"{out_dir}/rouge")
-    return {k: f"{out_dir}/{k}" for k in ("tokenizer", "scorer", "validation_loss", "rouge_pairs", "rouge")}
+    per_pair = kept("rouge_pairs", evaluate_pairs(spark, test, summarizer)[0])
+    kept("rouge", rouge.rouge_corpus(per_pair, rouge.ALL_METRICS))
+    return {k: f"{out_dir}/{k}" for k in ("tokenizer", "scorer", "validation_loss", "spot_check", "run_log",
+                                          "rouge_pairs", "rouge")}

@@ -9,7 +9,7 @@ shortened pre-token pattern splits the same way.
 from __future__ import annotations
 
 PAIRS_CONV = """
-SELECT conv_id * 1000 + turn AS pair_id, mod(conv_id, 10) AS bucket, text, nt AS summary
+SELECT conv_id * (SELECT max(turn) + 1 FROM conversations) + turn AS pair_id, mod(conv_id, 10) AS bucket, text, nt AS summary
 FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt
       FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 WHERE role = 'user' AND nr = 'assistant'"""
@@ -19,6 +19,9 @@ SELECT doc_id AS pair_id, mod(doc_id, 10) AS bucket, text,
        split_part(text, chr(10), 1) AS summary
 FROM documents WHERE lang = 'fr'"""
 
+DOCS_ALL = """
+SELECT doc_id AS pair_id, text, split_part(text, chr(10), 1) AS summary FROM documents"""
+
 PAIRS_PAGES = """
 SELECT page_id AS pair_id, mod(page_id, 10) AS bucket, url, html AS source,
        regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS target
@@ -120,6 +123,7 @@ FROM cnt"""
 
 DEPENDS = {
     "pairs_conv": (PAIRS_CONV, ()),
+    "docs_all": (DOCS_ALL, ()),
     "pairs_docs": (PAIRS_DOCS, ()),
     "pairs_pages": (PAIRS_PAGES, ()),
     "dirty_pairs": (DIRTY_PAIRS, ("pairs_conv",)),

@@ -4,9 +4,11 @@ checkpoint folder of the cluster."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every session of the library should carry.  AQE re-plans joins and
 #: shuffle partition counts at run time and splits skewed join partitions.
@@ -41,18 +43,34 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``.  Only when it is unset (a local test session) a
-    fresh scratch folder is made and registered."""
+    ``spark.checkpoint.dir``.  Where it is unset, a single-machine session
+    (tests) gets a fresh scratch folder; on a cluster, whose executors would
+    not see the driver's folder, that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir()
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError(f"spark.checkpoint.dir is not set; {sc.master} needs a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="precis-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, the
+    lineage cut, the same rows for every later pass."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -13,8 +13,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans import fixtures
-
 SPLITS = ("train", "test", "validation")
 ALL = "all"
 
@@ -50,15 +48,14 @@ class Registry:
         raise KeyError(name)
 
     def validate(self, name: str, split: str) -> SourceSpec:
-        """S3: unknown source or split -> ValueError listing the choices."""
-        if name not in self.names():
-            available = ", ".join([*self.names(), ALL])
-            raise ValueError(f"Unknown source '{name}'. Available: {available}")
-        spec = self.get(name)
-        if split not in spec.splits():
-            raise ValueError(
-                f"Unknown split '{split}' for {name}. Available: {', '.join(spec.splits())}")
-        return spec
+        """S3: the entry of ``name``; ValueError with the choices when the
+        registry lacks the source or the source lacks the split."""
+        by_name = {s.name: s for s in self.sources}
+        for what, wanted, known in (("source", name, [*by_name, ALL]),
+                                    ("split", split, by_name[name].splits() if name in by_name else ())):
+            if wanted not in known or wanted == ALL:
+                raise ValueError(f"No {what} {wanted!r}; choose from: {', '.join(known)}")
+        return by_name[name]
 
     def as_frame(self, spark: SparkSession) -> DataFrame:
         """S1 as a table: one row per (source, split, file)."""
@@ -74,14 +71,3 @@ class Registry:
         schema = ("source string, source_rank int, split string, path string, "
                   "text_col string, summary_col string")
         return spark.createDataFrame(rows, schema)
-
-
-def fixture_registry() -> Registry:
-    """Three stand-in sources, in rank order.  ``pages`` keeps the
-    source-specific column names (``source`` -> text, ``target`` -> summary)."""
-    return Registry((
-        SourceSpec("conv", builder=fixtures.pairs_conv),
-        SourceSpec("docs", builder=fixtures.pairs_docs),
-        SourceSpec("pages", text_column="source", summary_column="target",
-                   builder=fixtures.pairs_pages),
-    ))

@@ -1,106 +1,110 @@
 """S4 scan_saved and S5 scan_saved_dir: tables saved as Parquet folders.
 
-A saved table is a folder of Parquet files; a saved split dictionary is a
-folder holding ``dataset_dict.json`` and/or one Parquet sub-folder per split
-(``train``, ``test``, ``validation``).  Listing uses the Hadoop FileSystem of
-the path, so the same code lists local folders, HDFS or object stores.
+A folder is classified once, from its listing: ``splits`` (a split dictionary:
+a marker file or sub-folders named like splits), ``table`` (anything else) or
+``missing``.  Listing uses the Hadoop FileSystem of the path, so the same code
+lists local folders, HDFS or object stores.  Rows get ``pair_id`` in file order
+(see ``files``).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.pairs import normalise
+from ..operators.pairs import KEY, normalise, require_split
+from .files import file_system, read_in_order
 from .scan import union_sources
 
+#: Folders that hold no data set, split names, marker file.
 SKIP_DIRS = frozenset({"temp_cache", "abstract_tmp", "model_cache"})
 SPLIT_NAMES = ("train", "test", "validation")
+MARKER = "dataset_dict.json"
+
 
+@dataclass(frozen=True)
+class Saved:
+    path: str
+    kind: str                       # "missing", "table" or "splits"
+    splits: tuple[str, ...] = ()
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+    def folder(self, split: str) -> str:
+        return f"{self.path}/{split}"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     return bool(fs.exists(p))
 
 
 def list_children(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     """(name, is_directory) of the entries of ``path``."""
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     return sorted((st.getPath().getName(), bool(st.isDirectory())) for st in fs.listStatus(p))
 
 
-def is_split_dict(spark: SparkSession, path: str) -> bool:
-    names = {n for n, _ in list_children(spark, path)}
-    return "dataset_dict.json" in names or bool(names & set(SPLIT_NAMES))
-
-
-def saved_splits(spark: SparkSession, path: str) -> list[str]:
-    return [n for n, d in list_children(spark, path) if d and n in SPLIT_NAMES]
+def classify(spark: SparkSession, path: str) -> Saved:
+    path = path.rstrip("/")
+    if not path_exists(spark, path):
+        return Saved(path, "missing")
+    children = dict(list_children(spark, path))
+    splits = tuple(s for s in SPLIT_NAMES if children.get(s))
+    return Saved(path, "splits" if splits or MARKER in children else "table", splits)
 
 
 def scan_saved(spark: SparkSession, path: str, messages: list[str] | None = None):
-    """The saved table at ``path`` (a DataFrame), or for a split
-    dictionary a dict split -> DataFrame; a missing path -> message, None."""
-    if not path_exists(spark, path):
+    """The table at ``path``, or a dict split -> table for a split
+    dictionary; None, with a message, if there is nothing."""
+    saved = classify(spark, path)
+    if saved.kind == "missing":
         if messages is not None:
-            messages.append(f"Dataset not found at {path}.")
+            messages.append(f"nothing is saved at {path}: path not found")
         return None
-    if is_split_dict(spark, path):
-        return {s: spark.read.parquet(f"{path}/{s}") for s in saved_splits(spark, path)}
-    return spark.read.parquet(path)
+    if saved.kind == "splits":
+        return {s: read_in_order(spark, [saved.folder(s)]) for s in saved.splits}
+    return read_in_order(spark, [saved.path])
 
 
 def scan_saved_split(spark: SparkSession, path: str, split: str = "test") -> DataFrame | None:
-    """The ``split`` of a saved dictionary (F9: missing -> ValueError), taken
-    as is: no rename, no filter (T16)."""
-    saved = scan_saved(spark, path)
-    if saved is None:
+    """One split of a saved dictionary (F9: ValueError if it has none of that
+    name), rows as they are: no rename, no filter (T16).  None if nothing is
+    saved there."""
+    saved = classify(spark, path)
+    if saved.kind == "missing":
         return None
-    if not isinstance(saved, dict) or split not in saved:
-        raise ValueError(f"Dataset at {path} does not contain a {split} split.")
-    df = saved[split]
-    return df if "pair_id" in df.columns else df.withColumn(
-        "pair_id", F.monotonically_increasing_id())
+    require_split(saved.splits, split, path)
+    return read_in_order(spark, [saved.folder(split)])
+
+
+def training_folders(spark: SparkSession, base_dir: str) -> list[tuple[str, str]]:
+    """(child, folder to read) of every child that is a split dictionary with
+    a training split."""
+    found = ((name, classify(spark, f"{base_dir.rstrip('/')}/{name}"))
+             for name, is_dir in list_children(spark, base_dir) if is_dir and name not in SKIP_DIRS)
+    return [(name, s.folder("train")) for name, s in found if "train" in s.splits]
 
 
 def scan_saved_dir(spark: SparkSession, base_dir: str = "data",
                    messages: list[str] | None = None) -> DataFrame | None:
-    """Every child folder except the skip list that is a split
-    dictionary (its ``train``; none -> nothing) or holds a ``train``; F1-F3
-    with the default names; a child that fails is reported and skipped; no
-    table -> None.  Rows keep their folder in ``source``."""
-    log = messages if messages is not None else []
+    """The training splits of the children of ``base_dir``, through F1-F3
+    with the default names.  ``pair_id`` runs on from child to child, in the
+    order of their names; ``source`` holds the name.  A child that cannot be
+    read is noted and left out; None if no table is left."""
+    notes = messages if messages is not None else []
     if not path_exists(spark, base_dir):
-        log.append(f"Local folder not found: {base_dir}")
+        notes.append(f"nothing is saved at {base_dir}: path not found")
         return None
-    parts = []
-    for name, is_dir in list_children(spark, base_dir):
-        if not is_dir or name in SKIP_DIRS:
-            continue
-        child = f"{base_dir.rstrip('/')}/{name}"
+    parts, first = [], 0
+    for name, folder in training_folders(spark, base_dir):
         try:
-            kids = {n for n, _ in list_children(spark, child)}
-            if "dataset_dict.json" not in kids and "train" not in kids:
-                continue
-            saved = scan_saved(spark, child)
-            if isinstance(saved, dict):
-                if "train" not in saved:
-                    continue
-                table = saved["train"]
-            else:
-                table = saved
-            keep = ("pair_id",) if "pair_id" in table.columns else ()
-            part = normalise(table, keep=keep).withColumn("source", F.lit(name))
-            parts.append(part)
-        except Exception as exc:  # noqa: BLE001 - reported and skipped
-            log.append(f"Could not load {name}: {type(exc).__name__}: {str(exc)[:200]}")
+            rows = read_in_order(spark, [folder], first)
+            parts.append(normalise(rows).withColumn("source", F.lit(name)))
+            first = (rows.agg(F.max(KEY)).first()[0] or first - 1) + 1
+        except Exception as exc:  # noqa: BLE001 - one child must not take the others with it
+            notes.append(f"{name} was left out: {type(exc).__name__}: {str(exc)[:200]}")
     if not parts:
-        log.append("No local dataset found.")
+        notes.append(f"no training split below {base_dir}")
         return None
     return union_sources(parts)

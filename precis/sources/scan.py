@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,38 +10,23 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import first_n
 from ..operators.pairs import KEY, normalise
-from ..plans.fixtures import split_of_bucket
-from .registry import ALL, Registry, SourceSpec, fixture_registry
+from .files import read_in_order
+from .registry import ALL, Registry, SourceSpec
 
-#: ``pair_id`` = listed path << 48 | part file number << 32 | row index
-_FILE_SHIFT = 48
-_PART_SHIFT = 32
+
+def split_of_bucket(bucket) -> F.Column:
+    """bucket -> split: 0 = test, 1 = validation, others = train."""
+    b = F.col(bucket) if isinstance(bucket, str) else bucket
+    return F.when(b == 0, "test").when(b == 1, "validation").otherwise("train")
 
 
 def scan_source(spark: SparkSession, spec: SourceSpec, split: str, base_dir: str) -> DataFrame:
     """The raw rows of one source and split, with a ``pair_id`` key.
-
-    Parquet sources read only the files of the split; ``pair_id`` is
-    (listed path << 48) | (part file number << 32) | row index in the file,
-    i.e. table order, also when a listed path is a folder of part files.  Builder
-    sources filter their ``bucket``-derived split (pushed below the scan when
-    the bucket is a plain column expression)."""
+    Parquet sources read only the files of the split, in table order (see
+    ``files``); builder sources filter their ``bucket``-derived split."""
     if spec.parquet_files:
-        files = spec.parquet_files[split]
-        paths = [f"{base_dir.rstrip('/')}/{f}" for f in files]
-        df = spark.read.parquet(*paths)
-        path = F.col("_metadata.file_path")
-        file_no = F.lit(0)
-        for i, f in enumerate(files):
-            # a listed path is a file or a folder of part files
-            hit = path.endswith(f) | path.contains(f"/{f.strip('/')}/")
-            file_no = F.when(hit, F.lit(i)).otherwise(file_no)
-        part = F.coalesce(F.regexp_extract(path, r"/part-(\d+)[^/]*$", 1).try_cast("long"), F.lit(0))
-        key = (F.shiftleft(file_no.cast("long"), _FILE_SHIFT) + F.shiftleft(part, _PART_SHIFT)
-               + F.col("_metadata.row_index"))
-        return df.withColumn(KEY, key)
-    df = spec.builder(spark, base_dir)
-    return df.where(split_of_bucket("bucket") == split)
+        return read_in_order(spark, [f"{base_dir.rstrip('/')}/{f}" for f in spec.parquet_files[split]])
+    return spec.builder(spark, base_dir).where(split_of_bucket("bucket") == split)
 
 
 def load_source(spark: SparkSession, name: str, split: str = "train",
@@ -48,7 +34,7 @@ def load_source(spark: SparkSession, name: str, split: str = "train",
                 registry: Registry | None = None) -> DataFrame:
     """One source: S3 check, S2 scan, F1-F3, then L1 on the filtered rows
     (``max_samples=None`` keeps all; 0 keeps none)."""
-    reg = registry or fixture_registry()
+    reg = registry or default_registry()
     spec = reg.validate(name, split)
     raw = scan_source(spark, spec, split, base_dir)
     pairs = normalise(raw, spec.text_column, spec.summary_column)
@@ -62,38 +48,62 @@ class LoadReport:
     error: str | None = None
 
 
+def source_quota(max_samples: int | None, n_sources: int) -> int | None:
+    """L2: an equal share for every source, rounded down and never passed on;
+    no limit (None or 0) is no quota."""
+    return max_samples // n_sources if max_samples else None
+
+
 def load_pairs(spark: SparkSession, name: str = "conv", split: str = "train",
                max_samples: int | None = None, base_dir: str = "",
                registry: Registry | None = None,
                report: list[LoadReport] | None = None) -> DataFrame:
-    """The reference's loader.  ``all``: every source gets
-    ``max_samples // n_sources`` rows (L2, no redistribution; a falsy
-    ``max_samples`` means unlimited), sources are concatenated in registry
-    order (U1) with ``source`` and ``source_rank`` columns; a source that
-    fails is reported and left out (U2); none left -> ValueError."""
-    reg = registry or fixture_registry()
+    """Pairs of one source, or of ``all``: every source up to its quota (L2),
+    concatenated in registry order (U1) with ``source`` and ``source_rank``.
+    A source that fails is left out and noted in ``report`` (U2); if none is
+    left, ValueError."""
+    reg = registry or default_registry()
+
+    def tagged(own: str, limit: int | None) -> DataFrame:
+        return load_source(spark, own, split, limit, base_dir, reg).withColumns(
+            {"source": F.lit(own), "source_rank": F.lit(reg.rank(own))})
+
     if name != ALL:
-        df = load_source(spark, name, split, max_samples, base_dir, reg)
-        return df.withColumns({"source": F.lit(name), "source_rank": F.lit(reg.rank(name))})
-    n_sources = len(reg.sources)
-    per_source = (max_samples // n_sources) if max_samples else None
-    parts = []
-    for spec in reg.sources:
-        try:
-            df = load_source(spark, spec.name, split, per_source, base_dir, reg)
-            df = df.withColumns({"source": F.lit(spec.name),
-                                 "source_rank": F.lit(reg.rank(spec.name))})
-            parts.append(df)
-            if report is not None:
-                report.append(LoadReport(spec.name, "loaded"))
-        except Exception as exc:  # noqa: BLE001 - reported, as the reference does
-            if report is not None:
-                report.append(LoadReport(spec.name, "failed", f"{type(exc).__name__}: {exc}"))
+        return tagged(name, max_samples)
+    quota, notes = source_quota(max_samples, len(reg.sources)), []
+    parts = [p for p in (_attempt(own, lambda own=own: tagged(own, quota), notes) for own in reg.names())
+             if p is not None]
+    if report is not None:
+        report += notes
     if not parts:
-        raise ValueError("No source could be loaded.")
+        raise ValueError("every source failed: " + "; ".join(f"{n.source} ({n.error})" for n in notes))
     return union_sources(parts)
 
 
+def _attempt(own: str, build, notes: list[LoadReport]) -> DataFrame | None:
+    try:
+        part = build()
+    except Exception as exc:  # noqa: BLE001 - one source must not take the others with it
+        notes.append(LoadReport(own, "failed", f"{type(exc).__name__}: {exc}"))
+        return None
+    notes.append(LoadReport(own, "loaded"))
+    return part
+
+
+_DEFAULT: list[Callable[[], Registry]] = []
+
+
+def set_default_registry(build: Callable[[], Registry]) -> None:
+    """The registry used where none is given."""
+    _DEFAULT[:] = [build]
+
+
+def default_registry() -> Registry:
+    if not _DEFAULT:
+        raise ValueError("no registry given and no default set")
+    return _DEFAULT[0]()
+
+
 def union_sources(parts: list[DataFrame]) -> DataFrame:
     """Concatenation, duplicates kept; order = (source_rank, pair_id)."""
     out = parts[0]

@@ -12,6 +12,7 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import precis.plans.fixtures  # noqa: F401 - sets the default registry
     from precis.session import local_session
     s = local_session(4, shuffle_partitions=4, app_name="precis-tests")
     yield s

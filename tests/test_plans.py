@@ -24,20 +24,20 @@ def test_filter_pushed_and_columns_pruned(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan
 
 
-def test_rouge_n_has_one_exchange(spark):
+def test_rouge_scores_in_one_scan_without_exchange(spark):
     pairs = _docs(spark).select("pair_id", F.col("text").alias("prediction"),
                                 F.col("summary").alias("reference"))
-    plan = _plan(rouge.rouge_n(pairs))
-    assert plan.count("Exchange") == 1 and "hashpartitioning(pair_id" in plan
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    for scored in (rouge.rouge_n(pairs), rouge.rouge_all(pairs), rouge.ngram_overlap(rouge.tokenized(pairs))):
+        plan = _plan(scored)
+        assert "Exchange" not in plan and plan.count("FileScan") == 1
 
 
-def test_positions_window_is_partitioned(spark):
+def test_positions_need_no_window_over_rows(spark):
+    """Only the table of one row per partition goes through a window."""
     df = ordering.batch_rows(_docs(spark), 32)
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [row_number()" in line]
-    assert windows and all("_bk" in w.split("row_number()")[1] for w in windows)
-    assert "CartesianProduct" not in plan
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    windows = [k for k, line in enumerate(plan) if "Window [" in line]
+    assert len(windows) == 1 and "Aggregate" in "".join(plan[windows[0]:windows[0] + 3])
 
 
 def test_positions_equal_row_number(spark):
@@ -58,13 +58,40 @@ def test_grouped_positions(spark):
 
 def test_positions_with_a_hot_group(spark):
     """One group holding 90% of the rows: positions stay exact, and the hot
-    group is spread over the same B buckets as everything else."""
+    group is spread over the same range partitions as everything else."""
     hot = spark.range(0, 9000).select(F.lit("hot").alias("source"), F.col("id").alias("pair_id"))
     cold = spark.range(0, 1000).select(F.lit("cold").alias("source"), (F.col("id") * 9).alias("pair_id"))
     df = hot.unionByName(cold)
-    out = ordering.with_positions(df, ["pair_id"], "pos", group_cols=["source"], buckets=8)
+    out = ordering.with_positions(df, ["pair_id"], "pos", group_cols=["source"])
     got = out.groupBy("source").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"),
                                     F.count(F.lit(1)).alias("n"), F.countDistinct("pos").alias("d")).collect()
     stats = {r["source"]: (r["lo"], r["hi"], r["n"], r["d"]) for r in got}
     assert stats == {"hot": (0, 8999, 9000, 9000), "cold": (0, 999, 1000, 1000)}
     assert out.where((F.col("source") == "hot") & (F.col("pair_id") == 4321)).first()["pos"] == 4321
+
+
+def test_positions_of_text_keys_that_share_a_prefix(spark):
+    names = [f"https://{(k * 7919) % 10_000}" for k in range(10_000)]
+    df = spark.createDataFrame([(n,) for n in names], "pair_id string").repartition(7)
+    got = {r["pair_id"]: r["pos"] for r in ordering.with_positions(df, ["pair_id"]).collect()}
+    assert [got[n] for n in sorted(names)] == list(range(10_000))
+
+
+def test_first_n_has_one_way_for_every_n_and_key(spark):
+    names = [f"k{k:05d}" for k in range(12_000)]
+    df = spark.createDataFrame([(n, k % 3) for k, n in enumerate(names)], "pair_id string, part int").repartition(5)
+    for n in (1, 9_999, 10_000, 10_001, 50_000):
+        got = sorted(r["pair_id"] for r in ordering.first_n(df, n).collect())
+        assert got == names[:n]
+    two = ordering.first_n(df, 4_500, ("part", "pair_id"))
+    want = sorted(((k % 3, n) for k, n in enumerate(names)))[:4_500]
+    assert sorted((r["part"], r["pair_id"]) for r in two.collect()) == want
+    assert two.rdd.getNumPartitions() > 1
+
+
+def test_batches_of_two_order_columns(spark):
+    df = spark.createDataFrame([(s, p) for s in (1, 0) for p in range(200)], "source_rank int, pair_id long").repartition(6)
+    rows = ordering.batch_rows(df, 32, ("source_rank", "pair_id")).collect()
+    order = [(r["source_rank"], r["pair_id"]) for r in sorted(rows, key=lambda r: r["pos"])]
+    assert order == [(s, p) for s in (0, 1) for p in range(200)]
+    assert all(r["batch_id"] == r["pos"] // 32 and r["pos_in_batch"] == r["pos"] % 32 for r in rows)

@@ -96,5 +96,49 @@ def test_parquet_registry_source_keeps_file_order(spark, folder):
     assert [r["text"] for r in rows] == [f"src{i}" for i in range(8)]
     first3 = scan.load_source(spark, "wiki", "train", 3, folder, reg).collect()
     assert sorted(r["text"] for r in first3) == ["src0", "src1", "src2"]
-    with pytest.raises(ValueError, match="Available: train, test"):
+    with pytest.raises(ValueError, match="choose from: train, test"):
         scan.load_source(spark, "wiki", "validation", None, folder, reg)
+
+
+def _keys_are_positions(df, want):
+    rows = sorted(df.collect(), key=lambda r: r["pair_id"])
+    assert [r["pair_id"] for r in rows] == list(range(len(rows)))
+    assert [r["text"] for r in rows] == want
+
+
+def test_file_keys_are_unique_and_in_table_order(spark, folder):
+    from precis.sources.files import read_in_order
+    rows = [(f"t{k:04d}", "s") for k in range(20)]
+    schema = "text string, summary string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.option("maxRecordsPerFile", 4).parquet(f"{folder}/cut")
+    _keys_are_positions(read_in_order(spark, [f"{folder}/cut"]), [t for t, _ in rows])
+    os.makedirs(f"{folder}/plain/deep")
+    for k in range(5):
+        one = f"{folder}/tmp{k}"
+        spark.createDataFrame(rows[4 * k:4 * k + 4], schema).coalesce(1).write.parquet(one)
+        part = next(f"{one}/{x}" for x in os.listdir(one) if x.endswith(".parquet"))
+        os.link(part, f"{folder}/plain/{'deep/' if k > 2 else ''}{k:04d}0.parquet".replace("deep/", "deep/" if k > 2 else ""))
+    got = read_in_order(spark, [f"{folder}/plain"])
+    _keys_are_positions(got, [t for t, _ in rows])
+    listed = [f"{folder}/plain/00020.parquet", f"{folder}/plain/deep", f"{folder}/cut"]
+    _keys_are_positions(read_in_order(spark, listed), [t for t, _ in rows[8:] + rows])
+
+
+def test_saved_split_starts_with_its_first_file(spark, folder):
+    os.makedirs(f"{folder}/d/test")
+    for k, n in ((0, 3), (1, 3000)):
+        _write(spark, f"{folder}/part{k}", [])
+        spark.createDataFrame([(f"p{k}-{i}", "s") for i in range(n)], "text string, summary string").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{folder}/part{k}")
+        part = next(x for x in os.listdir(f"{folder}/part{k}") if x.endswith(".parquet"))
+        os.link(f"{folder}/part{k}/{part}", f"{folder}/d/test/part-0000{k}.parquet")
+    from precis.operators.ordering import first_n
+    df = scan_saved_split(spark, f"{folder}/d", "test")
+    assert sorted(r["text"] for r in first_n(df, 4).collect()) == ["p0-0", "p0-1", "p0-2", "p1-0"]
+
+
+def test_saved_dir_keys_run_on_from_child_to_child(spark, folder):
+    for name in "ab":
+        _write(spark, f"{folder}/{name}/train", [(f"{name}{k}", "s") for k in range(30)])
+    df = scan_saved_dir(spark, folder)
+    _keys_are_positions(df, [f"{n}{k}" for n in "ab" for k in range(30)])

@@ -10,12 +10,13 @@ from precis.functions.arrays import EOS, SOS
 from precis.operators import decoding as dc
 from precis.operators import pairs as pr
 from precis.operators.encode import encode_pairs
-from precis.operators.generate import Scorer, constrained_step, generate_ids
+from precis.operators.generate import Scorer, Seen, choose, decode
 from precis.operators.nexttoken import token_cross_entropy
 from precis.operators.ordering import first_n
 from precis.operators.runlog import early_stop, epoch_loss, run_summary
 from precis.sources import scan
-from precis.sources.registry import Registry, SourceSpec, fixture_registry
+from precis.plans.fixtures import fixture_registry
+from precis.sources.registry import Registry, SourceSpec
 from tests.conftest import SF_SMALL
 
 
@@ -66,10 +67,10 @@ def test_t5_validation_cap():
 
 def test_t6_bad_split_swallowed_in_all_mode(spark):
     reg = fixture_registry()
-    with pytest.raises(ValueError, match="Unknown split"):
+    with pytest.raises(ValueError, match="No split"):
         scan.load_pairs(spark, "conv", "dev", None, SF_SMALL, reg)
     report = []
-    with pytest.raises(ValueError, match="No source could be loaded"):
+    with pytest.raises(ValueError, match="every source failed"):
         scan.load_pairs(spark, "all", "dev", None, SF_SMALL, reg, report)
     assert [r.status for r in report] == ["failed"] * 3
 
@@ -128,18 +129,22 @@ def test_early_stop_equals_loop(spark):
 
 
 def test_t10_plain_greedy_drops_eos_constrained_keeps_it():
-    class Fixed:
-        v = 8
-
-        def logits(self, src, prefix):
-            import numpy as np
-            out = np.full(8, -5.0)
-            out[EOS] = 10.0 if len(prefix) >= 5 else -1.0
-            out[5 + len(prefix) % 3] = 1.0
+    import numpy as np
+
+    class Fixed(Scorer):
+        """Offers eos once the fourth call comes."""
+        def __init__(self):
+            self.size, self.bonus, self.calls = 8, 1.0, 0
+
+        def logits(self, last, bonus):
+            self.calls += 1
+            out = np.full((len(last), 8), -5.0)
+            out[:, EOS] = 10.0 if self.calls >= 5 else -1.0
+            out[:, 5 + self.calls % 3] = 1.0
             return out
-    plain = generate_ids([5], Fixed(), 20, rules=False)
+    plain = decode([[5]], Fixed(), 20, rules=False)[0]
     assert plain[0] == SOS and EOS not in plain
-    ruled = generate_ids([5], Fixed(), 20, rules=True)
+    ruled = decode([[5]], Fixed(), 20, rules=True)[0]
     assert ruled[0] == SOS and ruled[-1] == EOS and len(ruled) >= 6
 
 
@@ -156,7 +161,7 @@ def test_t12_all_minus_inf_picks_lowest_id(spark):
                               "seq_id long, token_id long, logit double")
     p = spark.createDataFrame([(1, [0, 5])], "seq_id long, prefix array<int>")
     assert dc.decode_step(c, p).first()["next_token"] == 0
-    assert constrained_step(np.full(6, -np.inf), [0, 5]) == 0
+    assert choose(np.full((1, 6), -np.inf), np.array([[0, 5]]), [Seen([0, 5])])[0] == 0
 
 
 def test_g5_repeat_takes_second_best(spark):
@@ -166,7 +171,7 @@ def test_g5_repeat_takes_second_best(spark):
     p = spark.createDataFrame([(1, [0, 7, 5, 5])], "seq_id long, prefix array<int>")
     got = dc.decode_step(c, p).first()["next_token"]
     arr = np.array(logits)
-    assert got == constrained_step(arr, [0, 7, 5, 5])
+    assert got == choose(arr[None, :], np.array([[0, 7, 5, 5]]), [Seen([0, 7, 5, 5])])[0]
     # 5 is penalised to 6.0 (< 8.0), so 6 is best already
     assert got == 6
 
