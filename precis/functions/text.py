@@ -51,42 +51,35 @@ def pretokenize(text) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(PRETOKEN_PATTERN), F.lit(0))
 
 
+#: the bytes whose symbol is another character, as ISO-8859-1 characters; byte
+#: 0 goes apart, since ``translate`` cannot map to it
+_MOVED = "".join(chr(b) for b in range(1, 256) if BYTE_ALPHABET[b] != chr(b))
+_SYMBOLS = "".join(BYTE_ALPHABET[ord(c)] for c in _MOVED)
+_LATIN = "ISO-8859-1"
+
+
 def byte_symbols(text) -> Column:
-    """Each UTF-8 byte of ``text`` as one printable character (string)."""
-    hexes = F.regexp_extract_all(F.hex(F.encode(_col(text), "UTF-8")), F.lit(".."), F.lit(0))
-    chars = F.transform(
-        hexes,
-        lambda h: F.substring(F.lit(BYTE_ALPHABET),
-                              F.conv(h, 16, 10).cast("int") + F.lit(1), F.lit(1)),
-    )
-    return F.array_join(chars, "")
+    """Each UTF-8 byte of ``text`` as one printable character (string).
+    The bytes are read as ISO-8859-1, one character each, and translated."""
+    latin = F.decode(F.encode(_col(text), "UTF-8"), _LATIN)
+    return F.replace(F.translate(latin, _MOVED, _SYMBOLS), F.lit("\0"), F.lit(BYTE_ALPHABET[0]))
 
 
 def byte_symbol_array(text) -> Column:
     """X2 as an array of one-character strings (the symbols of BPE)."""
-    hexes = F.regexp_extract_all(F.hex(F.encode(_col(text), "UTF-8")), F.lit(".."), F.lit(0))
-    return F.transform(
-        hexes,
-        lambda h: F.substring(F.lit(BYTE_ALPHABET),
-                              F.conv(h, 16, 10).cast("int") + F.lit(1), F.lit(1)),
-    )
+    symbols = byte_symbols(text)
+    return F.when(symbols == "", F.array().cast("array<string>")).otherwise(F.split(symbols, ""))
 
 
 def byte_unsymbols(symbols) -> Column:
     """Byte-level string back to text; invalid UTF-8 becomes U+FFFD."""
-    chars = F.regexp_extract_all(_col(symbols), F.lit("(?s)."), F.lit(0))
-    hexes = F.transform(
-        chars, lambda c: F.lpad(F.hex(F.instr(F.lit(BYTE_ALPHABET), c) - F.lit(1)), 2, "0")
-    )
-    raw = F.unhex(F.array_join(hexes, ""))
-    return F.make_valid_utf8(raw.cast("string"))
+    latin = F.translate(F.replace(_col(symbols), F.lit(BYTE_ALPHABET[0]), F.lit("\0")), _SYMBOLS, _MOVED)
+    return F.make_valid_utf8(F.encode(latin, _LATIN).cast("string"))
 
 
 def word_count(text) -> Column:
     """X11: ``len(text.split())``; 0 for null or empty."""
-    words = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")),
-                                 F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0))
-    return F.size(words)
+    return F.regexp_count(F.coalesce(_col(text), F.lit("")), F.lit(r"(?U)[^\s\x1c-\x1f]+"))
 
 
 def char_count(text) -> Column:
