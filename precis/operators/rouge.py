@@ -1,221 +1,203 @@
 """ROUGE scoring: J1 pair_predictions, J3 ngram_overlap, A8 rouge_n,
 A9 rouge_l, A10 rouge_lsum, A11 rouge_corpus.
 
-Plan shape: the pair table is hash-partitioned on ``pair_id`` once; n-gram
-rows are exploded *after* that shuffle and aggregated on (pair_id, n, ngram)
-and then on (pair_id, n) without another exchange (the hash partitioning on
-``pair_id`` already clusters both groupings).  Token rows never cross the
-network; only pair rows do.  LCS (A9, A10) is a dynamic programme with no
-built-in equivalent: it runs in Arrow-batched pandas UDFs on token arrays
-that the JVM has already produced.
+Plan shape: prediction and reference sit in one row, so scoring moves nothing:
+the JVM makes the token arrays, one Arrow-batched pandas UDF codes the tokens
+of a pair as integers and computes every metric asked for, and the metrics of a
+row become rows.  One scan, no exchange, and no need for a unique key.  Longest
+common subsequences are bit-parallel: a row of the table is one integer with a
+bit per token.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections import Counter
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import rouge_tokens, split_lines
 
 KEY = "pair_id"
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """n-grams of a token array, joined by a space (tokens hold no space)."""
-    if n == 1:
-        return tokens
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-                        lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
+SCORES = "array<struct<metric: string, precision: double, recall: double, fmeasure: double>>"
+GRAMS = "array<struct<n: int, ngram: string, n_pred: long, n_ref: long, overlap: long>>"
 
 
-def fmeasure(p: Column, r: Column) -> Column:
-    return F.when((p + r) > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
+# --- scores of one pair ------------------------------------------------------
 
+def gram_counts(tokens: Sequence, n: int) -> Counter:
+    return Counter(zip(*(tokens[k:] for k in range(n)))) if n > 1 else Counter(tokens)
 
-def tokenized(pairs: DataFrame, pred: str = "prediction", ref: str = "reference",
-              unicode: bool = False, key: str = KEY) -> DataFrame:
-    """X17 on both sides, after one shuffle of pair rows on the key."""
-    return pairs.repartition(key).select(
-        key, rouge_tokens(F.col(pred), unicode).alias("_pt"),
-        rouge_tokens(F.col(ref), unicode).alias("_rt"))
-
-
-def _gram_rows(toks: DataFrame, orders, key: str) -> DataFrame:
-    """One row per (pair, n, n-gram occurrence) with a side flag, plus one
-    empty sentinel row per (pair, n) so pairs without n-grams keep a row."""
-    def tag(n, cp, cr):
-        # one-argument lambda: transform() treats a second argument as the index
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"),
-                                  F.lit(cp).alias("cp"), F.lit(cr).alias("cr"))
-
-    items = []
-    for n in orders:
-        items.append(F.array(F.struct(F.lit(n).alias("n"), F.lit(None).cast("string").alias("g"),
-                                      F.lit(0).alias("cp"), F.lit(0).alias("cr"))))
-        items.append(F.transform(ngrams(F.col("_pt"), n), tag(n, 1, 0)))
-        items.append(F.transform(ngrams(F.col("_rt"), n), tag(n, 0, 1)))
-    exploded = toks.select(key, F.inline(F.concat(*items)))
-    return exploded.groupBy(key, "n", "g").agg(
-        F.sum("cp").alias("n_pred"), F.sum("cr").alias("n_ref")
-    ).withColumn("overlap", F.least("n_pred", "n_ref"))
-
-
-def ngram_overlap(toks: DataFrame, orders=(1, 2), key: str = KEY) -> DataFrame:
-    """Per (pair, n, ngram) the prediction count, the reference count and
-    the clipped overlap ``least(a, b)`` (the match of the two count tables)."""
-    return _gram_rows(toks, orders, key).where(F.col("g").isNotNull()) \
-        .withColumnRenamed("g", "ngram")
 
+def score(hits: int, n_pred: int, n_ref: int) -> tuple[float, float, float]:
+    """Precision, recall and F; 0 where a side has nothing."""
+    p, r = (hits / n_pred if n_pred else 0.0), (hits / n_ref if n_ref else 0.0)
+    return p, r, (2.0 * p * r / (p + r) if p + r > 0 else 0.0)
 
-def rouge_n(pairs: DataFrame, orders=(1, 2), pred: str = "prediction", ref: str = "reference",
-            unicode: bool = False, key: str = KEY) -> DataFrame:
-    """Per pair and n: precision = overlap / prediction n-grams, recall =
-    overlap / reference n-grams (each 0 when its side has none), F = 2PR/(P+R).
-    Output: pair_id, metric ('rouge1', 'rouge2', ...), precision, recall,
-    fmeasure.  One exchange (pair rows on the key); both aggregations reuse
-    its partitioning."""
-    toks = tokenized(pairs, pred, ref, unicode, key)
-    per = _gram_rows(toks, orders, key).groupBy(key, "n").agg(
-        F.sum("overlap").alias("overlap"), F.sum("n_pred").alias("tp"), F.sum("n_ref").alias("tr"))
-    p = F.col("overlap") / F.greatest(F.col("tp"), F.lit(1))
-    r = F.col("overlap") / F.greatest(F.col("tr"), F.lit(1))
-    return per.select(key, F.concat(F.lit("rouge"), F.col("n").cast("string")).alias("metric"),
-                      p.alias("precision"), r.alias("recall"), fmeasure(p, r).alias("fmeasure"))
-
-
-# --- LCS helpers (per-row, Arrow batched) -----------------------------------
-
-def lcs_length(a, b) -> int:
-    """Length of the longest common subsequence; numpy row recurrence:
-    new[j] = max(prev[j], prev[j-1] + 1 if a_i == b_j) then a running max."""
-    if len(a) == 0 or len(b) == 0:
+
+def _places(tokens: Sequence) -> dict:
+    """Token -> integer with a bit for each place of the token."""
+    out: dict = {}
+    for k, t in enumerate(tokens):
+        out[t] = out.get(t, 0) | (1 << k)
+    return out
+
+
+def _rows(tokens: Sequence, over: Sequence):
+    """Rows of the common-subsequence table of ``tokens`` against ``over``:
+    bit j is 0 where the length grows from column j to j + 1."""
+    mask = (1 << len(over)) - 1
+    places, row = _places(over), mask
+    for t in tokens:
+        hit = row & places.get(t, 0)
+        row = ((row + hit) | (row - hit)) & mask
+        yield row
+
+
+def lcs_length(a: Sequence, b: Sequence) -> int:
+    """Length of the longest common subsequence."""
+    if not len(a) or not len(b):
         return 0
-    if len(a) < len(b):
-        a, b = b, a
-    vocab = {}
-    bi = np.fromiter((vocab.setdefault(t, len(vocab)) for t in b), dtype=np.int64, count=len(b))
-    prev = np.zeros(len(b) + 1, dtype=np.int32)
-    for t in a:
-        code = vocab.get(t)
-        if code is None:
-            continue
-        match = bi == code
-        cand = np.where(match, prev[:-1] + 1, prev[1:])
-        new = np.empty_like(prev)
-        new[0] = 0
-        np.maximum.accumulate(cand, out=new[1:])
-        prev = new
-    return int(prev[-1])
-
-
-def _lcs_table(ref, can) -> np.ndarray:
-    t = np.zeros((len(ref) + 1, len(can) + 1), dtype=np.int32)
-    can_arr = np.array(can, dtype=object)
-    for i in range(1, len(ref) + 1):
-        match = can_arr == ref[i - 1]
-        cand = np.where(match, t[i - 1, :-1] + 1, t[i - 1, 1:])
-        np.maximum.accumulate(cand, out=t[i, 1:])
-    return t
-
-
-def _lcs_ref_indices(ref, can) -> list[int]:
-    """Indices of ``ref`` on one LCS with ``can`` (backtrack from the end:
-    equal tokens take the diagonal, else move left when that keeps more)."""
-    t = _lcs_table(ref, can)
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):
+        pass
+    return len(b) - row.bit_count()
+
+
+def lcs_places(ref: Sequence, can: Sequence) -> list[int]:
+    """Places of ``ref`` on one longest common subsequence with ``can``: from
+    the end, equal tokens are taken, else the side whose loss keeps more is
+    shortened, ``ref`` if both keep the same.  Holds a bit per cell."""
+    if not len(ref) or not len(can):
+        return []
+    rows = [(1 << len(can)) - 1, *_rows(ref, can)]
     i, j, out = len(ref), len(can), []
-    while i > 0 and j > 0:
+    while i and j:
         if ref[i - 1] == can[j - 1]:
-            out.append(i - 1)
-            i -= 1
-            j -= 1
-        elif t[i, j - 1] > t[i - 1, j]:
+            i, j = i - 1, j - 1
+            out.append(i)
+            continue
+        left = (1 << (j - 1)) - 1
+        without_can = j - 1 - (rows[i] & left).bit_count()
+        without_ref = j - (rows[i - 1] & (2 * left + 1)).bit_count()
+        if without_can > without_ref:
             j -= 1
         else:
             i -= 1
-    out.reverse()
-    return out
+    return out[::-1]
 
 
-def summary_lcs_hits(ref_sents, can_sents) -> tuple[int, int, int]:
-    """ROUGE-Lsum counts: union-LCS hits of every reference sentence against
-    all candidate sentences, clipped by token counts; returns (hits, m, n)."""
-    m = sum(len(s) for s in ref_sents)
-    n = sum(len(s) for s in can_sents)
-    if not ref_sents or not can_sents or m == 0 or n == 0:
-        return 0, m, n
-    from collections import Counter
-    cnt_r = Counter(t for s in ref_sents for t in s)
-    cnt_c = Counter(t for s in can_sents for t in s)
-    hits = 0
+def summary_lcs_hits(ref_sents: Sequence, can_sents: Sequence) -> tuple[int, int, int]:
+    """ROUGE-Lsum counts (hits, reference tokens, candidate tokens): the union
+    of the places that a reference sentence shares with any candidate sentence,
+    each token counted at most as often as either side has it."""
+    left_r = Counter(t for s in ref_sents for t in s)
+    left_c = Counter(t for s in can_sents for t in s)
+    m, n, hits = left_r.total(), left_c.total(), 0
     for r in ref_sents:
-        union = set()
-        for c in can_sents:
-            union.update(_lcs_ref_indices(list(r), list(c)))
-        for idx in sorted(union):
-            tok = r[idx]
-            if cnt_c[tok] > 0 and cnt_r[tok] > 0:
+        for k in sorted({k for c in can_sents for k in lcs_places(r, c)}):
+            if left_c[r[k]] > 0 and left_r[r[k]] > 0:
                 hits += 1
-                cnt_c[tok] -= 1
-                cnt_r[tok] -= 1
+                left_c[r[k]] -= 1
+                left_r[r[k]] -= 1
     return hits, m, n
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_length_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int32")
+def _coded(texts: list[list], codes: dict) -> list[list[int]]:
+    return [[codes.setdefault(t, len(codes)) for t in x] for x in texts]
 
 
-_HITS = T.StructType([T.StructField("hits", T.IntegerType()), T.StructField("m", T.IntegerType()),
-                      T.StructField("n", T.IntegerType())])
+def pair_scores(pred_lines: list[list], ref_lines: list[list], pred: list, ref: list,
+                metrics: Sequence[str]) -> list[tuple]:
+    """(metric, precision, recall, F) of one pair of tokenised texts."""
+    codes: dict = {}
+    (p, r), out = _coded([pred, ref], codes), []
+    for m in metrics:
+        if m == "rougeL":
+            got = score(lcs_length(p, r), len(p), len(r))
+        elif m == "rougeLsum":
+            hits, n_ref, n_pred = summary_lcs_hits(_coded(ref_lines, codes), _coded(pred_lines, codes))
+            got = score(hits, n_pred, n_ref)
+        else:
+            n = int(m.removeprefix("rouge"))
+            a, b = gram_counts(p, n), gram_counts(r, n)
+            got = score((a & b).total(), a.total(), b.total())
+        out.append((m, *got))
+    return out
+
+
+# --- tables ------------------------------------------------------------------
+
+def rouge_scores(pairs: DataFrame, metrics: Sequence[str], pred: str = "prediction", ref: str = "reference",
+                 unicode: bool = False, key: str = KEY) -> DataFrame:
+    """``key, metric, precision, recall, fmeasure``, a row per pair and metric."""
+    def lines(c: str) -> Column:
+        if "rougeLsum" not in metrics:
+            return F.array().cast("array<array<string>>")
+        return F.transform(split_lines(F.col(c)), lambda s: rouge_tokens(s, unicode))
+
+    @F.pandas_udf(SCORES)
+    def scored(pl: pd.Series, rl: pd.Series, p: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("metric", "precision", "recall", "fmeasure"), s))
+                           for s in pair_scores(a, b, list(c), list(d), metrics)]
+                          for a, b, c, d in zip(pl, rl, p, r)])
+
+    return pairs.select(key, F.inline(scored(lines(pred), lines(ref), rouge_tokens(F.col(pred), unicode),
+                                             rouge_tokens(F.col(ref), unicode))))
+
+
+def tokenized(pairs: DataFrame, pred: str = "prediction", ref: str = "reference",
+              unicode: bool = False, key: str = KEY) -> DataFrame:
+    """X17 on both sides."""
+    return pairs.select(key, rouge_tokens(F.col(pred), unicode).alias("_pt"),
+                        rouge_tokens(F.col(ref), unicode).alias("_rt"))
 
 
-@F.pandas_udf(_HITS)
-def lsum_hits_udf(ref_sents: pd.Series, can_sents: pd.Series) -> pd.DataFrame:
-    rows = [summary_lcs_hits([list(s) for s in r], [list(s) for s in c])
-            for r, c in zip(ref_sents, can_sents)]
-    return pd.DataFrame(rows, columns=["hits", "m", "n"]).astype("int32")
+def ngram_overlap(toks: DataFrame, orders: Sequence[int] = (1, 2), key: str = KEY) -> DataFrame:
+    """Per (pair, n, ngram) the prediction count, the reference count and
+    the clipped overlap (the match of the two count tables), inside the row."""
+    @F.pandas_udf(GRAMS)
+    def grams(p: pd.Series, r: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(p, r):
+            rows = []
+            for n in orders:
+                x, y = gram_counts(list(a), n), gram_counts(list(b), n)
+                rows += [{"n": n, "ngram": g if n == 1 else " ".join(g), "n_pred": x[g], "n_ref": y[g],
+                          "overlap": min(x[g], y[g])} for g in x | y]
+            out.append(rows)
+        return pd.Series(out)
+
+    return toks.select(key, F.inline(grams("_pt", "_rt")))
+
+
+def rouge_n(pairs: DataFrame, orders: Sequence[int] = (1, 2), pred: str = "prediction", ref: str = "reference",
+            unicode: bool = False, key: str = KEY) -> DataFrame:
+    """precision = overlap / prediction n-grams, recall = overlap /
+    reference n-grams (each 0 when its side has none), F = 2PR/(P+R)."""
+    return rouge_scores(pairs, [f"rouge{n}" for n in orders], pred, ref, unicode, key)
 
 
 def rouge_l(pairs: DataFrame, pred: str = "prediction", ref: str = "reference",
             unicode: bool = False, key: str = KEY) -> DataFrame:
-    """LCS-based precision, recall and F per pair (0 when a side is
-    empty).  No shuffle: one pair is one row."""
-    toks = pairs.select(key, rouge_tokens(F.col(pred), unicode).alias("_pt"),
-                        rouge_tokens(F.col(ref), unicode).alias("_rt"))
-    lcs = toks.withColumn("lcs", lcs_length_udf("_pt", "_rt"))
-    p = F.when(F.size("_pt") > 0, F.col("lcs") / F.size("_pt")).otherwise(0.0)
-    r = F.when(F.size("_rt") > 0, F.col("lcs") / F.size("_rt")).otherwise(0.0)
-    both = (F.size("_pt") > 0) & (F.size("_rt") > 0)
-    return lcs.select(key, F.lit("rougeL").alias("metric"),
-                      F.when(both, p).otherwise(0.0).alias("precision"),
-                      F.when(both, r).otherwise(0.0).alias("recall"),
-                      F.when(both, fmeasure(p, r)).otherwise(0.0).alias("fmeasure"))
+    """The same with the length of the longest common subsequence."""
+    return rouge_scores(pairs, ["rougeL"], pred, ref, unicode, key)
 
 
 def rouge_lsum(pairs: DataFrame, pred: str = "prediction", ref: str = "reference",
                unicode: bool = False, key: str = KEY) -> DataFrame:
-    """A10: summary-level LCS; texts are split on newlines (empty lines
-    dropped), each line tokenised with X17."""
-    def sents(c):
-        return F.transform(split_lines(F.col(c)), lambda s: rouge_tokens(s, unicode))
-    toks = pairs.select(key, sents(ref).alias("_rs"), sents(pred).alias("_cs"))
-    h = toks.withColumn("h", lsum_hits_udf("_rs", "_cs")).select(key, "h.*")
-    p = F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(0.0)
-    r = F.when(F.col("m") > 0, F.col("hits") / F.col("m")).otherwise(0.0)
-    return h.select(key, F.lit("rougeLsum").alias("metric"), p.alias("precision"),
-                    r.alias("recall"), fmeasure(p, r).alias("fmeasure"))
+    """A10: summary-level; texts are split on newlines, empty lines dropped."""
+    return rouge_scores(pairs, ["rougeLsum"], pred, ref, unicode, key)
 
 
 def rouge_all(pairs: DataFrame, pred: str = "prediction", ref: str = "reference",
               unicode: bool = False, key: str = KEY) -> DataFrame:
-    """All four metrics per pair, long form."""
-    return rouge_n(pairs, (1, 2), pred, ref, unicode, key) \
-        .unionByName(rouge_l(pairs, pred, ref, unicode, key)) \
-        .unionByName(rouge_lsum(pairs, pred, ref, unicode, key))
+    """All four metrics per pair, in one pass."""
+    return rouge_scores(pairs, ALL_METRICS, pred, ref, unicode, key)
 
 
 def rouge_corpus(scores: DataFrame, metrics: tuple[str, ...] | None = None) -> DataFrame:

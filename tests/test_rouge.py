@@ -91,7 +91,7 @@ def test_lcs_length_equals_brute_force(a, b):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=10), st.lists(st.sampled_from("abc"), max_size=10))
 def test_lcs_indices_equal_brute_force(a, b):
-    assert rouge._lcs_ref_indices(a, b) == _lcs_ind(a, b)
+    assert rouge.lcs_places(a, b) == _lcs_ind(a, b)
 
 
 def test_rouge_metrics_equal_python(spark):
@@ -122,3 +122,30 @@ def test_corpus_mean_and_empty(spark):
     assert rouge.rouge_corpus(rouge.rouge_n(empty)).count() == 0
     zeros = {r["metric"]: r["score"] for r in rouge.rouge_corpus(rouge.rouge_n(empty), rouge.ALL_METRICS).collect()}
     assert zeros == {m: 0.0 for m in rouge.ALL_METRICS}
+
+
+def test_long_pair_stays_small():
+    import tracemalloc
+    import random
+    rng = random.Random(3)
+    a, b = ([rng.randrange(400) for _ in range(20_000)] for _ in "ab")
+    tracemalloc.start()
+    places = rouge.lcs_places(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and len(places) == rouge.lcs_length(a, b)
+    rest = iter(b)
+    assert all(any(x == a[k] for x in rest) for k in places)
+
+
+def test_lsum_of_one_line_is_l_and_of_equal_texts_is_one():
+    import random
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.choice(WORDS) for _ in range(rng.randrange(1, 12))] for _ in "ab")
+        one = rouge.pair_scores([a], [b], a, b, ("rougeL", "rougeLsum"))
+        # hits are the LCS tokens, each at most as often as either side has it
+        assert one[0][1:] == one[1][1:]
+        cut = rng.randrange(len(a) + 1)
+        lines = [x for x in (a[:cut], a[cut:]) if x]
+        assert rouge.pair_scores(lines, lines, a, a, ("rougeLsum",))[0][1:] == (1.0, 1.0, 1.0)
