@@ -1,19 +1,20 @@
 """Batch generation: G6 greedy_plain, G7 batch_summarize, X19 error_fallback.
 
-Generation is 150 dependent steps per row, so it is not a DataFrame loop:
-one ``mapInPandas`` pass runs every row's steps inside its task.  The JVM has
-already split special literals and pre-tokenized the text (X1); the worker
-encodes (X4), scores each step with the count-based next-token table (G8),
-applies the rules G1-G5 with numpy on one vector of V logits, and returns ids
-only.  Decoding (X10) is back in the JVM.  The merges and the scorer table
-are broadcast after a size check; they are bounded by the vocabulary size and
-by the distinct bigrams of the training data, not by the corpus being
-summarised.
+Generation is up to 150 dependent steps, so it is no DataFrame loop: a pandas
+UDF decodes the rows of an Arrow batch together.  Each step scores a matrix
+(rows still open x vocabulary), applies the rules G1-G5 to all its rows as
+masks, takes one token per row, and closes the rows that are done.  A row keeps
+a hash of the bigrams it has seen, so the repeat rule costs one look-up.
+
+The JVM splits special literals and pre-tokenizes (X1) before, and decodes the
+ids (X10) after; the other columns of the table stay where they are.  The scorer
+is a file in the shared folder that each worker opens once; the driver never
+holds it.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -22,147 +23,165 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import EOS, SOS
 from ..functions.text import is_blank
+from ..session import shared_path
+from ..sources.shared import read_columns
 from .bpe import BpeModel
 from .decoding import BLOCKED, MIN_PREFIX, PENALTY, RECENT_WINDOW, TRIGRAM_MIN_PREFIX
 from .encode import _Encoder, decode_ids, pretokens_with_specials
 
-ERROR_TEXT = "Error during generation"
-#: successor rows allowed in the broadcast scorer
-MAX_SCORER_ROWS = 5_000_000
+ERROR_TEXT = "Error during generation"  # fixed value: the text of a failed row
 SOURCE_BONUS = 1.0
 ALPHA = 0.1
+#: cells of the score matrix of one decoding batch
+CELLS = 1 << 22
 
 
 class Scorer:
     """logit(t | prefix, src) = ln((n(prev, t) + a) / (total(prev) + a V))
     + bonus * [t in src], prev = last token of the prefix."""
 
-    def __init__(self, rows, vocab_size: int, alpha: float = ALPHA, bonus: float = SOURCE_BONUS):
-        self.v = vocab_size
-        self.alpha = alpha
-        self.bonus = bonus
-        prev, nxt, cnt = (np.asarray(x) for x in rows)
+    def __init__(self, prev: np.ndarray, nxt: np.ndarray, n: np.ndarray, vocab_size: int,
+                 alpha: float = ALPHA, bonus: float = SOURCE_BONUS):
+        self.size, self.alpha, self.bonus = vocab_size, alpha, bonus
         order = np.argsort(prev, kind="stable")
-        self.prev, self.next, self.n = prev[order], nxt[order], cnt[order].astype(float)
-        self.starts = {}
-        if len(self.prev):
-            uniq, first, counts = np.unique(self.prev, return_index=True, return_counts=True)
-            for p, f, c in zip(uniq, first, counts):
-                self.starts[int(p)] = (int(f), int(c), float(self.n[f:f + c].sum()))
-
-    def logits(self, src_set: np.ndarray, prefix: list[int]) -> np.ndarray:
-        prev = prefix[-1]
-        f, c, total = self.starts.get(prev, (0, 0, 0.0))
-        denom = total + self.alpha * self.v
-        out = np.full(self.v, np.log(self.alpha / denom))
-        if c:
-            out[self.next[f:f + c]] = np.log((self.n[f:f + c] + self.alpha) / denom)
-        out[src_set] += self.bonus
+        self.next, self.n = nxt[order], n[order].astype(float)
+        self.first = np.searchsorted(prev[order], np.arange(vocab_size + 1))
+        self.total = np.bincount(prev, n, vocab_size)
+
+    def source_bonus(self, sources: list[list[int]]) -> np.ndarray:
+        out = np.zeros((len(sources), self.size))
+        for row, ids in zip(out, sources):
+            row[ids] = self.bonus
+        return out
+
+    def logits(self, last: np.ndarray, bonus: np.ndarray) -> np.ndarray:
+        scale = self.total[last] + self.alpha * self.size
+        many = self.first[last + 1] - self.first[last]
+        row = np.repeat(np.arange(len(last)), many)
+        known = np.repeat(self.first[last] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        out = np.repeat(np.log(self.alpha / scale)[:, None], self.size, axis=1)
+        out[row, self.next[known]] = np.log((self.n[known] + self.alpha) / scale[row])
+        out += bonus
         return out
 
 
-def constrained_step(logits: np.ndarray, prefix: list[int]) -> int:
-    """G1-G5 on one logit vector (same rules and tie order as the table
-    operators: highest logit, then lowest id)."""
-    logits[list(BLOCKED)] = -np.inf
-    for t in set(prefix[-RECENT_WINDOW:]):
-        logits[t] = logits[t] / PENALTY if logits[t] > 0 else logits[t] * PENALTY
-    if len(prefix) < MIN_PREFIX:
-        logits[EOS] = -np.inf
-    if len(prefix) >= TRIGRAM_MIN_PREFIX:
-        last = (prefix[-2], prefix[-1])
-        for i in range(len(prefix) - 2):
-            if (prefix[i], prefix[i + 1]) == last:
-                logits[prefix[i + 2]] = -np.inf
-    best = int(np.argmax(logits))  # first maximum = lowest id
-    if len(prefix) > 2 and best == prefix[-1] == prefix[-2]:
-        order = np.lexsort((np.arange(len(logits)), -logits))
-        best = int(order[1])
+class Seen:
+    """What followed each bigram of a growing prefix."""
+
+    def __init__(self, prefix=()):
+        self.after = defaultdict(set)
+        for a, b, c in zip(prefix, prefix[1:], prefix[2:]):
+            self.after[int(a), int(b)].add(int(c))
+
+    def add(self, a: int, b: int, c: int) -> None:
+        self.after[a, b].add(c)
+
+    def banned(self, a: int, b: int) -> list[int]:
+        return list(self.after.get((a, b), ()))
+
+
+def choose(logits: np.ndarray, prefix: np.ndarray, seen: list[Seen]) -> np.ndarray:
+    """G1-G5 on a matrix of logits (changed in place), a row for each prefix;
+    the prefixes are equally long.  Ties go to the lowest id."""
+    rows, length = np.arange(len(prefix)), prefix.shape[1]
+    logits[:, list(BLOCKED)] = -np.inf
+    recent = np.zeros(logits.shape, bool)
+    recent[rows[:, None], prefix[:, -RECENT_WINDOW:]] = True
+    held = logits[recent]
+    logits[recent] = np.where(held > 0, held / PENALTY, held * PENALTY)
+    if length < MIN_PREFIX:
+        logits[:, EOS] = -np.inf
+    if length >= TRIGRAM_MIN_PREFIX:
+        for k in rows:
+            logits[k, seen[k].banned(int(prefix[k, -2]), int(prefix[k, -1]))] = -np.inf
+    best = logits.argmax(axis=1)
+    if length > 2:
+        for k in np.flatnonzero((best == prefix[:, -1]) & (best == prefix[:, -2])):
+            others = np.delete(logits[k], best[k])
+            at = int(others.argmax())
+            best[k] = at + (at >= best[k])
     return best
 
 
-def generate_ids(src: list[int], scorer: Scorer, max_len: int, rules: bool = True) -> list[int]:
-    """G7 (rules on: append, stop after eos) or G6 (rules off: stop before
-    eos).  Both keep the leading sos."""
-    src_set = np.unique(np.asarray(src, dtype=np.int64)) if src else np.zeros(0, dtype=np.int64)
-    prefix = [SOS]
+def decode(sources: list[list[int]], scorer: Scorer, max_len: int, rules: bool = True) -> list[list[int]]:
+    """G7 (rules on: eos is kept) or G6 (rules off: eos is dropped) for all
+    sources together; every result starts with sos."""
+    done: list[list[int]] = [[] for _ in sources]
+    live, bonus = np.arange(len(sources)), scorer.source_bonus(sources)
+    prefix, seen = np.full((len(sources), 1), SOS), [Seen() for _ in sources]
     for _ in range(max_len):
-        logits = scorer.logits(src_set, prefix)
-        if rules:
-            nxt = constrained_step(logits, prefix)
-            prefix.append(nxt)
-            if nxt == EOS:
-                break
-        else:
-            nxt = int(np.argmax(logits))
-            if nxt == EOS:
-                break
-            prefix.append(nxt)
-    return prefix
-
-
-_WORKERS: dict[str, tuple[_Encoder, Scorer]] = {}
-
-
-def scorer_rows(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The next-token table as three numpy arrays for broadcasting, after
-    checking its size (it grows with the vocabulary and the distinct
-    bigrams of the training data, not with the corpus being summarised).
-    Fetched through Arrow, not as Python rows."""
-    n = table.count()
-    if n > MAX_SCORER_ROWS:
-        raise ValueError(f"next-token table has {n} rows (> {MAX_SCORER_ROWS}); "
-                         "train it with a smaller vocabulary")
-    t = table.select(F.col("prev").cast("int"), F.col("next").cast("int"),
-                     F.col("n").cast("long")).toArrow()
-    return tuple(t.column(c).to_numpy() for c in ("prev", "next", "n"))
+        logits = scorer.logits(prefix[:, -1], bonus)
+        token = choose(logits, prefix, seen) if rules else logits.argmax(axis=1)
+        ends = token == EOS
+        grown = np.concatenate([prefix, token[:, None]], axis=1)
+        for k in np.flatnonzero(ends):
+            done[live[k]] = (grown if rules else prefix)[k].tolist()
+        stay = np.flatnonzero(~ends)
+        live, bonus, prefix, seen = live[stay], bonus[stay], grown[stay], [seen[k] for k in stay]
+        if not len(live):
+            break
+        if rules and prefix.shape[1] > 2:
+            for s, (a, b, c) in zip(seen, prefix[:, -3:].tolist()):
+                s.add(a, b, c)
+    for k, ids in zip(live, prefix.tolist()):
+        done[k] = ids
+    return done
+
+
+def decode_or_report(sources: list[list[int]], scorer: Scorer, max_len: int, rules: bool
+                     ) -> tuple[list[list[int] | None], list[str | None]]:
+    """A batch that fails is decoded row by row, and only the rows at
+    fault report their error."""
+    try:
+        return decode(sources, scorer, max_len, rules), [None] * len(sources)
+    except Exception as exc:  # noqa: BLE001 - reported per row
+        if len(sources) == 1:
+            return [None], [f"{type(exc).__name__}: {exc}"]
+        one = [decode_or_report([s], scorer, max_len, rules) for s in sources]
+        return [ids[0] for ids, _ in one], [err[0] for _, err in one]
+
+
+#: The model this worker has opened last, by the path of its scorer.
+_OPEN: dict[str, tuple[_Encoder, Scorer]] = {}
+
+
+def _open(path: str, merges: list, vocab_size: int) -> tuple[_Encoder, Scorer]:
+    if path not in _OPEN:
+        _OPEN.clear()
+        _OPEN[path] = _Encoder(merges), Scorer(*read_columns(path, ["prev", "next", "n"]), vocab_size)
+    return _OPEN[path]
 
 
 def batch_generate(df: DataFrame, model: BpeModel, table: DataFrame, vocab_size: int,
-                   text: str = "text", key: str = "pair_id", max_length: int = 150,
-                   rules: bool = True, min_length: int | None = None,
-                   num_beams: int | None = None) -> DataFrame:
+                   text: str = "text", max_length: int = 150, rules: bool = True,
+                   min_length: int | None = None, num_beams: int | None = None) -> DataFrame:
     """G7 / G6 over a whole table.  Adds ``gen_ids``, ``summary`` and
     ``error``: blank text -> '' without generation (F6); a text with no
-    ids -> ''; a failing row -> 'Error during generation' (X19) while the
-    job goes on.  ``min_length`` and ``num_beams`` are accepted and ignored,
-    as in the original ``summarize``."""
+    ids -> ''; a failing row -> the fallback text (X19) while the job goes on.
+    ``min_length`` and ``num_beams`` are accepted and ignored, as in the
+    original ``summarize``."""
     del min_length, num_beams
     spark = df.sparkSession
-    bc_merges = spark.sparkContext.broadcast(list(model.merges))
-    bc_table = spark.sparkContext.broadcast(scorer_rows(table))
-    v = vocab_size
-    token = uuid.uuid4().hex  # cache key of this model in the Python workers
-
-    def run(batches):
-        key_ = token
-        worker = _WORKERS.get(key_)
-        if worker is None:
-            worker = _WORKERS[key_] = (_Encoder(bc_merges.value), Scorer(bc_table.value, v))
-        enc, scorer = worker
-        for pdf in batches:
-            ids_out, errs = [], []
-            for pieces, blank in zip(pdf["_pieces"], pdf["_blank"]):
-                if blank:
-                    ids_out.append([])
-                    errs.append(None)
-                    continue
-                try:
-                    src = enc.encode(list(pieces))[:max_length]
-                    if not src:
-                        ids_out.append([])
-                        errs.append(None)
-                        continue
-                    ids_out.append(generate_ids(src, scorer, max_length, rules))
-                    errs.append(None)
-                except Exception as exc:  # noqa: BLE001 - X19: one row fails, not the job
-                    ids_out.append(None)
-                    errs.append(f"{type(exc).__name__}: {exc}")
-            yield pd.DataFrame({key: pdf[key], "gen_ids": ids_out, "error": errs})
-
-    prepared = df.select(key, is_blank(F.col(text)).alias("_blank"),
-                         F.slice(pretokens_with_specials(text), 1, max_length).alias("_pieces"))
-    gen = prepared.mapInPandas(run, f"{key} long, gen_ids array<int>, error string")
-    summary = F.when(F.col("error").isNotNull(), F.lit(ERROR_TEXT)).otherwise(
-        decode_ids(F.coalesce(F.col("gen_ids"), F.array().cast("array<int>")), model, strip=rules))
-    return gen.withColumn("summary", summary)
+    path = shared_path(spark, "scorer")
+    table.select(F.col("prev").cast("long"), F.col("next").cast("long"), F.col("n").cast("long")).write.parquet(path)
+    merges = spark.sparkContext.broadcast(list(model.merges))  # bounded by the vocabulary
+    at_once = max(CELLS // max(vocab_size, 1), 1)
+
+    @F.pandas_udf("gen_ids array<int>, error string")
+    def generated(pieces: pd.Series, blank: pd.Series) -> pd.DataFrame:
+        encoder, scorer = _open(path, merges.value, vocab_size)
+        sources = [[] if b else encoder.encode(list(p))[:max_length] for p, b in zip(pieces, blank)]
+        ids, errors = [[] for _ in sources], [None] * len(sources)
+        work = [k for k, s in enumerate(sources) if s]
+        for a in range(0, len(work), at_once):
+            some = work[a:a + at_once]
+            got, failed = decode_or_report([sources[k] for k in some], scorer, max_length, rules)
+            for k, i, e in zip(some, got, failed):
+                ids[k], errors[k] = i, e
+        return pd.DataFrame({"gen_ids": ids, "error": errors})
+
+    pieces = F.slice(pretokens_with_specials(text), 1, max_length)
+    out = df.withColumn("_gen", generated(pieces, is_blank(F.col(text)))).withColumns(
+        {"gen_ids": F.col("_gen.gen_ids"), "error": F.col("_gen.error")}).drop("_gen")
+    decoded = decode_ids(F.coalesce(F.col("gen_ids"), F.array().cast("array<int>")), model, strip=rules)
+    return out.withColumn("summary", F.when(F.col("error").isNotNull(), F.lit(ERROR_TEXT)).otherwise(decoded))

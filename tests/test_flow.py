@@ -19,6 +19,9 @@ def test_train_and_evaluate_writes_every_stage(spark):
     loss = spark.read.parquet(paths["validation_loss"]).first()
     assert loss["val_loss"] > 0 and loss["n_batches"] >= 1
     assert spark.read.parquet(f"{paths['tokenizer']}/vocab").count() == 275
+    log = spark.read.parquet(paths["run_log"]).collect()
+    assert len(log) == 1 and log[0]["epoch"] == 1 and log[0]["val_loss"] == loss["val_loss"]
+    assert log[0]["train_loss"] > 0 and 0 <= log[0]["rougeL"] <= 1 and 0 < log[0]["lr"] <= 1e-4
 
     from precis.operators.bpe import read_tokenizer
     model = read_tokenizer(spark, paths["tokenizer"])
