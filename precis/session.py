@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,10 @@ RECOMMENDED_CONF = {
 }
 
 
+#: the application that has the package
+_SHIPPED: dict[str, str] = {}
+
+
 def local_session(cores: int = 8, shuffle_partitions: int | None = None,
                   app_name: str = "precis") -> SparkSession:
     """A local session for tests and the bench (UI off, small shuffles)."""
@@ -59,6 +64,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that
+    their tasks import it wherever the application was started."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("application") == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="precis-pkg-"), "precis.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(archive)
+    _SHIPPED["application"] = sc.applicationId
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
