@@ -2,29 +2,31 @@
 
 Training works on the table of *distinct* pre-tokens with their counts (A2
 did the heavy reduction: a corpus of any size becomes one row per distinct
-pre-token).  Symbols are kept as text (``,5,12,7,``) so that every step is a
-codegen'd string expression.  The pair-count table is built once and then
-updated each round from the words a merge actually changed (old pairs -n,
-new pairs +n: exact deltas), so a round does not re-explode every word.  The
-driver only receives the top ``K`` pairs and, for their symbols, the highest
-count of any pair they take part in (bounded by K and the vocabulary size).
-Several merges are accepted per round when the one-by-one algorithm would
-provably pick them next:
-
-* a candidate shares no symbol with the merges already accepted this round,
-  so its count is unchanged, and
-* its count is strictly above every count a pair created by those merges can
-  reach (a pair (x, ab) occurs at most min(count(x, a), count(a, b)) times).
-
-Merges are applied left to right without overlap; lineage is cut with
-``checkpoint()`` into the cluster's checkpoint folder (the pair table every
-round, the words every ``checkpoint_every`` rounds, when one-symbol words
-are also dropped).
+pre-token).  Symbols are kept as text, each id in its own brackets
+(``<5><12><7>``), so a merge is a plain left-to-right replacement.  The
+pair-count table is built once and then updated each round from the words a
+merge actually changed (old pairs -n, new pairs +n: exact deltas).
+
+A round takes the ``top_k`` pairs and, for those, the counts of the triples
+they take part in.  Going down the list it accepts every merge that the
+one-by-one algorithm would provably pick next:
+
+* merging (a, b) uses up only pairs (b, y) and (x, a); any other pair keeps its
+  count, whatever symbols it shares;
+* a pair that is used up is passed over, not a reason to stop: of its
+  occurrences at least those in a triple with an accepted pair go, so the rest
+  is a bound of its new count;
+* a pair that a merge creates occurs at most as often as its triple;
+* a merge is accepted while its count is strictly above all those bounds.
+
+The driver receives the top pairs and numbers about them, so at most a few
+times ``top_k`` rows per round.  Words and pairs are written to the shared
+folder (the pairs every round, the words every ``rewrite_every`` rounds) and
+the tables they replace are deleted.
 """
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SORTED_ALPHABET, SPECIAL_TOKENS, byte_symbol_array
-from ..session import shuffle_partitions
+from ..session import shared_path, shuffle_partitions
 from .corpus import pretoken_counts
 
 N_SPECIAL = len(SPECIAL_TOKENS)
@@ -48,57 +50,64 @@ def symbol_ids(pretoken: Column) -> Column:
 
 def word_table(counts: DataFrame, pretoken: str = "pretoken", n: str = "n") -> DataFrame:
     """Distinct pre-tokens as (pretoken, n, syms), ``syms`` being the symbol
-    ids as text: ``,5,12,7,`` (a comma before and after every id).  Text
-    keeps every round inside codegen'd string expressions."""
-    ids = symbol_ids(F.col(pretoken))
-    return counts.select(pretoken, F.col(n).cast("long").alias("n"),
-                         F.concat(F.lit(","), F.array_join(ids, ","), F.lit(",")).alias("syms"))
+    ids as text, each in brackets."""
+    ids = F.transform(symbol_ids(F.col(pretoken)), lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">")))
+    return counts.select(pretoken, F.col(n).cast("long").alias("n"), F.array_join(ids, "").alias("syms"))
 
 
 def has_pair(syms: Column) -> Column:
     """At least two symbols."""
-    return syms.rlike(r"^,[0-9]+,[0-9]+,")
+    return syms.contains("><")
+
+
+def _ids(syms: Column) -> Column:
+    """The symbol ids as an array."""
+    plain = F.btrim(F.replace(syms, F.lit("><"), F.lit(" ")), F.lit("<>"))
+    return F.split(plain, " ").cast("array<int>")
+
+
+def _runs(words: DataFrame, k: int) -> DataFrame:
+    """``words`` (with ``n`` and ``syms``) as a row per run of ``k`` adjacent
+    symbols, overlapping ones included: ``n, s1 .. sk``."""
+    with_ids = words.select("n", _ids(F.col("syms")).alias("ids")).where(F.size("ids") >= k)
+    shifted = [F.slice("ids", j, F.size("ids") - (k - 1)).alias(f"s{j}") for j in range(1, k + 1)]
+    return with_ids.select("n", F.inline(F.arrays_zip(*shifted)))
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """A3: count of each adjacent symbol pair, weighted by the word count;
-    overlapping pairs all count (``aaa`` has two ``aa``).  A look-ahead
-    finds every pair, overlapping ones included."""
-    pairs = F.regexp_extract_all(F.col("syms"), F.lit(r"(?=,([0-9]+,[0-9]+),)"), F.lit(1))
-    counted = words.where(has_pair(F.col("syms"))).select("n", F.explode(pairs).alias("p")) \
-        .groupBy("p").agg(F.sum("n").alias("c"))
-    return counted.select(F.split_part("p", F.lit(","), F.lit(1)).cast("int").alias("l"),
-                          F.split_part("p", F.lit(","), F.lit(2)).cast("int").alias("r"), "c")
+    overlapping pairs all count (``aaa`` has two ``aa``)."""
+    return (_runs(words.where(has_pair(F.col("syms"))), 2)
+            .groupBy(F.col("s1").alias("l"), F.col("s2").alias("r")).agg(F.sum("n").alias("c")))
 
 
 def pair_deltas(rewritten: DataFrame) -> DataFrame:
     """Change of the pair counts caused by one round: every word whose
     symbols changed counts its old pairs -n and its new pairs +n."""
     changed = rewritten.where(F.col("old") != F.col("syms"))
-    signed = changed.select("n", F.inline(F.array(
-        F.struct(F.col("old").alias("s"), F.lit(-1).alias("sign")),
-        F.struct(F.col("syms").alias("s"), F.lit(1).alias("sign")))))
-    rows = signed.select((F.col("n") * F.col("sign")).alias("dn"), F.explode(
-        F.regexp_extract_all(F.col("s"), F.lit(r"(?=,([0-9]+,[0-9]+),)"), F.lit(1))).alias("p"))
-    return rows.groupBy("p").agg(F.sum("dn").alias("c")).select(
-        F.split_part("p", F.lit(","), F.lit(1)).cast("int").alias("l"),
-        F.split_part("p", F.lit(","), F.lit(2)).cast("int").alias("r"), "c")
-
-
-def merge_expr(syms: Column, merges: list[tuple[int, int, int]]) -> Column:
-    """Apply one round's merges one after the other; each replaces every
-    (a, b) left to right without overlap (the trailing comma is only looked
-    at, so ``a a a a`` gives two merges)."""
+    signed = changed.select((-F.col("n")).alias("n"), F.col("old").alias("syms")).unionByName(changed.select("n", "syms"))
+    return pair_counts(signed)
+
+
+def pair_text(l: int, r: int) -> str:
+    return f"<{l}><{r}>"
+
+
+def _packed(l, r):
+    """Two ids (numbers or columns) as one long."""
+    return (l.cast("long") if isinstance(l, Column) else l) * (1 << 31) + r
+
+
+def merge_expr(syms: str, merges: list[tuple[int, int, int]]) -> Column:
+    """Apply one round's merges one after the other to the column ``syms``;
+    each replaces every (a, b) left to right without overlap (``a a a a`` gives
+    two merges).  Most words hold none of the round's pairs: a substring test
+    skips them."""
     out = syms
     for a, b, n in merges:
-        out = F.regexp_replace(out, f",{a},{b}(?=,)", f",{n}")
-    if not merges:
-        return syms
-    # most words hold none of the round's pairs: a substring test skips them
-    hit = F.lit(False)
-    for a, b, _ in merges:
-        hit = hit | syms.contains(f",{a},{b},")
-    return F.when(hit, out).otherwise(syms)
+        out = f"replace({out}, '{pair_text(a, b)}', '<{n}>')"
+    hit = " OR ".join(f"contains({syms}, '{pair_text(a, b)}')" for a, b, _ in merges)
+    return F.expr(f"CASE WHEN {hit} THEN {out} ELSE {syms} END" if merges else syms)
 
 
 @dataclass
@@ -123,118 +132,133 @@ def base_tokens() -> list[str]:
     return list(SPECIAL_TOKENS) + list(SORTED_ALPHABET)
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (into the cluster's checkpoint folder) that
-    computes the plan once: the checkpoint job reads the cache."""
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
-    cached.unpersist()
-    return out
-
-
-def round_candidates(pc: DataFrame, top_k: int) -> list[tuple[int, int, int, int, int]]:
-    """One round's statistics from the pair table, in one job: the
-    ``top_k`` pairs by (count desc, left, right) with ``lmax`` = the highest
-    count of a pair (x, l) and ``rmax`` = the highest count of a pair (r, y).
-    A pair created by merging (l, r) occurs at most min(count, max(lmax,
-    rmax)) times.  The per-symbol maxima have one row per symbol and side,
-    so the collect is bounded by K + 2 x vocabulary size."""
-    top = pc.orderBy(F.col("c").desc(), "l", "r").limit(top_k) \
-        .select(F.lit("top").alias("kind"), F.col("l").alias("a"), F.col("r").alias("b"), "c")
-    max_in = pc.groupBy(F.col("r").alias("a")).agg(F.max("c").alias("c")) \
-        .select(F.lit("in").alias("kind"), "a", F.lit(None).cast("int").alias("b"), "c")
-    max_out = pc.groupBy(F.col("l").alias("a")).agg(F.max("c").alias("c")) \
-        .select(F.lit("out").alias("kind"), "a", F.lit(None).cast("int").alias("b"), "c")
-    rows = top.unionByName(max_in).unionByName(max_out).collect()
-    bound = {(r["kind"], r["a"]): r["c"] for r in rows if r["kind"] != "top"}
-    top_rows = sorted(((r["c"], r["a"], r["b"]) for r in rows if r["kind"] == "top"),
-                      key=lambda t: (-t[0], t[1], t[2]))
-    return [(c, l, r, bound.get(("in", l), 0), bound.get(("out", r), 0)) for c, l, r in top_rows]
+class _Written:
+    """A table in the shared folder that takes the place of an earlier one."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path = spark, name, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = shared_path(self.spark, self.name)
+        df.write.parquet(path)
+        if self.path:
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self.path = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def top_pairs(pc: DataFrame, k: int) -> list[tuple[int, int, int]]:
+    """The ``k`` most frequent pairs as (count, left, right); ties to the
+    smallest ids."""
+    rows = pc.orderBy(F.col("c").desc(), "l", "r").limit(k).collect()
+    return [(r["c"], r["l"], r["r"]) for r in rows]
+
+
+def triple_counts(words: DataFrame, top: list[tuple[int, int, int]]) -> tuple[dict, dict]:
+    """For the top pairs: (highest count of a triple that starts or ends with
+    the pair, counts of the triples of which both pairs are top pairs)."""
+    names = ", ".join(f"{_packed(l, r)}L" for _, l, r in top)  # as text: a call per literal would cost more than the job
+    among = lambda c: F.expr(f"{c} IN ({names})")
+    head, tail = _packed(F.col("s1"), F.col("s2")), _packed(F.col("s2"), F.col("s3"))
+    triples = (_runs(words, 3).withColumns({"head": head, "tail": tail})
+               .where(among("head") | among("tail"))
+               .groupBy("head", "tail").agg(F.sum("n").alias("c")))  # both pairs name the triple
+    seen = triples.select("c", F.inline(F.array(F.struct(F.col("head").alias("pair"), F.col("tail").alias("other")),
+                                                F.struct(F.col("tail").alias("pair"), F.col("head").alias("other")))))
+    rows = (seen.where(among("pair"))
+            .groupBy("pair", F.when(among("other"), F.col("other")).alias("other"))
+            .agg(F.max("c").alias("c")).collect())
+    most: dict[int, int] = {}
+    both: dict[tuple[int, int], int] = {}
+    for r in rows:
+        most[r["pair"]] = max(most.get(r["pair"], 0), r["c"])
+        if r["other"] is not None:
+            both[r["pair"], r["other"]] = r["c"]
+    return most, both
+
+
+def accept(top: list[tuple[int, int, int]], most: dict, both: dict) -> list[tuple[int, int]]:
+    """The pairs of ``top`` that one-by-one training would merge next, in
+    order (see the module's notes).  ``both`` may hold the larger of two
+    triples that join the same two pairs in either order, so it counts only
+    where one order is possible."""
+    taken: list[tuple[int, int]] = []
+    ceiling = -1
+    for c, l, r in top:
+        if c <= ceiling:
+            break
+        uses = [(a, b) for a, b in taken if l == b or r == a]
+        if uses:
+            gone = max(_used_up((l, r), u, both) for u in uses)
+            ceiling = max(ceiling, c - gone)
+            continue
+        taken.append((l, r))
+        ceiling = max(ceiling, most.get(_packed(l, r), 0))
+    return taken
+
+
+def _used_up(pair: tuple[int, int], merged: tuple[int, int], both: dict) -> int:
+    """At least so many occurrences of ``pair`` go when ``merged`` merges."""
+    (l, r), (a, b) = pair, merged
+    if a == b or l == r or (l == b and r == a):
+        return 0
+    return both.get((_packed(l, r), _packed(a, b)), 0)
 
 
 def train_bpe(corpus: DataFrame, vocab_size: int = 30000, value: str = "value",
-              top_k: int = 256, checkpoint_every: int = 10, batched: bool = True,
-              max_rounds: int | None = None, verbose: bool = False) -> BpeModel:
+              top_k: int = 256, rewrite_every: int = 10, batched: bool = True) -> BpeModel:
     """A4: learn merges until the vocabulary has ``vocab_size`` entries or
     no pair is left.  Ties go to the smallest (left id, right id).  A merge
     whose string already exists reuses that id.  ``batched=False`` accepts
-    one merge per round (the plain loop, for tests).  Per round: two small
-    collects from the pair table and one job that rewrites the words and
-    updates the pair table from the changed words only; the words are
-    checkpointed every ``checkpoint_every`` rounds."""
-    parts = shuffle_partitions(corpus.sparkSession)
-    # no filter before this checkpoint: ``syms`` derives from the grouping key,
-    # so the optimizer would push it below the aggregation, onto every raw
-    # pre-token row; one-symbol words are dropped at the next checkpoints
+    one merge per round (the plain loop, for tests)."""
+    spark = corpus.sparkSession
+    parts = shuffle_partitions(spark)
+    word_file, pair_file = _Written(spark, "words"), _Written(spark, "pairs")
+    # no filter before this table is written: ``syms`` derives from the grouping
+    # key, so the optimizer would push it below the aggregation
     words = word_table(pretoken_counts(corpus, value)).select("n", "syms")
-    t_start = time.time()
-    state = _checkpoint(words.repartition(parts))
-    pc = _checkpoint(pair_counts(state))
-    if verbose:
-        print(f"words and pair table: {time.time() - t_start:.2f}s", flush=True)
-    base: DataFrame | None = None  # cached frame under ``state`` between checkpoints
+    state = word_file.put(words.repartition(parts))
+    pc = pair_file.put(pair_counts(state))
+    held: DataFrame | None = None  # cached frame under ``state`` between rewrites
     tokens = base_tokens()
     index = {t: i for i, t in enumerate(tokens)}
     merges: list[tuple[int, int, int]] = []
     rounds = 0
     while len(index) < vocab_size:
-        if max_rounds is not None and rounds >= max_rounds:
-            break
-        t_round = time.time()
-        top = round_candidates(pc, top_k if batched else 1)
+        top = top_pairs(pc, top_k if batched else 1)
         if not top:
             break
+        chosen = accept(top, *triple_counts(state, top)) if batched else [top[0][1:]]
         accepted: list[tuple[int, int, int]] = []
-        touched: set[int] = set()
-        ceiling = -1
-        for c, l, r, lmax, rmax in top:
-            if len(index) >= vocab_size:
-                break
-            if accepted and (l in touched or r in touched or c <= ceiling):
-                break
-            new_token = tokens[l] + tokens[r]
-            reused = new_token in index
-            if reused and accepted:
+        for l, r in chosen:
+            token = tokens[l] + tokens[r]
+            if len(index) >= vocab_size or (token in index and accepted):
                 break  # a merge onto an existing id goes alone in its round
-            if reused:
-                new_id = index[new_token]
+            if token not in index:
+                index[token] = len(tokens)
+                tokens.append(token)
+                accepted.append((l, r, index[token]))
             else:
-                new_id = len(tokens)
-                tokens.append(new_token)
-                index[new_token] = new_id
-            accepted.append((l, r, new_id))
-            touched |= {l, r}
-            ceiling = max(ceiling, min(c, max(lmax, rmax)))
-            if reused:
+                accepted.append((l, r, index[token]))
                 break
         merges.extend(accepted)
         rounds += 1
-        if verbose:
-            print(f"round {rounds}: {len(accepted)} merges, vocab {len(index)}, "
-                  f"{time.time() - t_round:.2f}s", flush=True)
-
-        # Only the words a merge changed are counted again (exact deltas).
-        # The pair table is small; checkpointing it every round keeps its
-        # plan shallow and fills the cache of ``nxt`` on the way.
-        nxt = state.select("n", F.col("syms").alias("old"),
-                           merge_expr(F.col("syms"), accepted).alias("syms")) \
+        after = state.select("n", F.col("syms").alias("old"), merge_expr("syms", accepted).alias("syms")) \
             .persist(StorageLevel.MEMORY_AND_DISK)
-        pc = _checkpoint(pc.unionByName(pair_deltas(nxt)).groupBy("l", "r")
-                         .agg(F.sum("c").alias("c")).where(F.col("c") > 0))
-        if base is not None:
-            base.unpersist()
-        if verbose:
-            print(f"  update: {time.time() - t_round:.2f}s", flush=True)
-        if rounds % checkpoint_every == 0:
+        pc = pair_file.put(pc.unionByName(pair_deltas(after)).groupBy("l", "r")
+                           .agg(F.sum("c").alias("c")).where(F.col("c") > 0))
+        if held is not None:
+            held.unpersist()
+        if rounds % rewrite_every == 0:
             # cut the lineage; words left with one symbol have no pair
-            state = _checkpoint(nxt.select("n", "syms").where(has_pair(F.col("syms")))
-                                .repartition(parts))
-            nxt.unpersist()
-            base = None
+            state = word_file.put(after.select("n", "syms").where(has_pair(F.col("syms"))))
+            after.unpersist()
+            held = None
         else:
-            state, base = nxt.select("n", "syms"), nxt
-    if base is not None:
-        base.unpersist()
+            state, held = after.select("n", "syms"), after
+    if held is not None:
+        held.unpersist()
     return BpeModel(tokens, merges, rounds)
 
 
@@ -257,5 +281,5 @@ def require_specials(model: BpeModel, needed=SPECIAL_TOKENS) -> dict[str, int]:
     index = {t: i for i, t in enumerate(model.tokens)}
     missing = [t for t in needed if t not in index]
     if missing:
-        raise ValueError(f"Missing special token ids in tokenizer: {', '.join(missing)}")
+        raise ValueError(f"the vocabulary lacks special tokens: {', '.join(missing)}")
     return {t: index[t] for t in needed}

@@ -14,7 +14,8 @@ from ..functions import text as tx
 from ..operators import ordering, pairs, rouge
 from ..sources import scan
 from . import fixtures as fx
-from .oracle_sql import (SPLIT_OF_BUCKET, rouge_tokens_duck, with_fixtures, word_count_duck)
+from .oracle_sql import (BPE_ENCODE_SQL, BPE_MERGES_SQL, BPE_VOCAB, BPE_VOCAB_SQL, SPLIT_OF_BUCKET, generate_duck,
+                         rouge_tokens_duck, with_fixtures, word_count_duck)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,30 +432,30 @@ def q_pair_counts(spark, d):
 _MODELS: dict = {}
 
 
-def _docs_bpe(spark, d, vocab_size=300):
-    """Tokenizer trained on all documents (kept per session and folder: it
-    is bounded by the vocabulary size)."""
+def _docs_bpe(spark, d, vocab_size=BPE_VOCAB):
+    """Tokenizer trained on all documents (kept per application and folder:
+    it is bounded by the vocabulary size)."""
     from ..operators.bpe import train_bpe
-    key = (id(spark), d, vocab_size)
+    key = (spark.sparkContext.applicationId, d, vocab_size)
     if key not in _MODELS:
         docs = fx.table(spark, d, "documents").select(F.col("text").alias("value"))
         _MODELS[key] = train_bpe(docs, vocab_size=vocab_size)
     return _MODELS[key]
 
 
-@register("bpe_merges_docs")
+@register("bpe_merges_docs", BPE_MERGES_SQL)
 def q_bpe_merges(spark, d):
-    """A4: merges learned on all documents (vocabulary 300)."""
+    """A4: merges learned on all documents."""
     return _docs_bpe(spark, d).merges_frame(spark)
 
 
-@register("bpe_vocab_docs")
+@register("bpe_vocab_docs", BPE_VOCAB_SQL)
 def q_bpe_vocab(spark, d):
     """A5: specials, byte alphabet, merges."""
     return _docs_bpe(spark, d).vocab_frame(spark)
 
 
-@register("bpe_encode_conv")
+@register("bpe_encode_conv", BPE_ENCODE_SQL)
 def q_bpe_encode(spark, d):
     """X4 + X10: pairs_conv texts encoded with the documents' BPE and
     decoded back."""
@@ -647,22 +648,22 @@ def _summarizer(spark, d):
     return Summarizer(model, fit_scorer(train, model))
 
 
-@register("generate_summaries_conv")
+@register("generate_summaries_conv", generate_duck(True))
 def q_generate(spark, d):
     """G7 on every conversation pair."""
     from ..operators.generate import batch_generate
     s = _summarizer(spark, d)
     return batch_generate(fx.pairs_conv(spark, d).select("pair_id", "text"), s.model, s.table,
-                          s.vocab_size).select("pair_id", "gen_ids", "summary", "error")
+                          s.vocab_size).select("pair_id", "gen_ids")
 
 
-@register("greedy_plain_conv")
+@register("greedy_plain_conv", generate_duck(False))
 def q_greedy_plain(spark, d):
     """G6 (rules off, eos dropped, sos kept) on every conversation pair."""
     from ..operators.generate import batch_generate
     s = _summarizer(spark, d)
     return batch_generate(fx.pairs_conv(spark, d).select("pair_id", "text"), s.model, s.table,
-                          s.vocab_size, rules=False).select("pair_id", "gen_ids", "summary")
+                          s.vocab_size, rules=False).select("pair_id", "gen_ids")
 
 
 @register("evaluate_model_conv")
