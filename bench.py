@@ -25,7 +25,7 @@ from precis.plans.flow import Summarizer, evaluate_pairs, fit_scorer  # noqa: E4
 from precis.session import local_session  # noqa: E402
 from precis.sources import scan  # noqa: E402
 
-VOCAB = int(os.environ.get("BENCH_VOCAB", "400"))
+VOCAB = int(os.environ.get("BENCH_VOCAB", "1000"))
 
 
 def run(df):

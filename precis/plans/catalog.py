@@ -105,6 +105,80 @@ def q_validation_cap(spark, d):
         "source", "pair_id", "text", "summary")
 
 
+@register("validation_cap_small", with_fixtures(_QUOTA_SQL.format(split="validation", q=4), "sources_all"))
+def q_validation_cap_small(spark, d):
+    """L3 + L2 with a cap below the row counts: 12 rows among three sources."""
+    return scan.load_pairs(spark, "all", "validation", pairs.validation_cap(12), d).select(
+        "source", "pair_id", "text", "summary")
+
+
+@register("tolerant_union_counts", with_fixtures(
+    f"SELECT source, count(*) AS n_rows FROM sources_all WHERE {SPLIT_OF_BUCKET} = 'train' GROUP BY source",
+    "sources_all"))
+def q_tolerant_union(spark, d):
+    """A registry with a source whose files are missing; the rest loads."""
+    from ..sources.registry import Registry, SourceSpec
+    broken = SourceSpec("broken", parquet_files={"train": ("no/such/file.parquet",)})
+    report: list = []
+    reg = Registry((broken, *fx.fixture_registry().sources))
+    df = scan.load_pairs(spark, "all", "train", None, d, reg, report)
+    told = scan.report_frame(spark, report).where("status = 'loaded'").select("source")
+    return df.join(told, "source").groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("scan_files_docs",
+          "SELECT pair_id, text, summary FROM (SELECT row_number() OVER () - 1 AS pair_id, text, lang AS summary "
+          "FROM documents) WHERE text <> '' AND summary <> ''")
+def q_scan_files(spark, d):
+    """S2 + F1-F3 on a Parquet-file source: keys are the rows' places."""
+    from ..sources.registry import Registry, SourceSpec
+    spec = SourceSpec("files", summary_column="lang", parquet_files={"train": ("documents.parquet",)})
+    return scan.load_source(spark, "files", "train", None, d, Registry((spec,)))
+
+
+@register("scan_saved_docs", "SELECT doc_id, text FROM documents WHERE doc_id % 10 = 0")
+def q_scan_saved(spark, d):
+    """S4 + F9: documents saved as a split dictionary, its test split read back."""
+    from ..session import shared_path
+    from ..sources.saved import scan_saved_split
+    docs, path = fx.table(spark, d, "documents").select("doc_id", "text"), shared_path(spark, "saved")
+    docs.where("doc_id % 10 <> 0").write.parquet(f"{path}/train")
+    docs.where("doc_id % 10 = 0").write.parquet(f"{path}/test")
+    return scan_saved_split(spark, path, "test").select("doc_id", "text")
+
+
+@register("saved_dir_counts", "SELECT lang AS source, count(*) AS n_rows, count(*) AS n_keys FROM documents "
+          "WHERE text <> '' GROUP BY lang")
+def q_saved_dir(spark, d):
+    """One saved folder per language; keys are unique over all of them."""
+    from ..session import shared_path
+    from ..sources.saved import scan_saved_dir
+    docs, path = fx.table(spark, d, "documents"), shared_path(spark, "saved-dir")
+    for (lang,) in sorted(docs.select("lang").distinct().collect()):
+        docs.where(F.col("lang") == lang).select("text", F.lit("s").alias("summary")).write.parquet(f"{path}/{lang}/train")
+    return scan_saved_dir(spark, path).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("pair_id").alias("n_keys"))
+
+
+@register("write_summaries_docs", "SELECT split_part(text, chr(10), 1) AS value FROM documents")
+def q_write_summaries(spark, d):
+    """Summaries written as text files and read back."""
+    from ..session import shared_path
+    from ..sources.sinks import write_summaries
+    path = shared_path(spark, "summaries")
+    write_summaries(fx.docs_all(spark, d).select("pair_id", "summary"), path, as_text=True)
+    return spark.read.text(path)
+
+
+@register("unpivot_dirty", with_fixtures(
+    "SELECT pair_id, kind, value FROM (SELECT pair_id, 'text' AS kind, text AS value FROM dirty_pairs UNION ALL "
+    "SELECT pair_id, 'summary', summary FROM dirty_pairs) WHERE value <> ''", "dirty_pairs"))
+def q_unpivot_dirty(spark, d):
+    """F5 on rows that it drops."""
+    from ..operators.corpus import unpivot_corpus
+    return unpivot_corpus(fx.dirty_pairs(spark, d)).select("pair_id", "kind", "value")
+
+
 @register("union_sources_all", with_fixtures(
     f"SELECT source, source_rank, pair_id, text, summary FROM sources_all WHERE {SPLIT_OF_BUCKET} = 'train'",
     "sources_all"))
@@ -278,6 +352,14 @@ def q_rouge_lsum(spark, d):
     return rouge.rouge_lsum(fx.rouge_pairs(spark, d))
 
 
+@register("rouge_lsum_flat_pairs", ORACLE["rouge_l_pairs"].replace("'rougeL'", "'rougeLsum'"))
+def q_rouge_lsum_flat(spark, d):
+    """A10 on texts of one line, where it equals A9."""
+    flat = fx.rouge_pairs(spark, d).withColumns(
+        {c: F.translate(c, "\n", " ") for c in ("prediction", "reference")})
+    return rouge.rouge_lsum(flat)
+
+
 @register("pair_predictions", with_fixtures(
     "SELECT p.pair_id, p.text AS prediction, r.summary AS reference "
     "FROM pairs_conv p JOIN pairs_conv r ON p.pair_id = r.pair_id", "pairs_conv"))
@@ -341,7 +423,7 @@ def q_best_epoch(spark, d):
 
 
 @register("cosine_lr_log", with_fixtures(
-    "SELECT run_id, epoch, val_loss, lr * 1000000 AS lr_micro FROM ("
+    "SELECT run_id, epoch, val_loss, lr * 1000000 AS lr_micro, CAST(round(CAST(lr AS DECIMAL(30, 15)), 6) * 1000000 AS DOUBLE) AS lr_shown_micro FROM ("
     " SELECT *, 0.0001 * 0.01 + (0.0001 - 0.0001 * 0.01) * "
     " (1 + cos(pi() * epoch / max(epoch) OVER (PARTITION BY run_id))) / 2 AS lr FROM run_metrics)",
     "run_metrics"))
@@ -350,7 +432,8 @@ def q_cosine_lr(spark, d):
     # learning rates are ~1e-4: compared in micro-units so that 6-decimal
     # rounding keeps their digits
     return lr_log(fx.run_metrics(spark, d)).select(
-        "run_id", "epoch", "val_loss", (F.col("lr") * 1_000_000).alias("lr_micro"))
+        "run_id", "epoch", "val_loss", (F.col("lr") * 1_000_000).alias("lr_micro"),
+        (F.col("lr_shown") * 1_000_000).alias("lr_shown_micro"))
 
 
 @register("epoch_loss_runs", with_fixtures(
@@ -449,6 +532,16 @@ def q_bpe_merges(spark, d):
     return _docs_bpe(spark, d).merges_frame(spark)
 
 
+@register("tokenizer_roundtrip_docs", BPE_MERGES_SQL)
+def q_tokenizer_roundtrip(spark, d):
+    """The tokenizer written as tables and read back."""
+    from ..operators.bpe import read_tokenizer, write_tokenizer
+    from ..session import shared_path
+    path = shared_path(spark, "tokenizer")
+    write_tokenizer(_docs_bpe(spark, d), spark, path)
+    return read_tokenizer(spark, path).merges_frame(spark)
+
+
 @register("bpe_vocab_docs", BPE_VOCAB_SQL)
 def q_bpe_vocab(spark, d):
     """A5: specials, byte alphabet, merges."""
