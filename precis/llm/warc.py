@@ -152,7 +152,8 @@ def _arrow(frame: pd.DataFrame, schema: str):
 def with_types(records: DataFrame) -> DataFrame:
     """Adds ``first_id``: the id that answers for the record's payload, null if
     the record is itself the response."""
-    first = records.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))
+    # stored, so that the join is one of two plain shuffles, which AQE splits at a hot payload
+    first = stored(records.groupBy("payload_digest").agg(F.min("page_id").alias("first_id")), "warc-first")
     answers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     return records.join(first, "payload_digest").withColumn("first_id", answers)
 
