@@ -47,6 +47,23 @@ def test_documents_vocab_300_equal_library(trained):
     _compare(model, tok)
 
 
+def test_documents_vocab_1000_equal_library(docs, trained):
+    model = train_bpe(docs, vocab_size=1000)
+    assert len(model.merges) == 739 and model.rounds < 150
+    _compare(model, _library(trained[2], 1000))
+
+
+def test_replaced_tables_are_deleted(spark, docs, tmp_path, monkeypatch):
+    import os
+    from precis.operators import bpe
+    made = []
+    plain = bpe.shared_path
+    monkeypatch.setattr(bpe, "shared_path", lambda s, n: made.append(plain(s, n)) or made[-1])
+    train_bpe(docs, vocab_size=290)
+    left = [p for p in made if os.path.exists(p.removeprefix("file:"))]
+    assert len(made) > 5 and len(left) <= 2
+
+
 @pytest.mark.parametrize("texts,size", [
     (["aaaa aaaa abab aaa", "abab aaa aaaa"], 300),
     (["aaa aaa aaa", "ab ab ab ba ba"], 280),
@@ -107,3 +124,15 @@ def test_decode_encode_random_texts(spark, trained):
     for r in out:
         assert r["back"] == texts[r["id"]]
         assert r["ids"] == tok.encode(texts[r["id"]]).ids
+
+
+def test_byte_symbols_of_every_byte(spark):
+    from precis.functions import text as tx
+    rows = [(k, "".join(chr(c) for c in range(k * 97, k * 97 + 97) if not 0xD800 <= c < 0xE000)) for k in range(30)]
+    rows += [(100, "\x00a\x00"), (101, ""), (102, "😀é\x7f\xad")]
+    df = spark.createDataFrame(rows, "k int, t string").select(
+        "k", "t", tx.byte_symbols("t").alias("s"), tx.byte_symbol_array("t").alias("a"),
+        tx.byte_unsymbols(tx.byte_symbols("t")).alias("back"))
+    for r in df.collect():
+        want = "".join(tx.BYTE_ALPHABET[b] for b in r["t"].encode())
+        assert r["s"] == want and r["a"] == list(want) and r["back"] == r["t"]
