@@ -74,19 +74,24 @@ def _runs(words: DataFrame, k: int) -> DataFrame:
     return with_ids.select("n", F.inline(F.arrays_zip(*shifted)))
 
 
+def pair_rows(words: DataFrame) -> DataFrame:
+    """A row ``l, r, c`` for each pair of adjacent symbols of each word, with
+    the word's count; overlapping pairs all count (``aaa`` has two ``aa``)."""
+    return _runs(words.where(has_pair(F.col("syms"))), 2).select(
+        F.col("s1").alias("l"), F.col("s2").alias("r"), F.col("n").alias("c"))
+
+
 def pair_counts(words: DataFrame) -> DataFrame:
-    """A3: count of each adjacent symbol pair, weighted by the word count;
-    overlapping pairs all count (``aaa`` has two ``aa``)."""
-    return (_runs(words.where(has_pair(F.col("syms"))), 2)
-            .groupBy(F.col("s1").alias("l"), F.col("s2").alias("r")).agg(F.sum("n").alias("c")))
+    """A3: count of each adjacent symbol pair, weighted by the word count."""
+    return pair_rows(words).groupBy("l", "r").agg(F.sum("c").alias("c"))
 
 
 def pair_deltas(rewritten: DataFrame) -> DataFrame:
-    """Change of the pair counts caused by one round: every word whose
-    symbols changed counts its old pairs -n and its new pairs +n."""
+    """Change of the pair counts caused by one round, as rows to be summed:
+    every word whose symbols changed counts its old pairs -n and its new +n."""
     changed = rewritten.where(F.col("old") != F.col("syms"))
     signed = changed.select((-F.col("n")).alias("n"), F.col("old").alias("syms")).unionByName(changed.select("n", "syms"))
-    return pair_counts(signed)
+    return pair_rows(signed)
 
 
 def pair_text(l: int, r: int) -> str:
