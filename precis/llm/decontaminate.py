@@ -77,15 +77,20 @@ def window_length(n: int) -> int:
     return 1 << max(int(0.75 * n), 1).bit_length() - 1
 
 
+_STEPS = 4096
+
+
 @lru_cache(maxsize=None)
-def _odd(seed: int) -> np.ndarray:
-    """A random odd multiplier for each step of a walk."""
-    return np.random.default_rng(seed).integers(2**64, size=4096, dtype=np.uint64) | np.uint64(1)
+def _odd(seed: int, block: int) -> np.ndarray:
+    """A random odd multiplier for each of the ``_STEPS`` steps of a walk from
+    ``block * _STEPS`` on."""
+    draw = np.random.default_rng([seed, block] if block else seed)
+    return draw.integers(2**64, size=_STEPS, dtype=np.uint64) | np.uint64(1)
 
 
 def _bit(words: np.ndarray, seed: int, step: int) -> np.ndarray:
     """The walk's random bit for each word at this step."""
-    return ((words * _odd(seed)[step]) >> np.uint64(63)).astype(np.int64)
+    return ((words * _odd(seed, step // _STEPS)[step % _STEPS]) >> np.uint64(63)).astype(np.int64)
 
 
 def _walk(words: np.ndarray, at: np.ndarray, seed: int, done: int, upto: int) -> np.ndarray:

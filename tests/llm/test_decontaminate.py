@@ -112,3 +112,13 @@ def test_best_match_against_the_full_table():
     for _ in range(200):
         a, b = (rng.integers(0, 6, rng.integers(1, 30)).astype(np.uint64) for _ in "ab")
         assert dc.best_match(a, b, len(a)) == least(a, b)
+
+
+def test_an_item_of_more_words_than_a_block_of_steps():
+    rng = np.random.default_rng(6)
+    words = [f"w{x}" for x in rng.integers(5000, size=6000)]
+    item = tokens(" ".join(words))
+    index = dc.build_index([item])
+    doc = " ".join(sentence(rng, 50) + edited(rng, words, 300) + sentence(rng, 50))
+    got = dc.find(index, wd.lower_words(pa.array(["no such text", doc])))
+    assert [(d, k) for d, k, _ in got] == [(1, 0)] and got[0][2] <= 300
