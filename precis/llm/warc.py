@@ -6,7 +6,7 @@
 2. :func:`with_types`: among records of one digest the smallest id is the
    response, the others revisit it (partial minimum per digest, then an
    equi-join of narrow rows that AQE can split; no page moves).
-3. :func:`normalise`: one task per archive inflates the stream once, bounded
+3. :func:`normalise`: tasks share out the archives; each inflates a stream once, bounded
    block by block, rewrites every record as its own gzip member with its final
    type, and writes ``<archive>.idx``, a sidecar of JSON lines with offset and
    length of each member.
@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precis.llm.common import scratch, stored, table
+from precis.session import shuffle_partitions
 
 ARCHIVE_BYTES = 256 << 20
 ARCHIVE_RECORDS = 20_000
@@ -196,7 +197,7 @@ def stream_records(raw, block: int = BLOCK):
 
 
 def normalise(typed: DataFrame, source: str, target: str, level: int = 6) -> DataFrame:
-    """One task per archive of ``typed`` (rows of :func:`with_types`); writes
+    """One call per archive of ``typed`` (rows of :func:`with_types`); writes
     the archive with a member per record and its sidecar; rows as ``INDEX``."""
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         name = frame["archive"].iloc[0]
@@ -222,7 +223,9 @@ def normalise(typed: DataFrame, source: str, target: str, level: int = 6) -> Dat
         return pd.DataFrame(index, columns=["archive", "member_offset", "member_length", "page_id", "record_type"]
                             ).astype({"page_id": "Int64"})
 
-    return typed.select("archive", "ordinal", "first_id").groupBy("archive").applyInPandas(one, INDEX)
+    # a stated number of tasks, which AQE does not coalesce for the few narrow bytes
+    rows = typed.select("archive", "ordinal", "first_id").repartition(shuffle_partitions(typed.sparkSession), "archive")
+    return rows.groupBy("archive").applyInPandas(one, INDEX)
 
 
 def read_back(spark: SparkSession, archives: DataFrame, folder: str) -> DataFrame:
@@ -253,7 +256,9 @@ def read_back(spark: SparkSession, archives: DataFrame, folder: str) -> DataFram
                                                   "refers_to", "archive", "member_offset"]
                                    ).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return archives.select("archive").mapInPandas(read, PAGES)
+    # as in normalise; by a hash, since Spark drops a repartition that equals the one of distinct()
+    names = archives.select("archive").repartition(shuffle_partitions(spark), F.xxhash64("archive"))
+    return names.mapInPandas(read, PAGES)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",

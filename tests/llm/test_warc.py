@@ -4,6 +4,8 @@ import hashlib
 import json
 import os
 
+from pyspark.sql import functions as F
+
 from precis.llm import warc
 
 SCHEMA = "page_id long, url string, html string, archive string, ordinal int"
@@ -81,3 +83,14 @@ def test_archives_roll(spark):
 
 def test_empty_table(spark):
     assert archived(spark, [])[2].collect() == []
+
+
+def test_archives_are_shared_out_to_several_tasks(spark):
+    rows = [(i, "u", f"page {i}") for i in range(24)]
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], SCHEMA).coalesce(1)
+    mono, final = warc.scratch(spark, "whole"), warc.scratch(spark, "warc")
+    records = warc.stored(warc.write_monolithic(df, mono, archive_records=1), "records")
+    index = warc.stored(warc.normalise(warc.with_types(records), mono, final).withColumn("task", F.spark_partition_id()), "index")
+    back = warc.read_back(spark, index.select("archive").distinct(), final).withColumn("task", F.spark_partition_id())
+    assert index.select("task").distinct().count() > 1
+    assert back.select("task").distinct().count() > 1
