@@ -4,10 +4,14 @@ Base spans are the leftmost non-overlapping matches of three patterns, whole
 match, in code points.  The method adds spans of kind ``random``: runs of
 ``[A-Za-z0-9+/=_-]`` of at least ``min_chars`` whose characters per token under
 a byte-pair vocabulary lie below ``max_ratio``.  Text that the vocabulary knows
-packs three and more characters into a token; random strings do not.  Runs are
-left out that are known digests (hexadecimal of a digest's length), UUIDs,
-plain numbers, or identifiers (no digit at all, or words of letters joined by
-``_ - / +`` with at most a short number), and runs that a base span covers.
+packs three and more characters into a token; random strings do not.  Where the
+whole run is not below the ratio, its stretches between separators are tested,
+and neighbouring stretches that are each below it are tested joined, so that
+words beside a random string (a path, a name) do not hide it.  Left out are
+known digests (hexadecimal of a digest's length), UUIDs, plain numbers, short
+units repeated, identifiers (words of letters joined by ``_ - / +`` with at most
+a short number, each one token or not below the ratio when split at case
+changes), and what a base span covers.
 
 Each whole text is scanned in one pass per row inside Arrow batches; nothing is
 shuffled.  Null text counts as empty; a text without matches gives zeros, the
@@ -38,6 +42,9 @@ DIGEST = re.compile(r"(?i:[0-9a-f]+)\Z")
 DIGEST_CHARS = {16, 32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(r"(?i:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})\Z")
 IDENTIFIER = re.compile(r"[_/+=-]*[A-Za-z]+([_/+=-]+[A-Za-z]+)*[_/+=-]*\d{0,4}[_/+=-]*\Z")
+STRETCH = re.compile(r"[A-Za-z0-9]+")
+PARTS = re.compile(r"(?i:(?<![0-9a-z])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-z]))|[A-Za-z0-9]+")
+CASED = re.compile(r"[A-Z]*[a-z]+|[A-Z]+")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MIN_CHARS, MAX_RATIO = 20, 2.2
 RESULT = ("doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
@@ -55,9 +62,28 @@ def encoding(path: str):
 
 
 def known(run: str) -> bool:
-    """Digests, UUIDs, numbers and identifiers."""
-    return bool(run.isdigit() or UUID.match(run) or IDENTIFIER.match(run)
-                or (len(run) in DIGEST_CHARS and DIGEST.match(run)))
+    """Digests, UUIDs, numbers and repeated short units."""
+    return bool(STRETCH.sub(_no_digits, run).strip("=_-/+") == "" or UUID.match(run)
+                or (len(run) in DIGEST_CHARS and DIGEST.match(run))
+                or (run + run).find(run, 1) < min(len(run), MIN_CHARS))
+
+
+def _no_digits(m: re.Match) -> str:
+    return "" if m[0].isdigit() else m[0]
+
+
+def n_tokens(text: str, path: str) -> int:
+    return len(encoding(path).encode_ordinary(text))
+
+
+def identifier(run: str, path: str, max_ratio: float) -> bool:
+    """Words of letters, each one token or not below the ratio."""
+    if not IDENTIFIER.match(run):
+        return False
+    for word in re.findall("[A-Za-z]+", run):
+        if n_tokens(word, path) > 1 and len(word) < max_ratio * sum(n_tokens(x, path) for x in CASED.findall(word)):
+            return False
+    return True
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -70,6 +96,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, base: list, path: str, min_chars: int, max_ratio: float) -> list[tuple[int, int, int]]:
+    def below(part: str) -> bool:
+        return len(part) < max_ratio * n_tokens(part, path)
+
+    def random(s: int, e: int) -> bool:
+        part = text[s:e]
+        return (e - s >= min_chars and not known(part) and not any(b <= s and e <= f for b, _, f in base)
+                and below(part) and not identifier(part, path, max_ratio))
+
     out = []
     for m in RUN.finditer(text):
         s, e = m.span()
@@ -78,7 +112,7 @@ def random_spans(text: str, base: list, path: str, min_chars: int, max_ratio: fl
         e = s + len(run)
         if len(run) < min_chars or known(run) or any(b <= s and e <= f for b, _, f in base):
             continue
-        if len(run) < max_ratio * len(encoding(path).encode_ordinary(run)):
+        if random(s, e):
             out.append((s, 3, e))
     return out
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from precis.llm import secrets as sc
 
@@ -61,3 +63,18 @@ def test_repeated_rows_null_id_and_empty_table(spark):
 def test_documents_have_few_random_spans_outside_planted_secrets(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert sc.scan_secrets(df).where("n_random > 0").count() == 0
+
+
+def found(text):
+    return [text[s:e] for s, _, e in sc.random_spans(text, sc.base_spans(text), sc.VOCABULARY, sc.MIN_CHARS, sc.MAX_RATIO)]
+
+
+
+def test_letter_only_secrets():
+    rng, n = random.Random(2), 300
+    for letters in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase):
+        for size in (20, 24, 32):
+            keys = ["".join(rng.choices(letters, k=size)) for _ in range(n)]
+            assert sum(found(f"key {k} end") == [k] for k in keys) >= 0.98 * n
+    for word in ("getElementsByTagNameAndAttribute", "internationalization_and_localization", "to-be-or-so-it-is-as-we-do"):
+        assert found(word) == []
