@@ -114,6 +114,17 @@ def random_spans(text: str, base: list, path: str, min_chars: int, max_ratio: fl
             continue
         if random(s, e):
             out.append((s, 3, e))
+            continue
+        chain = None
+        for part in PARTS.finditer(text, s, e):
+            if "-" in part[0] or (len(part[0]) in DIGEST_CHARS and DIGEST.match(part[0])) or not below(part[0]):
+                if chain and random(*chain):
+                    out.append((chain[0], 3, chain[1]))
+                chain = None
+            else:
+                chain = (chain[0] if chain else part.start(), part.end())
+        if chain and random(*chain):
+            out.append((chain[0], 3, chain[1]))
     return out
 
 

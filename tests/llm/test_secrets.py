@@ -69,6 +69,15 @@ def found(text):
     return [text[s:e] for s, _, e in sc.random_spans(text, sc.base_spans(text), sc.VOCABULARY, sc.MIN_CHARS, sc.MAX_RATIO)]
 
 
+def test_secrets_beside_words():
+    rng, n = random.Random(1), 200
+    for size in (20, 32, 40):
+        for frame in ("/documentation/getting-started/configuration/{}", "https://host.example/documentation/configuration/{}/download",
+                      "session_configuration={}", "see documentation-configuration-{} there"):
+            keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=size)) for _ in range(n)]
+            assert sum(any(k in x for x in found(frame.format(k))) for k in keys) >= 0.98 * n, frame
+    assert found("/documentation/getting-started/123e4567-e89b-12d3-a456-426614174000/configuration") == []
+
 
 def test_letter_only_secrets():
     rng, n = random.Random(2), 300
