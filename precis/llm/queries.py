@@ -3,7 +3,8 @@ can express."""
 
 from __future__ import annotations
 
-from precis.llm import chat, decontaminate, line_dedup, lz_fingerprint, order_minhash, packing, quality, secrets, suffix_dedup, warc
+from precis.llm import (centroids, chat, decontaminate, hard_negatives, line_dedup, lz_fingerprint, order_minhash, packing,
+                        quality, secrets, suffix_dedup, warc)
 from precis.llm.common import table
 
 QUERIES = {
@@ -17,10 +18,14 @@ QUERIES = {
     "op8_line_dedup": lambda spark, d: line_dedup.line_dedup_digest(table(spark, d, "documents")),
     "op10_order_minhash": order_minhash.near_duplicate_classes,
     "op9_perspective_chat": chat.rotate_conversations,
+    "op11_centroid_clusters": centroids.centroid_clusters,
+    "op12_hard_negatives": hard_negatives.hard_negatives,
 }
 ORACLE = {
     "op1_warc_normalise": warc.ORACLE,
     "op5_length_buckets": packing.oracle(),
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_perspective_chat": chat.ORACLE,
+    "op11_centroid_clusters": centroids.oracle(),
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
