@@ -174,18 +174,20 @@ def cluster(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", d
 
 def cluster_digest(df: DataFrame) -> DataFrame:
     assigned, centroids = cluster(df)
-    spark = df.sparkSession
-    hashes = [(c, hashlib.sha256(",".join(map(str, row)).encode()).hexdigest()) for c, row in enumerate(centroids.tolist())]
-    each = (assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s"))
-            .join(spark.createDataFrame(hashes, "cluster int, centroid_sha256 string"), "cluster"))
-    total = each.agg(F.sum("s").alias("t"))
-    # one row per centroid, so both sides below are of proven size
-    sums = (each.join(F.broadcast(total)).select("cluster", F.col("s").try_cast("long").alias("cluster_inertia"),
-                                                 F.col("t").try_cast("long").alias("inertia"), "centroid_sha256"))
-    return (assigned.join(F.broadcast(sums), "cluster")
+    sums = {r.cluster: int(r.s) for r in assigned.groupBy("cluster").agg(
+        F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}  # a row per centroid
+    total = _long(sum(sums.values()))
+    each = [(c, _long(sums[c]), total, hashlib.sha256(",".join(map(str, row)).encode()).hexdigest())
+            for c, row in enumerate(centroids.tolist()) if c in sums]
+    each = df.sparkSession.createDataFrame(each, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return (assigned.join(F.broadcast(each), "cluster")
             .select(F.col("i").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"))
 
 
+def _long(x: int) -> int | None:
+    return x if x < 1 << 63 else None
+
+
 def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_digest(table(spark, sf_dir, "embeddings"))
 

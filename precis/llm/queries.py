@@ -3,7 +3,7 @@ can express."""
 
 from __future__ import annotations
 
-from precis.llm import (centroids, chat, decontaminate, hard_negatives, line_dedup, lz_fingerprint, order_minhash, packing,
+from precis.llm import (centroids, chat, decontaminate, hard_negatives, licenses, line_dedup, lz_fingerprint, order_minhash, packing,
                         quality, secrets, suffix_dedup, warc)
 from precis.llm.common import table
 
@@ -20,6 +20,7 @@ QUERIES = {
     "op9_perspective_chat": chat.rotate_conversations,
     "op11_centroid_clusters": centroids.centroid_clusters,
     "op12_hard_negatives": hard_negatives.hard_negatives,
+    "op13_license_scan": licenses.license_scan,
 }
 ORACLE = {
     "op1_warc_normalise": warc.ORACLE,
