@@ -9,6 +9,7 @@ from precis.llm.license_rules import KINDS, LICENCES, rules
 SCHEMA = "doc_id long, text string, labels string, score int"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+RULES = rules()
 BASE = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
 
 TEXTS = [
@@ -29,7 +30,7 @@ def brute(text):
     words = WORD.findall((text or "").translate(LOWER))
     places = [(p, label) for p in range(len(words)) for phrase, label in BASE.items() if tuple(words[p:p + len(phrase)]) == phrase]
     joined, found = " ".join(words).encode(), []
-    for n, rule in enumerate(rules()):
+    for n, rule in enumerate(RULES):
         for m in rule.pattern.finditer(joined):
             s = joined.count(b" ", 0, m.start())
             found.append((list(KINDS).index(rule.kind), s, s + m[0].count(b" ") + 1, n))
@@ -37,11 +38,11 @@ def brute(text):
     def inside(d, e):
         return e[1] <= d[1] and d[2] <= e[2] and (e[0] < d[0] or (e[0] == d[0] and (e[2] - e[1], -e[3]) > (d[2] - d[1], -d[3])))
     left = sorted((d[1], d[2], d[3]) for d in found if not any(inside(d, e) for e in found)) if len(found) < 500 else None
-    labels = None if left is None else sorted({label for _, label in places} | {rules()[n].label for _, _, n in left})
+    labels = None if left is None else sorted({label for _, label in places} | {RULES[n].label for _, _, n in left})
     at = [p for p, _ in places]
     return (len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})),
             None if labels is None else ",".join(labels),
-            None if left is None else ",".join(f"{rules()[n].label}:{rules()[n].kind}:{s}:{e}" for s, e, n in left))
+            None if left is None else ",".join(f"{RULES[n].label}:{RULES[n].kind}:{s}:{e}" for s, e, n in left))
 
 
 def scan(spark, rows):
