@@ -2,12 +2,16 @@
 
 Training works on the table of *distinct* pre-tokens with their counts (A2
 did the heavy reduction: a corpus of any size becomes one row per distinct
-pre-token).  Symbols are kept as text, each id in its own brackets
-(``<5><12><7>``), so a merge is a plain left-to-right replacement.  The
-pair-count table is built once and then updated each round from the words a
-merge actually changed (old pairs -n, new pairs +n: exact deltas).
+pre-token), held as blocks of words (``bpe_blocks``).
 
-A round takes the ``top_k`` pairs and, for those, the counts of the triples
+The driver knows the most frequent pairs, at most ``known_pairs`` of them, and
+the bar below which it knows none.  That is enough: a merge only takes
+occurrences from pairs that exist, and the pairs it creates are reported with
+its pass.  When the best known pair falls below the bar, all pairs are counted
+anew.  A merge onto a string that the vocabulary already has can raise a pair
+below the bar, so it is followed by a count as well.
+
+A round takes the best pairs, up to ``top_k``, and, for those, the counts of the triples
 they take part in.  Going down the list it accepts every merge that the
 one-by-one algorithm would provably pick next:
 
@@ -19,22 +23,26 @@ one-by-one algorithm would provably pick next:
 * a pair that a merge creates occurs at most as often as its triple;
 * a merge is accepted while its count is strictly above all those bounds.
 
-The driver receives the top pairs and numbers about them, so at most a few
-times ``top_k`` rows per round.  Words and pairs are written to the shared
-folder (the pairs every round, the words every ``rewrite_every`` rounds) and
-the tables they replace are deleted.
+One pass over the blocks then merges the accepted pairs, touching only the words
+that hold one, and returns the changes of the known pairs, the new pairs, and
+the triples of the pairs that can be on the next list.  The blocks are written
+to the shared folder every ``rewrite_every`` rounds (in between they are cached)
+and the table they replace is deleted.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SORTED_ALPHABET, SPECIAL_TOKENS, byte_symbol_array
 from ..session import shared_path, shuffle_partitions
+from .bpe_blocks import BLOCK, MAX_SYMBOLS, Step, all_pairs, blocks, pack, run_step, outcome
 from .corpus import pretoken_counts
 
 N_SPECIAL = len(SPECIAL_TOKENS)
@@ -86,35 +94,6 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return pair_rows(words).groupBy("l", "r").agg(F.sum("c").alias("c"))
 
 
-def pair_deltas(rewritten: DataFrame) -> DataFrame:
-    """Change of the pair counts caused by one round, as rows to be summed:
-    every word whose symbols changed counts its old pairs -n and its new +n."""
-    changed = rewritten.where(F.col("old") != F.col("syms"))
-    signed = changed.select((-F.col("n")).alias("n"), F.col("old").alias("syms")).unionByName(changed.select("n", "syms"))
-    return pair_rows(signed)
-
-
-def pair_text(l: int, r: int) -> str:
-    return f"<{l}><{r}>"
-
-
-def _packed(l, r):
-    """Two ids (numbers or columns) as one long."""
-    return (l.cast("long") if isinstance(l, Column) else l) * (1 << 31) + r
-
-
-def merge_expr(syms: str, merges: list[tuple[int, int, int]]) -> Column:
-    """Apply one round's merges one after the other to the column ``syms``;
-    each replaces every (a, b) left to right without overlap (``a a a a`` gives
-    two merges).  Most words hold none of the round's pairs: a substring test
-    skips them."""
-    out = syms
-    for a, b, n in merges:
-        out = f"replace({out}, '{pair_text(a, b)}', '<{n}>')"
-    hit = " OR ".join(f"contains({syms}, '{pair_text(a, b)}')" for a, b, _ in merges)
-    return F.expr(f"CASE WHEN {hit} THEN {out} ELSE {syms} END" if merges else syms)
-
-
 @dataclass
 class BpeModel:
     """Vocabulary (id -> token, byte-level strings) and ranked merges."""
@@ -153,54 +132,73 @@ class _Written:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def top_pairs(pc: DataFrame, k: int) -> list[tuple[int, int, int]]:
-    """The ``k`` most frequent pairs as (count, left, right); ties to the
-    smallest ids."""
-    rows = pc.orderBy(F.col("c").desc(), "l", "r").limit(k).collect()
-    return [(r["c"], r["l"], r["r"]) for r in rows]
-
-
-def triple_counts(words: DataFrame, top: list[tuple[int, int, int]]) -> tuple[dict, dict]:
-    """For the top pairs: (highest count of a triple that starts or ends with
-    the pair, counts of the triples of which both pairs are top pairs)."""
-    names = ", ".join(f"{_packed(l, r)}L" for _, l, r in top)  # as text: a call per literal would cost more than the job
-    among = lambda c: F.expr(f"{c} IN ({names})")
-    head, tail = _packed(F.col("s1"), F.col("s2")), _packed(F.col("s2"), F.col("s3"))
-    triples = (_runs(words, 3).withColumns({"head": head, "tail": tail})
-               .where(among("head") | among("tail"))
-               .groupBy("head", "tail").agg(F.sum("n").alias("c")))  # both pairs name the triple
-    seen = triples.select("c", F.inline(F.array(F.struct(F.col("head").alias("pair"), F.col("tail").alias("other")),
-                                                F.struct(F.col("tail").alias("pair"), F.col("head").alias("other")))))
-    rows = (seen.where(among("pair"))
-            .groupBy("pair", F.when(among("other"), F.col("other")).alias("other"))
-            .agg(F.max("c").alias("c")).collect())
-    most: dict[int, int] = {}
-    both: dict[tuple[int, int], int] = {}
-    for r in rows:
-        most[r["pair"]] = max(most.get(r["pair"], 0), r["c"])
-        if r["other"] is not None:
-            both[r["pair"], r["other"]] = r["c"]
-    return most, both
-
-
-def accept(top: list[tuple[int, int, int]], most: dict, both: dict) -> list[tuple[int, int]]:
+@dataclass
+class _Known:
+    """The most frequent pairs and their counts; a pair is known if it comes
+    before the bar ``(count, pair)`` or at it, more frequent and smaller first."""
+    counts: dict[int, int]
+    bar: tuple[int, int]
+
+    def above(self, pair: int, c: int) -> bool:
+        return c > self.bar[0] or (c == self.bar[0] and pair <= self.bar[1])
+
+    def top(self, k: int) -> list[tuple[int, int]]:
+        """The ``k`` best as (count, pair)."""
+        best = heapq.nsmallest(k, ((-c, p) for p, c in self.counts.items()))
+        return [(-c, p) for c, p in best]
+
+    def change(self, changes: dict[int, int], most: int) -> None:
+        for pair, c in changes.items():
+            c += self.counts.pop(pair, 0)
+            if c > 0 and self.above(pair, c):
+                self.counts[pair] = c
+        if len(self.counts) > 2 * most:
+            kept = self.top(most)
+            self.counts, self.bar = {p: c for c, p in kept}, kept[-1]
+
+
+def known_pairs_of(state: DataFrame, most: int) -> _Known:
+    """At most about ``most`` of the best pairs: those above the smallest power
+    of two that few enough reach."""
+    all_ = all_pairs(state).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = all_.groupBy(F.floor(F.log2("c")).cast("int").alias("e")).count().collect()  # a row per power of two
+    bar, n = None, 0
+    for r in sorted(sizes, key=lambda r: -r["e"]):
+        n += r["count"]
+        if n > most:
+            break
+        bar = (1 << r["e"], MAX_SYMBOLS * MAX_SYMBOLS)
+    else:
+        bar = (0, 0)
+    if bar:
+        rows = all_.where(F.col("c") >= bar[0]).collect()
+    else:  # too many pairs in the highest power of two
+        rows = all_.orderBy(F.col("c").desc(), "k").limit(most).collect()
+        bar = (rows[-1]["c"], rows[-1]["k"])
+    all_.unpersist()
+    return _Known({r["k"]: r["c"] for r in rows}, bar)
+
+
+def accept(top: list[tuple[int, int]], most: dict, both: dict, watched) -> list[int]:
     """The pairs of ``top`` that one-by-one training would merge next, in
-    order (see the module's notes).  ``both`` may hold the larger of two
-    triples that join the same two pairs in either order, so it counts only
-    where one order is possible."""
+    order (see the module's notes).  ``most`` and ``both`` hold the triples of
+    the pairs that ``watched`` accepts; behind any other pair the list ends.
+    ``both`` may hold the larger of two triples that join the same two pairs in
+    either order, so it counts only where one order is possible."""
     taken: list[tuple[int, int]] = []
     ceiling = -1
-    for c, l, r in top:
+    for c, pair in top:
         if c <= ceiling:
             break
+        l, r = divmod(pair, MAX_SYMBOLS)
         uses = [(a, b) for a, b in taken if l == b or r == a]
         if uses:
             gone = max(_used_up((l, r), u, both) for u in uses)
             ceiling = max(ceiling, c - gone)
             continue
         taken.append((l, r))
-        ceiling = max(ceiling, most.get(_packed(l, r), 0))
-    return taken
+        ceiling = max(ceiling, most.get(pair, 0) if watched(pair) else c)
+    return [pack(l, r) for l, r in taken]
 
 
 def _used_up(pair: tuple[int, int], merged: tuple[int, int], both: dict) -> int:
@@ -208,60 +206,89 @@ def _used_up(pair: tuple[int, int], merged: tuple[int, int], both: dict) -> int:
     (l, r), (a, b) = pair, merged
     if a == b or l == r or (l == b and r == a):
         return 0
-    return both.get((_packed(l, r), _packed(a, b)), 0)
+    return both.get((pack(l, r), pack(a, b)), 0)
 
 
-def train_bpe(corpus: DataFrame, vocab_size: int = 30000, value: str = "value",
-              top_k: int = 256, rewrite_every: int = 10, batched: bool = True) -> BpeModel:
+def train_bpe(corpus: DataFrame, vocab_size: int = 30000, value: str = "value", top_k: int = 1024,
+              rewrite_every: int = 10, batched: bool = True, known_pairs: int = 50_000) -> BpeModel:
     """A4: learn merges until the vocabulary has ``vocab_size`` entries or
     no pair is left.  Ties go to the smallest (left id, right id).  A merge
     whose string already exists reuses that id.  ``batched=False`` accepts
-    one merge per round (the plain loop, for tests)."""
+    one merge per round (the plain loop, for tests).  The list of a round is
+    four times as long as what the last one accepted, ``top_k`` at most."""
     spark = corpus.sparkSession
-    parts = shuffle_partitions(spark)
-    word_file, pair_file = _Written(spark, "words"), _Written(spark, "pairs")
-    # no filter before this table is written: ``syms`` derives from the grouping
+    if vocab_size > MAX_SYMBOLS:
+        raise ValueError(f"vocab_size must be at most {MAX_SYMBOLS}")
+    file = _Written(spark, "words")
+    words = pretoken_counts(corpus, value).select(F.col("n").cast("long").alias("n"), symbol_ids(F.col("pretoken")).alias("ids"))
+    # no filter before this table is written: the ids derive from the grouping
     # key, so the optimizer would push it below the aggregation
-    words = word_table(pretoken_counts(corpus, value)).select("n", "syms")
-    state = word_file.put(words.repartition(parts))
-    pc = pair_file.put(pair_counts(state))
-    held: DataFrame | None = None  # cached frame under ``state`` between rewrites
+    state = file.put(blocks(words.repartition(shuffle_partitions(spark))))
+    known = known_pairs_of(state, known_pairs)
     tokens = base_tokens()
     index = {t: i for i, t in enumerate(tokens)}
     merges: list[tuple[int, int, int]] = []
-    rounds = 0
+    held: DataFrame | None = None  # cached frame under ``state`` between rewrites
+    most: dict = {}
+    both: dict = {}
+    listed: set[int] = set()
+    fresh: set[int] = set()
+    rounds, length = 0, 64
     while len(index) < vocab_size:
-        top = top_pairs(pc, top_k if batched else 1)
+        top = known.top(length if batched else 1)
         if not top:
-            break
-        chosen = accept(top, *triple_counts(state, top)) if batched else [top[0][1:]]
+            if known.bar == (0, 0):
+                break
+            known = known_pairs_of(state, known_pairs)
+            if not known.counts:
+                break
+            continue
+        chosen = accept(top, most, both, lambda p: p in listed or not fresh.isdisjoint(divmod(p, MAX_SYMBOLS)))
         accepted: list[tuple[int, int, int]] = []
-        for l, r in chosen:
+        reused = False
+        for pair in chosen if batched else [top[0][1]]:
+            l, r = divmod(pair, MAX_SYMBOLS)
             token = tokens[l] + tokens[r]
             if len(index) >= vocab_size or (token in index and accepted):
                 break  # a merge onto an existing id goes alone in its round
-            if token not in index:
+            reused = token in index
+            if not reused:
                 index[token] = len(tokens)
                 tokens.append(token)
-                accepted.append((l, r, index[token]))
-            else:
-                accepted.append((l, r, index[token]))
+            accepted.append((l, r, index[token]))
+            if reused:
                 break
         merges.extend(accepted)
         rounds += 1
-        after = state.select("n", F.col("syms").alias("old"), merge_expr("syms", accepted).alias("syms")) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        pc = pair_file.put(pc.unionByName(pair_deltas(after)).groupBy("l", "r")
-                           .agg(F.sum("c").alias("c")).where(F.col("c") > 0))
+        done = {pack(l, r) for l, r, _ in accepted}
+        length = min(max(4 * len(accepted), 64), top_k)
+        listed = {p for _, p in known.top(length + len(done)) if p not in done} if batched else set()
+        fresh = {n for _, _, n in accepted}
+        by_pair = sorted((pack(l, r), n) for l, r, n in accepted)
+        step = Step(np.array([p for p, _ in by_pair], np.int64), np.array([n for _, n in by_pair], np.int32),
+                    np.array(sorted(known.counts), np.int64), np.array(sorted(listed), np.int64), len(tokens))
+        after = run_step(state, step).persist(StorageLevel.MEMORY_AND_DISK)
+        changes, most, both = {}, {}, {}
+        told = outcome(after, 1 if reused else max(known.bar[0], 1)).toArrow()  # known and new pairs, and the list's triples
+        for pair, other, c in zip(*(told.column(k).to_pylist() for k in range(3))):
+            if other == -1:
+                changes[pair] = c
+            else:
+                most[pair] = max(most.get(pair, 0), c)
+                if other >= 0:
+                    both[pair, other] = c
+        raised = reused and any(c > 0 and p not in known.counts for p, c in changes.items())
+        known.change(changes, known_pairs)
+        state = after.where(F.col("kind") == BLOCK)
         if held is not None:
             held.unpersist()
+        held = after
         if rounds % rewrite_every == 0:
-            # cut the lineage; words left with one symbol have no pair
-            state = word_file.put(after.select("n", "syms").where(has_pair(F.col("syms"))))
+            state = file.put(state)  # cuts the lineage
             after.unpersist()
             held = None
-        else:
-            state, held = after.select("n", "syms"), after
+        if raised:
+            known = known_pairs_of(state, known_pairs)
     if held is not None:
         held.unpersist()
     return BpeModel(tokens, merges, rounds)
