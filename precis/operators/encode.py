@@ -12,8 +12,9 @@ join key, and the text never leaves its partition.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import itertools
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -62,40 +63,51 @@ class _Encoder:
         if piece in self.specials:
             out = (self.specials[piece],)
         else:
-            ids = [self.byte_id[b] for b in piece.encode("utf-8")]
-            ranks = self.ranks
-            while len(ids) > 1:
-                best = None
-                for i in range(len(ids) - 1):
-                    m = ranks.get((ids[i], ids[i + 1]))
-                    if m is not None and (best is None or m[0] < best[0]):
-                        best = (m[0], ids[i], ids[i + 1], m[1])
-                if best is None:
-                    break
-                _, a, b, n = best
-                merged, i = [], 0
-                while i < len(ids):
-                    if i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b:
-                        merged.append(n)
-                        i += 2
-                    else:
-                        merged.append(ids[i])
-                        i += 1
-                ids = merged
-            out = tuple(ids)
+            out = tuple(self.merged([self.byte_id[b] for b in piece.encode("utf-8")]))
         if len(self.cache) > 500_000:
             self.cache.clear()
         self.cache[piece] = out
         return out
 
+    def merged(self, ids: list[int]) -> list[int]:
+        """``ids`` after all merges, best rank first, leftmost first.  The
+        symbols are a linked list and a heap holds the ranked pairs, so a piece
+        of n symbols takes n log n steps; an entry whose pair is gone by the
+        time it is drawn is passed over."""
+        ranks, n = self.ranks, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m[0], i) for i in range(n - 1) if (m := ranks.get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n:
+                continue
+            m = ranks.get((ids[i], ids[j]))
+            if m is None or m[0] != rank:
+                continue
+            ids[i], ids[j] = m[1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                m = ranks.get((ids[i], ids[k]))
+                if m is not None:
+                    heapq.heappush(heap, (m[0], i))
+            k = before[i]
+            if k >= 0:
+                m = ranks.get((ids[k], ids[i]))
+                if m is not None:
+                    heapq.heappush(heap, (m[0], k))
+        return [x for x in ids if x >= 0]
+
     def encode(self, pieces) -> list[int]:
-        out: list[int] = []
-        for p in pieces:
-            out.extend(self.word(p))
-        return out
+        return [i for p in pieces for i in self.word(p)]
 
 
+#: the encoders of this worker's last models, and the driver's broadcasts, by digest of the merges
 _ENCODERS: dict[str, _Encoder] = {}
+_BROADCASTS: dict[tuple[str, str], object] = {}
+_KEPT_ENCODERS = 4
 
 
 def encode_arrow(enc: _Encoder, pieces: pa.Array) -> pa.Array:
@@ -127,14 +139,18 @@ def encode_arrow(enc: _Encoder, pieces: pa.Array) -> pa.Array:
 def bpe_encode_udf(spark, model: BpeModel):
     """An Arrow UDF ``array<string> pretokens -> array<int> ids`` bound to
     ``model`` through a broadcast variable."""
-    bc = spark.sparkContext.broadcast(list(model.merges))
-    token = uuid.uuid4().hex  # cache key of this model in the Python workers
+    sc = spark.sparkContext
+    digest = hashlib.md5(repr(model.merges).encode()).hexdigest()
+    bc = _BROADCASTS.get((sc.applicationId, digest))
+    if bc is None:
+        bc = _BROADCASTS[sc.applicationId, digest] = sc.broadcast(list(model.merges))
 
     @F.arrow_udf("array<int>")
     def encode(pieces: pa.Array) -> pa.Array:
-        enc = _ENCODERS.get(token)
-        if enc is None:
-            enc = _ENCODERS[token] = _Encoder(bc.value)
+        enc = _ENCODERS.pop(digest, None) or _Encoder(bc.value)
+        _ENCODERS[digest] = enc  # the last used one stands last
+        while len(_ENCODERS) > _KEPT_ENCODERS:
+            del _ENCODERS[next(iter(_ENCODERS))]
         return encode_arrow(enc, pieces)
 
     return encode
@@ -178,11 +194,14 @@ def token_lookup(pieces: DataFrame, vocab: DataFrame, token: str = "pretoken") -
     return pieces.join(vocab, token, "inner")
 
 
-def dense_vocab(pieces: DataFrame, token: str = "pretoken", first_id: int = len(SPECIAL_TOKENS)) -> DataFrame:
+def dense_vocab(pieces: DataFrame, token: str = "pretoken", first_id: int = len(SPECIAL_TOKENS),
+                keys: DataFrame | None = None) -> DataFrame:
     """Ids ``first_id + dense rank`` of the distinct tokens in byte order,
-    computed without a single-task window."""
+    computed without a single-task window.  Only a sample of the tokens is read
+    when the plan is built (of ``keys``, if that is given: a table of about the
+    same tokens); ranges and counts are part of the plan."""
     distinct = pieces.select(token).distinct()
-    ranked = with_positions(distinct, [token], "pos")
+    ranked = with_positions(distinct, [token], "pos", keys=(pieces if keys is None else keys).select(token))
     return ranked.select(token, (F.col("pos") + F.lit(first_id)).cast("int").alias("id"))
 
 
@@ -197,10 +216,10 @@ def encode_pairs(df: DataFrame, src: str = "src_ids", tgt: str = "tgt_ids",
 
 
 def padded_batches(encoded: DataFrame, batch_size: int = 32, key: str = "pair_id",
-                   pad: int = PAD, order_cols=None) -> DataFrame:
+                   pad: int = PAD, order_cols=None, keys: DataFrame | None = None) -> DataFrame:
     """L6 + W1 + X7-X9: consecutive rows in batches, each padded to the
     longest source / target of its batch (the window holds one batch)."""
-    batched = batch_rows(encoded, batch_size, order_cols or (key,))
+    batched = batch_rows(encoded, batch_size, order_cols or (key,), keys)
     w = Window.partitionBy("batch_id")
     with_len = batched.withColumn("src_len", F.max(F.size("src")).over(w)) \
                       .withColumn("tgt_len", F.max(F.size("tgt")).over(w))
