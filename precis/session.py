@@ -3,6 +3,7 @@ checkpoint folder of the cluster."""
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import tempfile
@@ -87,13 +88,53 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: tables written by the calls of :func:`scoped` that run now, innermost last
+_SCOPES: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, the
     lineage cut, the same rows for every later pass."""
+    ship_package(df.sparkSession)
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def scoped(fn):
+    """``fn``, which returns a DataFrame, such that the tables it wrote on the
+    way (:func:`materialize`) are deleted as soon as it returns, but for those
+    that its result reads.  A scope inside another hands those on to it."""
+    @functools.wraps(fn)
+    def run(*args, **kwargs):
+        _SCOPES.append([])
+        try:
+            result = fn(*args, **kwargs)
+            read = {os.path.dirname(_plain(f)) for f in result.inputFiles()}
+        except BaseException:
+            read = set()
+            raise
+        finally:
+            for path in (made := _SCOPES.pop()):
+                if _plain(path) not in read:
+                    delete_folder(SparkSession.active(), path)
+            if _SCOPES:
+                _SCOPES[-1].extend(p for p in made if _plain(p) in read)
+        return result
+    return run
+
+
+def _plain(path: str) -> str:
+    """Without scheme and authority, which are written in several ways."""
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
