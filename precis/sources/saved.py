@@ -101,7 +101,8 @@ def scan_saved_dir(spark: SparkSession, base_dir: str = "data",
         try:
             rows = read_in_order(spark, [folder], first)
             parts.append(normalise(rows).withColumn("source", F.lit(name)))
-            first = (rows.agg(F.max(KEY)).first()[0] or first - 1) + 1
+            last = rows.agg(F.max(KEY)).first()[0]  # None: no row
+            first = first if last is None else last + 1
         except Exception as exc:  # noqa: BLE001 - one child must not take the others with it
             notes.append(f"{name} was left out: {type(exc).__name__}: {str(exc)[:200]}")
     if not parts:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordering import first_n
 from ..operators.pairs import KEY, normalise
-from .files import read_in_order
+from .files import BrokenFiles, read_in_order
 from .registry import ALL, Registry, SourceSpec
 
 
@@ -46,6 +46,7 @@ class LoadReport:
     source: str
     status: str
     error: str | None = None
+    broken_files: int = 0
 
 
 def source_quota(max_samples: int | None, n_sources: int) -> int | None:
@@ -60,8 +61,9 @@ def load_pairs(spark: SparkSession, name: str = "conv", split: str = "train",
                report: list[LoadReport] | None = None) -> DataFrame:
     """Pairs of one source, or of ``all``: every source up to its quota (L2),
     concatenated in registry order (U1) with ``source`` and ``source_rank``.
-    A source that fails is left out and noted in ``report`` (U2); if none is
-    left, ValueError."""
+    A source that fails is left out and noted in ``report`` (U2), be it that its
+    path or schema is wrong or that the footer of one of its files cannot be
+    read; if none is left, ValueError."""
     reg = registry or default_registry()
 
     def tagged(own: str, limit: int | None) -> DataFrame:
@@ -84,7 +86,7 @@ def _attempt(own: str, build, notes: list[LoadReport]) -> DataFrame | None:
     try:
         part = build()
     except Exception as exc:  # noqa: BLE001 - one source must not take the others with it
-        notes.append(LoadReport(own, "failed", f"{type(exc).__name__}: {exc}"))
+        notes.append(LoadReport(own, "failed", f"{type(exc).__name__}: {exc}", exc.n if isinstance(exc, BrokenFiles) else 0))
         return None
     notes.append(LoadReport(own, "loaded"))
     return part
@@ -113,6 +115,6 @@ def union_sources(parts: list[DataFrame]) -> DataFrame:
 
 
 def report_frame(spark: SparkSession, report: list[LoadReport]) -> DataFrame:
-    """U2 report as a table: source, status, error."""
-    return spark.createDataFrame([(r.source, r.status, r.error) for r in report],
-                                 "source string, status string, error string")
+    """U2 report as a table: source, status, error, files that cannot be read."""
+    return spark.createDataFrame([(r.source, r.status, r.error, r.broken_files) for r in report],
+                                 "source string, status string, error string, broken_files int")
