@@ -579,7 +579,7 @@ def q_encoded_pairs(spark, d):
 
 def _padded(spark, d):
     from ..operators.encode import encode_pairs, padded_batches
-    return padded_batches(encode_pairs(fx.conv_encoded(spark, d), max_len=128), 32)
+    return padded_batches(encode_pairs(fx.conv_encoded(spark, d), max_len=128), 32, keys=fx.conv_keys(spark, d))
 
 
 @register("padded_batches_conv", with_fixtures("SELECT * FROM padded", "padded"))
@@ -767,3 +767,6 @@ def q_evaluate(spark, d):
     """P2 on the whole conv test split: generate, pair, ROUGE-1/2/L/Lsum."""
     from .flow import evaluate_model
     return evaluate_model(spark, d, _summarizer(spark, d), num_samples=None)
+
+
+from . import catalog_more  # noqa: E402, F401 - registers further queries

@@ -7,16 +7,25 @@ dirty variant, run logs, logits and prefixes.  Each builder takes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import pretokenize
 from ..sources import scan
 from ..sources.registry import Registry, SourceSpec
 
 
+#: schemas of the given tables by application and path: reading one is a job
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def pairs_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +138,7 @@ def conv_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     pre-token (J2 against a vocabulary built without a single-task window)."""
     from ..operators.encode import dense_vocab, token_lookup
     pt = conv_pretokens(spark, sf_dir)
-    vocab = dense_vocab(pt)
+    vocab = dense_vocab(pt, keys=table(spark, sf_dir, "conversations").select(F.explode(pretokenize(F.col("text"))).alias("pretoken")))
     return token_lookup(pt, vocab)
 
 
@@ -143,9 +152,17 @@ def conv_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("pair_id").agg(ids("text").alias("src_ids"), ids("summary").alias("tgt_ids"))
 
 
-def conv_vocab_size(spark: SparkSession, sf_dir: str) -> int:
-    """5 specials + distinct pre-tokens of pairs_conv."""
-    return 5 + conv_pretokens(spark, sf_dir).select("pretoken").distinct().count()
+def conv_vocab_size(spark: SparkSession, sf_dir: str) -> Column:
+    """5 specials + distinct pre-tokens of pairs_conv, counted with the query
+    that uses the number."""
+    return conv_pretokens(spark, sf_dir).agg(F.countDistinct("pretoken") + 5).scalar()
+
+
+def conv_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the keys of pairs_conv, without looking at roles."""
+    conv = table(spark, sf_dir, "conversations")
+    turns = conv.agg(F.max("turn") + 1).scalar()
+    return conv.select((F.col("conv_id") * turns + F.col("turn")).alias("pair_id"))
 
 
 def fixture_registry() -> Registry:

@@ -1,7 +1,8 @@
 """Composed jobs: P1 train_and_evaluate (tokenizer -> scorer -> evaluation)
 and P2 evaluate_model.  Each stage is a DataFrame plan; P1 writes every
-stage to Parquet under one output folder (the hand-over between steps), so a
-failed later step restarts from files, not from the corpus."""
+stage to Parquet under one output folder (the hand-over between steps) and
+commits it with a manifest, so a run that broke off goes on behind the last
+committed stage (``stages``)."""
 
 from __future__ import annotations
 
@@ -12,17 +13,18 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import shift_input, shift_output
 from ..operators import pairs as pr
-from ..operators import rouge
+from ..operators import rouge, runlog
 from ..operators.bpe import BpeModel, read_tokenizer, require_specials, train_bpe, write_tokenizer
 from ..operators.corpus import unpivot_corpus
 from ..functions.numeric import cosine_lr
 from ..operators.encode import bpe_encode, decode_ids, encode_pairs, padded_batches
 from ..operators.generate import batch_generate
-from ..operators.nexttoken import next_token_table, token_cross_entropy
+from ..operators.nexttoken import epoch_losses, next_token_table, table_after
 from ..operators.ordering import first_n
 from ..session import materialize, shuffle_partitions
 from ..sources import scan
 from ..sources.saved import scan_saved_split
+from .stages import Stages, fingerprint_of_files
 
 
 @dataclass
@@ -101,47 +103,76 @@ def spot_check(pairs: DataFrame, summarizer: Summarizer, max_len: int = 128, lim
                               ("rouge1", "rouge2", "rougeL"))
 
 
-def mean_loss(pairs: DataFrame, summarizer: Summarizer, max_len: int, batch_size: int) -> DataFrame:
-    """A6 + A7 over the pairs in order of source and key: ``loss, n_batches``."""
-    encoded = materialize(encoded_pairs(pairs, summarizer.model, max_len).select(
-        "source_rank", "pair_id", "src", "tgt"), "encoded")
-    batches = padded_batches(encoded, batch_size, order_cols=("source_rank", "pair_id"))
-    per_batch = token_cross_entropy(batches, summarizer.table, summarizer.vocab_size)
-    return per_batch.agg(F.coalesce(F.avg("batch_loss"), F.lit(0.0)).alias("loss"),
-                         F.count(F.lit(1)).alias("n_batches"))
+def padded_of(pairs: DataFrame, model: BpeModel, max_len: int, batch_size: int) -> DataFrame:
+    """Padded batches of the pairs in order of source and key."""
+    encoded = materialize(encoded_pairs(pairs, model, max_len).select("source_rank", "pair_id", "src", "tgt"), "encoded")
+    return padded_batches(encoded, batch_size, order_cols=("source_rank", "pair_id"))
+
+
+def run_log(train_losses: DataFrame, val_losses: DataFrame, epochs: int, lr: float = 1e-4) -> DataFrame:
+    """``epoch, train_loss, val_loss, lr, improved, patience_counter`` up to the
+    epoch at which training stops (W2, W3, X15); a loss without a batch is 0.0."""
+    every = val_losses.sparkSession.range(1, epochs + 1).select(F.col("id").cast("int").alias("epoch"))
+    both = (every.join(train_losses.select("epoch", F.col("loss").alias("train_loss")), "epoch", "left")
+            .join(val_losses.select("epoch", F.col("loss").alias("val_loss")), "epoch", "left")
+            .fillna(0.0, ["train_loss", "val_loss"]).withColumn("run_id", F.lit(1)))
+    stop = runlog.run_summary(both).select("run_id", "stop_epoch")
+    return (runlog.early_stop(both).join(stop, "run_id").where(F.col("epoch") <= F.col("stop_epoch"))
+            .withColumn("lr", cosine_lr(F.col("epoch"), F.lit(epochs), lr))
+            .select("epoch", "train_loss", "val_loss", "lr", "improved", "patience_counter"))
 
 
 def train_and_evaluate(spark: SparkSession, sf_dir: str, out_dir: str, vocab_size: int = 32_000,
                        max_samples: int | None = None, max_len: int = 128, batch_size: int = 32,
                        eval_samples: int = 200, seed: int = 13, lr: float = 1e-4, epochs: int = 1) -> dict[str, str]:
     """Tokenizer on the training corpus of every source (A4, S7), scorer
-    table on the encoded training pairs (G8), losses and spot check in the run
-    log (A6, A7, X15), and ROUGE on the test split (P2).  Every stage lands in
-    ``out_dir``; a failing step raises and stops the job."""
-    def kept(name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{out_dir}/{name}")
-        return spark.read.parquet(f"{out_dir}/{name}")
-
-    train = scan.load_pairs(spark, "all", "train", max_samples, sf_dir)
-    model = train_bpe(unpivot_corpus(train), vocab_size=vocab_size)
-    require_specials(model)
-    write_tokenizer(model, spark, f"{out_dir}/tokenizer")
-    model = read_tokenizer(spark, f"{out_dir}/tokenizer")
-    summarizer = Summarizer(model, kept("scorer", fit_scorer(train, model, max_len)))
-
-    val = scan.load_pairs(spark, "all", "validation", pr.validation_cap(max_samples), sf_dir)
-    val_loss = kept("validation_loss", mean_loss(val, summarizer, max_len, batch_size).withColumnRenamed("loss", "val_loss"))
-    checked = val.where(F.col("source_rank") == val.agg(F.min("source_rank")).scalar())
-    shown = kept("spot_check", spot_check(checked, summarizer, max_len, batch_size=batch_size))
-    log = (mean_loss(train, summarizer, max_len, batch_size).select(F.lit(1).alias("epoch"), F.col("loss").alias("train_loss"))
-           .crossJoin(val_loss.select("val_loss"))  # one row each
-           .crossJoin(shown.agg(*[F.max(F.when(F.col("metric") == m, F.col("score"))).alias(m)
-                                  for m in ("rouge1", "rouge2", "rougeL")]))
-           .withColumn("lr", cosine_lr(F.col("epoch"), F.lit(epochs), lr)))
-    kept("run_log", log)
-
-    test = scan.load_source(spark, "conv", "test", eval_samples, sf_dir)
-    per_pair = kept("rouge_pairs", evaluate_pairs(spark, test, summarizer)[0])
-    kept("rouge", rouge.rouge_corpus(per_pair, rouge.ALL_METRICS))
-    return {k: f"{out_dir}/{k}" for k in ("tokenizer", "scorer", "validation_loss", "spot_check", "run_log",
-                                          "rouge_pairs", "rouge")}
+    counts on the encoded training pairs (G8), losses of every epoch (A6, A7),
+    the epoch at which training stops and the one that is kept (W2-W4), spot
+    check and learning rate in the run log (X15), and ROUGE of the kept epoch on
+    the test split (P2).  Every stage lands in ``out_dir`` and is committed
+    behind its data; a run with the same parameters and input files takes
+    committed stages as they are and makes the others.  A failing step raises
+    and stops the job."""
+    run = Stages(spark, out_dir, fingerprint_of_files(spark, sf_dir))
+
+    def pairs_of(split: str, n: int | None) -> DataFrame:
+        return scan.load_pairs(spark, "all", split, n, sf_dir)
+
+    def tokenizer(path: str) -> None:
+        model = train_bpe(unpivot_corpus(pairs_of("train", max_samples)), vocab_size=vocab_size)
+        require_specials(model)
+        write_tokenizer(model, spark, path)
+
+    run.folder("tokenizer", tokenizer, {"vocab_size": vocab_size, "max_samples": max_samples})
+    model = read_tokenizer(spark, run.path("tokenizer"))
+    size = {"max_len": max_len, "batch_size": batch_size}
+    counts = run.table("scorer", lambda: fit_scorer(pairs_of("train", max_samples), model, max_len), size, ["tokenizer"])
+
+    def losses(split: str, n: int | None):
+        batches = padded_of(pairs_of(split, n), model, max_len, batch_size)
+        return epoch_losses(batches, counts, len(model.tokens), epochs)
+
+    some = pr.validation_cap(max_samples)
+    trained = run.table("train_loss", lambda: losses("train", max_samples), size | {"epochs": epochs}, ["scorer"])
+    checked = run.table("validation_loss", lambda: losses("validation", some).withColumnRenamed("loss", "val_loss"),
+                        size | {"epochs": epochs}, ["scorer"])
+    log = run.table("epochs", lambda: run_log(trained, checked.withColumnRenamed("val_loss", "loss"), epochs, lr),
+                    {"lr": lr}, ["train_loss", "validation_loss"])
+    kept_epoch = log.where("improved").agg(F.coalesce(F.max("epoch"), F.lit(1))).first()[0]  # a row per epoch
+    kept = run.table("kept_scorer", lambda: table_after(counts, kept_epoch, len(model.tokens)), {"epoch": kept_epoch}, ["epochs"])
+    summarizer = Summarizer(model, kept)
+
+    def shown() -> DataFrame:
+        val = pairs_of("validation", some)
+        return spot_check(val.where(F.col("source_rank") == val.agg(F.min("source_rank")).scalar()), summarizer, max_len,
+                          batch_size=batch_size)
+
+    spot = run.table("spot_check", shown, size, ["kept_scorer"])
+    names = ("rouge1", "rouge2", "rougeL")
+    rouge_of = {r["metric"]: r["score"] for r in spot.collect()}  # three rows; every epoch decodes alike, since passes keep the order of the counts
+    run.table("run_log", lambda: log.select("*", *[F.lit(float(rouge_of[m])).alias(m) for m in names]), {}, ["epochs", "spot_check"])
+    per_pair = run.table("rouge_pairs", lambda: evaluate_pairs(
+        spark, scan.load_source(spark, "conv", "test", eval_samples, sf_dir), summarizer)[0],
+        {"eval_samples": eval_samples}, ["kept_scorer"])
+    run.table("rouge", lambda: rouge.rouge_corpus(per_pair, rouge.ALL_METRICS), {}, ["rouge_pairs"])
+    return {name: run.path(name) for name in run.names}
