@@ -59,9 +59,122 @@ def test_replaced_tables_are_deleted(spark, docs, tmp_path, monkeypatch):
     made = []
     plain = bpe.shared_path
     monkeypatch.setattr(bpe, "shared_path", lambda s, n: made.append(plain(s, n)) or made[-1])
-    train_bpe(docs, vocab_size=290)
+    train_bpe(docs, vocab_size=290, rewrite_every=1)
     left = [p for p in made if os.path.exists(p.removeprefix("file:"))]
-    assert len(made) > 5 and len(left) <= 2
+    assert len(made) > 5 and len(left) <= 1
+
+
+def test_few_known_pairs_give_the_same_merges(spark, docs, trained):
+    """The driver's list runs out many times and is made anew."""
+    from precis.operators import bpe
+    counted = []
+    plain = bpe.known_pairs_of
+    try:
+        bpe.known_pairs_of = lambda state, most: counted.append(1) or plain(state, most)
+        few = train_bpe(docs, vocab_size=300, known_pairs=8)
+    finally:
+        bpe.known_pairs_of = plain
+    assert len(counted) > 3
+    assert few.merges == trained[0].merges and few.tokens == trained[0].tokens
+
+
+def test_merges_onto_existing_strings_equal_library(spark):
+    """Runs of one letter, so that strings come about in several ways."""
+    import random
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("aaaab") for _ in range(rng.randint(1, 30))) for _ in range(10)) for _ in range(20)]
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    model = train_bpe(df, vocab_size=1000, known_pairs=300)
+    assert len(model.merges) > len(model.tokens) - 261  # some merges made no new string
+    _compare(model, _library(texts, 1000))
+
+
+def test_block_merges_against_plain_lists():
+    """A pass over a block equals merging every word by hand."""
+    import random
+    from collections import Counter
+
+    import numpy as np
+
+    from precis.operators import bpe_blocks as bb
+    rng = random.Random(8)
+    for _ in range(200):
+        words = [[rng.randrange(4) for _ in range(rng.randint(2, 9))] for _ in range(12)]
+        counts = [rng.randint(1, 5) for _ in words]
+        merges = rng.choice([{(0, 0): 7}, {(0, 1): 7, (2, 3): 8}, {(1, 1): 9, (2, 2): 7, (3, 0): 8}])
+        ids = np.array([x for w in words for x in [*w, -1]], np.int32)
+        keys = sorted((bb.pack(a, b), n) for (a, b), n in merges.items())
+        step = bb.Step(np.array([k for k, _ in keys]), np.array([n for _, n in keys], np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 10)
+        out, left, changed, change = bb.merge(ids, np.array(counts), step, bb._tables(step.keys, 10))
+        want, delta = [], Counter()
+        for w, n in zip(words, counts):
+            new, k = [], 0
+            while k < len(w):
+                if k + 1 < len(w) and (w[k], w[k + 1]) in merges:
+                    new.append(merges[w[k], w[k + 1]])
+                    k += 2
+                else:
+                    new.append(w[k])
+                    k += 1
+            for p in zip(w, w[1:]):
+                delta[bb.pack(*p)] -= n
+            for p in zip(new, new[1:]):
+                delta[bb.pack(*p)] += n
+            if len(new) > 1:
+                want.append((new, n))
+        got = [list(map(int, x.split())) for x in " ".join(map(str, out.tolist())).split("-1") if x.strip()]
+        assert got == [w for w, _ in want] and left.tolist() == [n for _, n in want]
+        assert dict(zip(changed.tolist(), change.tolist())) == {k: v for k, v in delta.items() if v}
+
+
+def test_long_pretokens_equal_library_and_are_quick(spark, trained):
+    import random
+    import time
+    from precis.operators.encode import _Encoder
+    model, tok, texts = trained
+    letters = [c for t in texts for c in t if c.isalpha()][:40_000]
+    random.Random(3).shuffle(letters)
+    enc = _Encoder(model.merges)
+    for piece in ("".join(letters), "a" * 5001, "ab" * 3000, "".join(texts[0].split())):
+        assert list(enc.word(piece)) == tok.encode(piece).ids or not piece.isalpha()
+    enc = _Encoder(model.merges)
+    start = time.time()
+    enc.word("".join(letters))
+    assert time.time() - start < 0.6
+
+
+def test_encoders_and_broadcasts_are_kept_once_per_model(spark, trained):
+    from precis.operators import encode
+    model = trained[0]
+    before = len(encode._BROADCASTS)
+    df = spark.createDataFrame([("un texte",)], "text string")
+    for _ in range(3):
+        bpe_encode(df, model, "text").collect()
+    assert len(encode._BROADCASTS) <= before + 1
+
+
+def test_tokenizer_file_is_loaded_by_the_library_and_back(spark, trained, tmp_path):
+    from precis.operators.bpe_file import read_tokenizer_file, write_tokenizer_file
+    model, tok, texts = trained
+    path = str(tmp_path / "tokenizer.json")
+    write_tokenizer_file(model, spark, path)
+    loaded = tokenizers.Tokenizer.from_file(path)
+    for t in texts[:30] + ["Voici <s> un test </s>", "émoji 😀", ""]:
+        ids = tok.encode(t).ids
+        assert loaded.encode(t).ids == ids and loaded.decode(ids) == tok.decode(ids)
+    back = read_tokenizer_file(spark, path)
+    assert back.tokens == model.tokens and back.merges == model.merges
+    tok.save(str(tmp_path / "library.json"))
+    theirs = read_tokenizer_file(spark, str(tmp_path / "library.json"))
+    assert theirs.tokens == model.tokens and theirs.merges == model.merges
+
+
+def test_other_tokenizer_files_are_refused(spark, tmp_path):
+    from precis.operators.bpe_file import model_of_json
+    with pytest.raises(ValueError, match="not a byte-level BPE"):
+        model_of_json('{"model": {"type": "Unigram"}, "pre_tokenizer": null}')
+    with pytest.raises(ValueError, match="byte symbols"):
+        model_of_json('{"model": {"type": "BPE", "vocab": {"a": 0}, "merges": []}, "pre_tokenizer": {"type": "ByteLevel"}}')
 
 
 @pytest.mark.parametrize("texts,size", [

@@ -32,12 +32,72 @@ def test_rouge_scores_in_one_scan_without_exchange(spark):
         assert "Exchange" not in plan and plan.count("FileScan") == 1
 
 
-def test_positions_need_no_window_over_rows(spark):
-    """Only the table of one row per partition goes through a window."""
+def test_positions_number_rows_by_range_and_write_nothing(spark, monkeypatch):
+    """Rows are numbered in range windows; only the table of one row per range
+    goes through a window without partitions, and no row is written."""
+    monkeypatch.setattr(ordering, "materialize", None)
     df = ordering.batch_rows(_docs(spark), 32)
     plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
     windows = [k for k, line in enumerate(plan) if "Window [" in line]
-    assert len(windows) == 1 and "Aggregate" in "".join(plan[windows[0]:windows[0] + 3])
+    assert len(windows) == 2
+    alone = [k for k in windows if "_range" not in plan[k].split("], [")[1]]
+    assert len(alone) == 1 and "Aggregate" in "".join(plan[alone[0]:alone[0] + 3])
+    counted = "\n".join(plan[alone[0]:])
+    assert "text" not in counted.split("Relation")[0].replace("isnotnull(text", "").replace("(text#", "")
+
+
+def test_range_of_any_key(spark):
+    import datetime
+    import decimal
+    rows = [(None, None, None, None), ("a", 1, decimal.Decimal("1.5"), datetime.date(2020, 1, 1)), ("a", None, None, None),
+            ("b", 2, decimal.Decimal("-2.25"), datetime.date(2021, 1, 1)), ("b", -2, None, None), (None, 3, None, None)] * 7
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "s string, i int, d decimal(9,2), t date, k long")
+    for cols in (["s", "i", "d", "t", "k"], ["t", "s", "k"], ["d", "k"], ["k"]):
+        ordered = [r["k"] for r in df.orderBy(*cols).collect()]
+        got = {r["k"]: r["pos"] for r in ordering.with_positions(df, cols).collect()}
+        assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == ordered
+
+
+def _jobs(spark, build):
+    tracker, group = spark.sparkContext.statusTracker(), f"jobs-{id(build)}"
+    spark.sparkContext.setJobGroup(group, "count")
+    try:
+        out = build()
+        return out, len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_few_jobs_before_the_action(spark):
+    from precis.plans import catalog
+    for name, most in (("token_cross_entropy_conv", 5), ("token_ids_conv", 3), ("padded_batches_conv", 5)):
+        _, jobs = _jobs(spark, lambda: catalog.QUERIES[name](spark, SF_SMALL))
+        assert jobs <= most, (name, jobs)
+
+
+def test_selection_of_the_nth_key(spark):
+    """Ties, nulls, hot keys and many ranges; no step sorts more rows than a range."""
+    import random
+    rng = random.Random(2)
+    keys = [rng.choice([None, 0, 1, 1, 1, 1, rng.randrange(2000)]) for _ in range(4000)]
+    df = spark.createDataFrame([(k, f"r{j}") for j, k in enumerate(keys)], "pair_id int, text string").repartition(6)
+    order = sorted(keys, key=lambda k: (k is not None, k or 0))
+    for n in (1, 5, 571, 572, 2000, 3999, 4000, 4001):
+        got = [r["pair_id"] for r in ordering.first_n(df, n).collect()]
+        assert sorted(got, key=lambda k: (k is not None, k or 0)) == order[:n], n
+        assert len({r["text"] for r in ordering.first_n(df, n).collect()}) == min(n, 4000)
+    keys_only = df.select("pair_id")
+    for n in (1, 700, 3500):
+        row, less, equal = ordering.nth_key(keys_only, n, range_rows=50, splits=8)
+        assert row["pair_id"] == order[n - 1]
+        assert less == sum((k is not None, k or 0) < (row["pair_id"] is not None, row["pair_id"] or 0) for k in keys)
+        assert equal == keys.count(row["pair_id"])
+
+
+def test_first_of_a_repeated_key(spark):
+    df = spark.createDataFrame([(7, "a"), (7, "b"), (7, "c"), (8, "d")], "pair_id long, text string")
+    assert ordering.first_n(df, 1).count() == 1 and ordering.first_n(df, 2).count() == 2
+    assert ordering.first_n(df.limit(0), 3).count() == 0 and ordering.first_n(df, 0).count() == 0
 
 
 def test_positions_equal_row_number(spark):

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from precis.operators import rouge
 
@@ -149,3 +150,44 @@ def test_lsum_of_one_line_is_l_and_of_equal_texts_is_one():
         cut = rng.randrange(len(a) + 1)
         lines = [x for x in (a[:cut], a[cut:]) if x]
         assert rouge.pair_scores(lines, lines, a, a, ("rougeLsum",))[0][1:] == (1.0, 1.0, 1.0)
+
+
+def _bootstrap_by_hand(rows, resamples, seed):
+    import hashlib
+
+    import numpy as np
+    means = {}
+    for metric in {m for _, m, _ in rows}:
+        own = [(k, round(f * 10**8)) for k, m, f in rows if m == metric]
+        for r in range(resamples):
+            weights = []
+            for k, _ in own:
+                h = hashlib.md5(f"{seed},{r // 8},{k}".encode()).hexdigest()
+                weights.append(sum(h[4 * (r % 8):4 * (r % 8) + 4] >= s for s in rouge.POISSON_STEPS))
+            if sum(weights):
+                means.setdefault(metric, []).append(sum(w * f for w, (_, f) in zip(weights, own)) / sum(weights) / 10**8)
+    return {m: np.percentile(x, [2.5, 50, 97.5]) for m, x in means.items()}
+
+
+def test_bootstrap_by_hand(spark):
+    import random
+    rng = random.Random(1)
+    rows = [(k, m, rng.random()) for k in range(40) for m in ("rouge1", "rouge2")] + [(0, "rougeL", 0.25)]
+    df = spark.createDataFrame([(k, m, 0.0, 0.0, f) for k, m, f in rows],
+                               "pair_id long, metric string, precision double, recall double, fmeasure double").repartition(3)
+    want = _bootstrap_by_hand(rows, 100, 3)
+    got = {r["metric"]: r for r in rouge.rouge_bootstrap(df, resamples=100, seed=3, metrics=("rouge1", "rouge2", "rougeL", "rougeLsum")).collect()}
+    for m, q in want.items():
+        assert max(abs(got[m][c] - x) for c, x in zip(("low", "mid", "high"), q)) < 1e-9
+    assert got["rouge1"]["n_pairs"] == 40 and got["rougeL"]["low"] == got["rougeL"]["high"] == 0.25
+    assert tuple(got["rougeLsum"])[1:] == (0.0, 0.0, 0.0, 0)
+
+
+def test_bootstrap_covers_the_mean_and_narrows_with_the_pairs(spark):
+    df = spark.range(4000).select(F.col("id").alias("pair_id"), F.lit("rouge1").alias("metric"),
+                                  (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("fmeasure"))
+    wide, narrow = (rouge.rouge_bootstrap(df.where(F.col("pair_id") < n), 400).first() for n in (100, 4000))
+    mean = df.agg(F.avg("fmeasure")).first()[0]
+    assert narrow["low"] < mean < narrow["high"] and wide["high"] - wide["low"] > 3 * (narrow["high"] - narrow["low"])
+    # about 1.96 standard deviations on either side
+    assert 0.7 < (narrow["high"] - narrow["low"]) / (2 * 1.96 * 0.2887 / 4000 ** 0.5) < 1.3

@@ -142,3 +142,98 @@ def test_saved_dir_keys_run_on_from_child_to_child(spark, folder):
         _write(spark, f"{folder}/{name}/train", [(f"{name}{k}", "s") for k in range(30)])
     df = scan_saved_dir(spark, folder)
     _keys_are_positions(df, [f"{n}{k}" for n in "ab" for k in range(30)])
+
+
+def test_saved_dir_keys_stay_unique_behind_a_child_of_one_row(spark, folder):
+    for name, n in (("a", 1), ("b", 1), ("c", 0), ("d", 3)):
+        _write(spark, f"{folder}/{name}/train", [(f"{name}{k}", "s") for k in range(n)])
+    df = scan_saved_dir(spark, folder)
+    _keys_are_positions(df, ["a0", "b0", "d0", "d1", "d2"])
+
+
+def test_summaries_with_line_ends_come_back(spark, folder):
+    from precis.sources.sinks import read_summaries, write_summaries
+    texts = ["one", "two\nlines", "", "back\\slash", "\\n is no line end", "\\\n", "\r\n", "\\", "a\\\\n\n\\r\r", "é\u2028x", "\n"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(99, None)], "pair_id long, summary string").coalesce(1)
+    write_summaries(df, f"{folder}/out", as_text=True)
+    assert [r["summary"] for r in read_summaries(spark, f"{folder}/out").collect()] == texts + [""]
+    assert spark.read.option("lineSep", "\n").text(f"{folder}/out").count() == len(texts) + 1
+
+
+def _some_files(spark, folder, n, rows=2):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    os.makedirs(folder)
+    for k in range(n):
+        pq.write_table(pa.table({"text": [f"t{k:05d}-{j}" for j in range(rows)], "summary": ["s"] * rows}), f"{folder}/f{k:05d}.parquet")
+
+
+def test_inventory_of_thousands_of_files_takes_a_constant_number_of_calls(spark, folder, monkeypatch):
+    from precis.sources.files import read_in_order
+    client, sent = type(spark.sparkContext._gateway._gateway_client), []
+    plain = client.send_command
+
+    def counted(self, *args, **kwargs):
+        sent.append(1)
+        return plain(self, *args, **kwargs)
+    calls = []
+    for n in (3, 2000):
+        _some_files(spark, f"{folder}/n{n}", n)
+        with monkeypatch.context() as m:
+            m.setattr(client, "send_command", counted)
+            sent.clear()
+            df = read_in_order(spark, [f"{folder}/n{n}"])
+            calls.append(len(sent))
+        _keys_are_positions(df, [f"t{k:05d}-{j}" for k in range(n) for j in range(2)])
+    assert calls[1] <= calls[0] + 100, calls
+
+
+def test_broken_and_empty_files(spark, folder):
+    from precis.sources.files import BrokenFiles, broken_files, inventory, read_in_order, read_what_is_whole
+    path = f"{folder}/with +odd name%"
+    _some_files(spark, path, 4)
+    _some_files(spark, f"{folder}/none", 1, rows=0)
+    os.rename(f"{folder}/none/f00000.parquet", f"{path}/f00001a.parquet")
+    whole = open(f"{path}/f00002.parquet", "rb").read()
+    open(f"{path}/f00002.parquet", "wb").write(whole[:-30])
+    files = {os.path.basename(r["plain"]): (r["n"], r["error"] is None) for r in inventory(spark, [path]).collect()}
+    assert files == {"f00000.parquet": (2, True), "f00001.parquet": (2, True), "f00001a.parquet": (0, True),
+                     "f00002.parquet": (None, False), "f00003.parquet": (2, True)}
+    assert broken_files(inventory(spark, [path])).n == 1
+    with pytest.raises(BrokenFiles, match="1 unreadable file.*f00002.parquet"):
+        read_in_order(spark, [path])
+    rows, _, missing = read_what_is_whole(spark, [path])
+    _keys_are_positions(rows, [f"t{k:05d}-{j}" for k in (0, 1, 3) for j in range(2)])
+    assert missing() == 0
+
+
+def test_rows_that_a_file_lacks_are_counted(spark, folder):
+    """A file whose footer is whole but whose pages are not."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from precis.sources.files import read_what_is_whole
+    os.makedirs(f"{folder}/d")
+    for k in range(2):
+        pq.write_table(pa.table({"text": [f"{k}-{j}-" + "x" * 50 for j in range(1000)], "summary": ["s"] * 1000}),
+                       f"{folder}/d/f{k}.parquet", compression="snappy", use_dictionary=False)
+    raw = bytearray(open(f"{folder}/d/f1.parquet", "rb").read())
+    raw[40:400] = b"\xff" * 360
+    open(f"{folder}/d/f1.parquet", "wb").write(bytes(raw))
+    rows, files, missing = read_what_is_whole(spark, [f"{folder}/d"])
+    assert files.where("error IS NOT NULL").count() == 0
+    got = rows.select("text").collect()
+    assert len(got) < 2000 and missing() == 2000 - len(got)
+
+
+def test_a_source_with_a_broken_shard_is_left_out_and_reported(spark, folder):
+    from precis.sources import scan
+    from precis.sources.registry import Registry, SourceSpec
+    for name in "ab":
+        _some_files(spark, f"{folder}/{name}", 3)
+    open(f"{folder}/b/f00009.parquet", "wb").write(b"PAR1")
+    reg = Registry(tuple(SourceSpec(n, parquet_files={"train": (n,)}) for n in "ab"))
+    report = []
+    df = scan.load_pairs(spark, "all", "train", None, folder, reg, report)
+    assert {r["source"] for r in df.collect()} == {"a"}
+    assert [(r.source, r.status, r.broken_files) for r in report] == [("a", "loaded", 0), ("b", "failed", 1)]
+    assert "f00009.parquet" in report[1].error
