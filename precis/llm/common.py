@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from precis.session import ensure_checkpoint_dir, shuffle_partitions
+from precis.session import materialize, ship_package, shared_path, shuffle_partitions
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the cluster's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage and
     fixes the rows, so that two later passes see the same ones."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialize(df, name)
+
+
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """``name``, with underscores in front until no column has it (Spark does
+    not tell names apart by case)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
 
 
 def key128(col: Column) -> list[Column]:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from precis.llm import (centroids, chat, decontaminate, hard_negatives, licenses, line_dedup, lz_fingerprint, order_minhash, packing,
                         quality, secrets, suffix_dedup, warc)
 from precis.llm.common import table
+from precis.session import scoped
 
 QUERIES = {
     "op1_warc_normalise": warc.warc_roundtrip,
@@ -22,6 +23,7 @@ QUERIES = {
     "op12_hard_negatives": hard_negatives.hard_negatives,
     "op13_license_scan": licenses.license_scan,
 }
+QUERIES = {name: scoped(fn) for name, fn in QUERIES.items()}
 ORACLE = {
     "op1_warc_normalise": warc.ORACLE,
     "op5_length_buckets": packing.oracle(),
