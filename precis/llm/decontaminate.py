@@ -21,14 +21,20 @@ with edits of a fifth of their words (measured in the tests).
 Verification: each collision fixes an alignment; the item's exact best match in
 the passage around it is computed (semi-global edit distance).
 
-Documents are read once, in Arrow batches, and nothing is shuffled.  Items come
-to the driver and go to the tasks in blocks of ``block`` items (one pass over
-the documents per block), so what is broadcast is bounded.
-
-Defined results: null text is empty and contains nothing; items of fewer than
-``MIN_WORDS`` words are not searched for (they would match everywhere); items
-that repeat a text are searched once and all reported; other columns of
-``docs`` go through :func:`decontaminate` untouched.
+Items of fewer than ``MIN_WORDS`` words have no room for an edit: their words
+are searched for as they stand.  Many such items are common phrases, so they
+count only if they are rare, that is found in at most ``RARE`` of the documents;
+the documents that hold each are counted first, in a pass of its own that is
+made only if there are such items.
+
+Documents are read once, in Arrow batches, and nothing but those counts is
+shuffled.  Items come to the driver and go to the tasks in blocks of at most
+``block`` items and ``BLOCK_WORDS`` words (one pass over the documents per
+block), so what is broadcast is bounded; an item longer than that is a block.
+
+Defined results: null text is empty and contains nothing; items without a word
+are in no document; items that repeat a text are searched once and all reported;
+other columns of ``docs`` go through :func:`decontaminate` untouched.
 """
 
 from __future__ import annotations
@@ -47,6 +53,7 @@ from precis.llm import words as wd
 from precis.llm.common import table
 
 SIMILARITY, MIN_WORDS, ROUNDS, COORDINATES, BLOCK = 0.8, 5, 10, 6, 20_000
+BLOCK_WORDS, RARE = 400_000, 0.01
 HITS = "doc_id long, item_id long, item_words int, distance int"
 _FIRST_BITS, _THIRD_BITS = 20, 18
 
@@ -71,6 +78,7 @@ class Index(NamedTuple):
     items: list[np.ndarray]        # word hashes
     first: np.ndarray              # bitmap over the top bits of the first words of item windows
     rounds: list[Round]
+    short: list                    # by number of words: (sorted hashes, item) of the items too short for windows
 
 
 def window_length(n: int) -> int:
@@ -154,7 +162,31 @@ def build_index(items: list[np.ndarray], rounds: int = ROUNDS, coordinates: int
             bounds = np.append(np.searchsorted(key[order], prefixes[-1]), len(key))
             probes.append(Probe(places, third, prefixes, (whose[order], offset[order]), bounds))
         built.append(Round(r, near, early, probes))
-    return Index(items, first, built)
+    return Index(items, first, built, [_short_items(items, k) for k in range(1, MIN_WORDS)])
+
+
+def _short_items(items: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    own = np.array([n for n, item in enumerate(items) if len(item) == k], np.int64)
+    h = np.array([_sequence(items[n]) for n in own], np.uint64)
+    order = np.argsort(h, kind="stable")
+    return h[order], own[order]
+
+
+def _sequence(item: np.ndarray) -> int:
+    n = len(item)
+    return int(wd.shingles(wd.Words(item, np.array([0, n]), item, item), n)[0][0])
+
+
+def find_short(index: Index, w: wd.Words) -> list[tuple[int, int, int]]:
+    """(text, item, 0) of each short item that stands in a text."""
+    out = set()
+    for k, (known, item) in enumerate(index.short, start=1):
+        if len(known):
+            h, text = wd.shingles(w, k)
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[at] == h
+            out.update(zip(text[hit].tolist(), item[at[hit]].tolist()))
+    return [(d, n, 0) for d, n in sorted(out)]
 
 
 def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -227,6 +259,10 @@ def best_match(item: np.ndarray, passage: np.ndarray, most: int) -> int:
 
 def find(index: Index, w: wd.Words, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
     """(text, item, distance) of each item that a text contains."""
+    return find_short(index, w) + find_long(index, w, similarity)
+
+
+def find_long(index: Index, w: wd.Words, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
     words, starts = _padded(w)
     items, at = collisions(index, words)
     if not len(items):
@@ -251,26 +287,60 @@ def find(index: Index, w: wd.Words, similarity: float = SIMILARITY) -> list[tupl
     return [(d, k, e) for (d, k), e in out.items()]
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block: int):
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block: int, words: int = BLOCK_WORDS):
     """Blocks of (ids of equal items, word hashes), by way of the driver."""
     rows = items.select(F.col(id_col).cast("long"), F.coalesce(text_col, F.lit(""))).toLocalIterator()
-    while some := list(islice(rows, block)):
+    same, size, n = defaultdict(list), 0, 0
+    while some := list(islice(rows, 1000)):
         w = wd.lower_words(pa.array([r[1] for r in some], pa.string()))
-        same = defaultdict(list)
         for k, r in enumerate(some):
-            same[w.hashes[w.bounds[k]:w.bounds[k + 1]].tobytes()].append(r[0])
+            own = w.hashes[w.bounds[k]:w.bounds[k + 1]]
+            if n and (n >= block or size + len(own) > words):
+                yield [(ids, np.frombuffer(h, np.uint64)) for h, ids in same.items()]
+                same, size, n = defaultdict(list), 0, 0
+            key = own.tobytes()
+            size += 0 if key in same else len(own)
+            n += 1
+            same[key].append(r[0])
+    if same:
         yield [(ids, np.frombuffer(h, np.uint64)) for h, ids in same.items()]
 
 
+def rare_items(docs: DataFrame, own: list, text_col: str, rare: float) -> list:
+    """A block without the short items that more than ``rare`` of the
+    documents hold (but one document may always hold an item)."""
+    short = [k for k, (_, h) in enumerate(own) if 0 < len(h) < MIN_WORDS]
+    if not short:
+        return own
+    spark = docs.sparkSession
+    index = spark.sparkContext.broadcast(build_index([own[k][1] for k in short], 0))
+
+    def run(batches):
+        seen, n = np.zeros(len(short), np.int64), 0
+        for batch in batches:
+            for part in wd.pieces(batch, 0):
+                n += part.num_rows
+                hits = find_short(index.value, wd.lower_words(part.column(0)))
+                seen += np.bincount([k for _, k, _ in hits], minlength=len(short)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(short)), -1)), pa.array(np.append(seen, n))], names=["k", "n"])
+
+    counts = docs.select(F.coalesce(text_col, F.lit("")).alias("t")).mapInArrow(run, "k long, n long")
+    total = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # a row per short item of the block
+    most = max(rare * total.get(-1, 0), 1)
+    common = {short[k] for k, n in total.items() if k >= 0 and n > most}
+    return [x for k, x in enumerate(own) if k not in common]
+
+
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY,
-              rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+              rounds: int = ROUNDS, block: int = BLOCK, rare: float = RARE) -> DataFrame:
     """``doc_id, item_id, item_words, distance``, a row for each document row
     and item that it contains."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(text_col, F.lit("")).alias("t"))
     out = None
     for own in item_blocks(items, item_id, item_text, block):
+        own = rare_items(docs, own, text_col, rare)
         index = spark.sparkContext.broadcast((build_index([h for _, h in own], rounds), [ids for ids, _ in own]))
 
         def run(batches, index=index):
@@ -290,11 +360,12 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text: str = "text",
-                  similarity: float = SIMILARITY, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+                  similarity: float = SIMILARITY, rounds: int = ROUNDS, block: int = BLOCK, rare: float = RARE) -> DataFrame:
     """The rows of ``docs`` that contain no item, columns as they are."""
-    spark, names = docs.sparkSession, docs.columns
+    spark, names, whole = docs.sparkSession, docs.columns, docs
     numbered = items.select(F.lit(0).alias("k"), F.col(item_text).alias("t"))
     for own in item_blocks(numbered, "k", "t", block):
+        own = rare_items(whole, own, text_col, rare)
         index = spark.sparkContext.broadcast(build_index([h for _, h in own], rounds))
 
         def run(batches, index=index):

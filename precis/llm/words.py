@@ -1,6 +1,8 @@
 """Word hashes of whole Arrow batches at a time.
 
-A batch of texts is one byte buffer.  Words are the maximal runs of word bytes;
+A batch of texts is one byte buffer.  Words are the maximal runs of word bytes
+(:func:`split`) or of letters, marks and digits of any script, where each
+character of a script written without spaces is a word (:func:`lower_words`);
 a word's hash is a polynomial over its bytes, taken as the difference of two
 prefix sums, so that the cost is a few array passes per byte and no Python
 object per word.
@@ -8,7 +10,9 @@ object per word.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -81,8 +85,46 @@ def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, inverse
 
 
-def split(data: np.ndarray, off: np.ndarray, word_bytes: np.ndarray) -> Words:
-    """Words of the buffer; none crosses the border of two texts."""
+#: Code points of scripts written without spaces between words.
+UNSPACED = ((0x0E00, 0x0EFF), (0x0F00, 0x109F), (0x1780, 0x17FF), (0x19E0, 0x19FF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3021, 0x30FF),
+            (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+            (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+_BREAK, _WORD, _SOLO = 0, 1, 2
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """What each code point is: part of a word, a word of its own, or none."""
+    kind = np.full(0x110000, _BREAK, np.uint8)
+    for c in range(0x80, 0x110000):
+        if unicodedata.category(chr(c))[0] in "LMN":
+            kind[c] = _WORD
+    for first, last in UNSPACED:
+        own = kind[first:last + 1]
+        own[own == _WORD] = _SOLO
+    return kind
+
+
+def _beyond_ascii(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of characters that break words, borders of one-character words)
+    of valid UTF-8."""
+    at = np.flatnonzero(data >= 0xC0)
+    lead = data[at].astype(np.int64)
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    code = np.where(size == 2, lead & 0x1F, np.where(size == 3, lead & 0x0F, lead & 0x07))
+    for k in range(1, 4):
+        more = size > k
+        code[more] = (code[more] << 6) | (data[at[more] + k] & 0x3F)
+    kind = _kinds()[code]
+    off = kind == _BREAK
+    solo = kind == _SOLO
+    return (np.concatenate([at[off & (size > k)] + k for k in range(4)]),
+            np.concatenate([at[solo], at[solo] + size[solo]]))
+
+
+def split(data: np.ndarray, off: np.ndarray, word_bytes: np.ndarray, scripts: bool = False) -> Words:
+    """Words of the buffer; none crosses the border of two texts.  With
+    ``scripts`` characters beyond ASCII count by what they are."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
@@ -91,6 +133,11 @@ def split(data: np.ndarray, off: np.ndarray, word_bytes: np.ndarray) -> Words:
     first, last = inside.copy(), inside.copy()
     edge = np.zeros(n + 1, bool)
     edge[off] = True
+    if scripts:
+        breaks, borders = _beyond_ascii(data)
+        inside[breaks] = False
+        edge[borders] = True
+        first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1] | edge[1:-1]
     last[:-1] &= ~inside[1:] | edge[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
@@ -100,8 +147,8 @@ def split(data: np.ndarray, off: np.ndarray, word_bytes: np.ndarray) -> Words:
 
 
 def lower_words(texts: pa.Array) -> Words:
-    """Lower-cased alphanumeric words."""
-    return split(*buffer(pc.utf8_lower(texts)), ALNUM)
+    """Lower-cased words of letters, marks and digits."""
+    return split(*buffer(pc.utf8_lower(texts)), ALNUM, True)
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

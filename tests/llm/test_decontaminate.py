@@ -90,7 +90,8 @@ def test_nulls_empty_short_repeated_and_blocks(spark):
     d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
     for block in (100, 2):
         got = sorted([(r.doc_id, r.item_id, r.distance) for r in dc.contained(d, i, block=block).collect()], key=repr)
-        assert got == sorted([(x, y, 0) for x in (None, 3, 4, 4) for y in (1, 2, None)], key=repr)
+        # "a b" has fewer than five words: found as it stands, and rare here
+        assert got == sorted([(x, y, 0) for x in (None, 3, 4, 4) for y in (1, 2, None)] + [(3, 5, 0)], key=repr)
         left = dc.decontaminate(d, i, block=block)
         assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 5]
     assert dc.contained(d.limit(0), i).collect() == [] and dc.contained(d, i.limit(0)).collect() == []
@@ -122,3 +123,35 @@ def test_an_item_of_more_words_than_a_block_of_steps():
     doc = " ".join(sentence(rng, 50) + edited(rng, words, 300) + sentence(rng, 50))
     got = dc.find(index, wd.lower_words(pa.array(["no such text", doc])))
     assert [(d, k) for d, k, _ in got] == [(1, 0)] and got[0][2] <= 300
+
+
+def test_short_items_are_found_unless_they_are_common(spark):
+    docs = [(k, f"the cat number {k} sat on the mat", "", 0) for k in range(300)]
+    docs += [(500, "they say the answer is forty two indeed", "", 0), (501, "Answer is; forty-two!", "", 0), (502, "answer is forty", "", 0)]
+    items = [(1, "answer is forty two", 0), (2, "on the mat", 0), (3, "number 7", 0), (4, "two indeed", 0), (5, "mat the", 0)]
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    for block in (100, 1):
+        got = sorted((r.doc_id, r.item_id, r.item_words, r.distance) for r in dc.contained(d, i, block=block).collect())
+        assert got == [(7, 3, 2, 0), (500, 1, 4, 0), (500, 4, 2, 0), (501, 1, 4, 0)]
+        gone = {r.doc_id for r in d.collect()} - {r.doc_id for r in dc.decontaminate(d, i, block=block).collect()}
+        assert gone == {7, 500, 501}
+
+
+@pytest.mark.parametrize("item", [
+    "\u6700\u5927\u7684\u884c\u661f\u662f\u6728\u661f\uff0c\u5b83\u7684\u8d28\u91cf\u662f\u5176\u4ed6\u884c\u661f\u603b\u548c\u7684\u4e24\u500d\u591a\u3002",
+    "\u65e5\u672c\u3067\u4e00\u756a\u9ad8\u3044\u5c71\u306f\u5bcc\u58eb\u5c71\u3067\u3001\u9ad8\u3055\u306f\u4e09\u5343\u4e03\u767e\u4e03\u5341\u516d\u30e1\u30fc\u30c8\u30eb\u3067\u3059\u3002",
+    "\u0e40\u0e21\u0e37\u0e2d\u0e07\u0e2b\u0e25\u0e27\u0e07\u0e02\u0e2d\u0e07\u0e1b\u0e23\u0e30\u0e40\u0e17\u0e28\u0e44\u0e17\u0e22\u0e04\u0e37\u0e2d\u0e01\u0e23\u0e38\u0e07\u0e40\u0e17\u0e1e",
+])
+def test_items_in_scripts_without_spaces(spark, item):
+    around = "\u7532\u4e59\u4e19\u4e01\u620a\u5df1" * 5
+    changed = item[:8] + "\u9f98" + item[9:]
+    docs = [(1, around + item + around, "", 0), (2, around, "", 0), (3, "so " + changed + ".", "", 0), (4, item[:10], "", 0)]
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item, 0)], ITEMS)
+    assert sorted((r.doc_id, r.distance) for r in dc.contained(d, i).collect()) == [(1, 0), (3, 1)]
+
+
+def test_blocks_are_bounded_by_words(spark):
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(100)), 0) for k in range(10)], ITEMS)
+    blocks = list(dc.item_blocks(items, "item_id", "text", 100, words=250))
+    assert [len(b) for b in blocks] == [2] * 5
+    assert [len(b) for b in dc.item_blocks(items, "item_id", "text", 100, words=50)] == [1] * 10
