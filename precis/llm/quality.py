@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precis.llm import words as wd
-from precis.llm.common import pairs, table
+from precis.llm.common import free_name, pairs, table
 
 BITS = 18
 MAX_TRAIN = 20_000
@@ -166,16 +166,18 @@ def margins(texts: pa.Array, model: Model) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_score``; the other columns go through as they are."""
+    """``docs`` with ``_score``, by another name (``common.free_name``) where
+    that one is taken; the other columns go through as they are."""
     own = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
-    schema = docs.select(*[F.col(f"`{c}`") for c in names], F.lit(0.0).alias("_score")).schema
+    added = free_name("_score", names)
+    schema = docs.select(*[F.col(f"`{c}`") for c in names], F.lit(0.0).alias(added)).schema
 
     def run(batches):
         for batch in batches:
             for part in wd.pieces(batch, names.index(text_col)):
                 s = 1 / (1 + np.exp(-2 * margins(part.column(names.index(text_col)), own.value)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], names=[*names, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], names=[*names, added])
 
     return docs.mapInArrow(run, schema)
 

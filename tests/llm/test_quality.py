@@ -89,3 +89,39 @@ def test_descent_reaches_the_optimum():
     value = lambda v: v @ v / 2 + np.maximum(0, 1 - y * (x @ v)).sum()
     best = value(full)
     assert all(value(full + rng.normal(scale=s, size=13)) >= best - 1e-2 for s in (0.01, 0.1, 1) for _ in range(200))
+
+
+def test_a_column_that_has_the_name_of_the_score(spark):
+    rows = corpus(30)
+    docs = spark.createDataFrame([(i, t, 7.0, 8.0) for i, t, _ in rows], "doc_id long, text string, _score double, __SCORE double")
+    model = q.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    out = q.score(docs, model)
+    assert out.columns == ["doc_id", "text", "_score", "__SCORE", "___score"]
+    assert all(r._score == 7.0 and r["__SCORE"] == 8.0 and 0 <= r["___score"] <= 1 for r in out.collect())
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    """Score by score: n-gram indicators times ratios, scaled to length 1, times weights, plus the bias."""
+    rows = corpus(80)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (902, "unseen words only")], "doc_id long, text string")
+    model = q.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    got = {r.doc_id: r._score for r in q.score(docs, model).collect()}
+    for r in docs.collect():
+        found = set(q.features(pa.array([r.text or ""]))[1].tolist())
+        total = length = 0.0
+        for f in found:  # the model's weights hold the ratio already
+            total += float(model.weights[f])
+            length += float(model.ratios[f]) ** 2
+        margin = total / (length ** 0.5 or 1.0) + float(model.bias)
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-2 * margin))) < 1e-6
+
+
+def test_ratios_equal_plain_counts():
+    texts, labels = ["a b a", "b c", "c d", "a d d d"], np.array([1, 0, 0, 1])
+    rows = [np.unique(q.features(pa.array([t]))[1]) for t in texts]
+    model = q.fit_rows(rows, labels, 1 << q.BITS)
+    size = 1 << q.BITS
+    for f in {int(x) for r in rows for x in r}:
+        n = [sum(f in set(r.tolist()) for r, y in zip(rows, labels) if y == q_) + 1.0 for q_ in (1, 0)]
+        whole = [sum(len(r) for r, y in zip(rows, labels) if y == q_) + 1.0 * size for q_ in (1, 0)]
+        assert abs(model.ratios[f] - np.log((n[0] / whole[0]) / (n[1] / whole[1]))) < 1e-5
