@@ -16,7 +16,8 @@ coded keep bitmap.  The text itself is read again only by :func:`apply_keep`.
 
 Defined results: null or empty text is one empty line; a null id is smaller
 than every id; each row counts as one document (repeated rows of the largest
-id all keep their lines); other columns are carried, whatever their names.
+id all keep their lines); other columns are carried, whatever their names: the
+added ones give way (see :func:`apply_keep`).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from precis.llm.common import key128
+from precis.llm.common import free_name, key128
 
 #: The white space that is stripped, and the letters lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -94,22 +95,27 @@ def kept_lines(lines: Column, dropped: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(lines, lo(i) + 1, hi(i) - lo(i))))
 
 
+#: what :func:`apply_keep` adds
+ADDED = ("_n_lines", "_n_dropped", "_kept", "_keep_runs")
+
+
 def apply_keep(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``_n_lines, _n_dropped, _kept`` (the text that stays) and
-    ``_keep_runs``."""
-    left = docs.withColumn("__ld_text_hash", F.xxhash64(text_col))
-    right = bitmaps.select(F.col("_id").alias("__ld_id"), F.col("_th").alias("__ld_hash"),
-                           F.col("dropped").alias("__ld_dropped"), F.col("keep_runs").alias("_keep_runs"))
-    joined = left.join(right, left[id_col].eqNullSafe(right["__ld_id"])
-                       & (left["__ld_text_hash"] == right["__ld_hash"]), "left")
-    lines, dropped = _lines(F.col(text_col)), F.col("__ld_dropped")
+    ``_keep_runs``, by other names (``common.free_name``) where these are taken."""
+    names = {c: free_name(c, docs.columns) for c in ADDED}
+    th, rid, rth, rdropped, rruns = (free_name(f"__ld_{c}", docs.columns) for c in ("text_hash", "id", "hash", "dropped", "runs"))
+    left = docs.withColumn(th, F.xxhash64(text_col))
+    right = bitmaps.select(F.col("_id").alias(rid), F.col("_th").alias(rth),
+                           F.col("dropped").alias(rdropped), F.col("keep_runs").alias(rruns))
+    joined = left.join(right, left[id_col].eqNullSafe(right[rid]) & (left[th] == right[rth]), "left")
+    lines, dropped = _lines(F.col(text_col)), F.col(rdropped)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return (joined
-            .withColumn("_n_lines", F.size(lines).cast("long"))
-            .withColumn("_n_dropped", F.when(dropped.isNull(), 0).otherwise(F.size(dropped)).cast("long"))
-            .withColumn("_kept", F.when(dropped.isNull(), text)
-                        .otherwise(F.array_join(kept_lines(lines, dropped), "\n")))
-            .drop("__ld_text_hash", "__ld_id", "__ld_hash", "__ld_dropped"))
+    return joined.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.size(lines).cast("long").alias(names["_n_lines"]),
+        F.when(dropped.isNull(), 0).otherwise(F.size(dropped)).cast("long").alias(names["_n_dropped"]),
+        F.when(dropped.isNull(), text).otherwise(F.array_join(kept_lines(lines, dropped), "\n")).alias(names["_kept"]),
+        F.col(rruns).alias(names["_keep_runs"]))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

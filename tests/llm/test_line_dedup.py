@@ -72,3 +72,15 @@ def test_other_columns_survive(spark):
     df = spark.createDataFrame([(1, "x", 5, "y")], SCHEMA)
     row = ld.line_dedup(df).select("dropped", "keep_runs", F.col("_kept")).first()
     assert tuple(row) == (5, "y", "x")
+
+
+def test_columns_that_have_the_names_of_added_ones(spark):
+    line = "a line that three documents hold"
+    schema = ("doc_id long, text string, _kept string, _n_lines int, _KEEP_RUNS string, __ld_text_hash int, __ld_id int, __ld_dropped int, "
+              "_n_dropped int, _id int, _t int, dropped int, k int")
+    df = spark.createDataFrame([(i, f"{line}\nown", "mine", 70 + i, "r", 1, 2, 3, 4, 5, 6, 7, 8) for i in range(3)], schema)
+    out = ld.line_dedup(df)
+    assert out.columns == [*df.columns, "__n_lines", "__n_dropped", "__kept", "__keep_runs"]
+    rows = sorted(tuple(r) for r in out.collect())
+    assert [r[2:13] for r in rows] == [("mine", 70 + i, "r", 1, 2, 3, 4, 5, 6, 7, 8) for i in range(3)]
+    assert [r[13:16] for r in rows] == [(2, 1, "own"), (2, 1, "own"), (2, 0, f"{line}\nown")]
