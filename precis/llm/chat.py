@@ -11,8 +11,9 @@ length never has to fit into one task or row; positions come from quantile
 ranges of the turn number (see ``common.positions``).
 
 Defined results: turns are ordered by number (null first), then role and text,
-repeated rows are turns of their own; a null role speaks as ``unknown``; null
-text is empty; control markers inside a text are broken up by a space; a
+repeated rows are turns of their own; a null role speaks as ``unknown``; names
+are written with ``_`` for a space, and ``_``, ``%`` and other white space as
+``%`` and their code, so no two speakers share one; null text is empty; control markers inside a text are broken up by a space; a
 conversation of system turns alone has no participant and gives no row; a null
 ``conv_id`` is one conversation; other columns are ignored.
 """
@@ -34,6 +35,17 @@ def _plain(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("<|im_"), F.lit("<| im_"))
 
 
+#: How characters of a speaker's name are written, in this order.
+NAME_CODES = (("%", "%25"), ("_", "%5F"), (" ", "_"), ("\t", "%09"), ("\n", "%0A"), ("\x0b", "%0B"), ("\f", "%0C"), ("\r", "%0D"))
+
+
+def speaker_name(role: Column) -> Column:
+    """Different for different roles, without white space or control marker."""
+    for plain, code in NAME_CODES:
+        role = F.replace(role, F.lit(plain), F.lit(code))
+    return role
+
+
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
            text_col: str = "text", max_turns: int = MAX_TURNS) -> DataFrame:
     """``conv_id, speaker, chunk, n_turns, n_target, rendered, mask``, a row
@@ -48,7 +60,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     own = F.col("role") == F.col("speaker")
     head = (F.when(F.col("role") == SYSTEM, F.lit(f"{OPEN}system\n"))
             .when(own, F.lit(f"{OPEN}assistant\n"))
-            .otherwise(F.concat(F.lit(f"{OPEN}user name="), _plain(F.regexp_replace("role", r"\s+", "_")), F.lit("\n"))))
+            .otherwise(F.concat(F.lit(f"{OPEN}user name="), speaker_name(F.col("role")), F.lit("\n"))))
     turn = F.struct("_pos", head.alias("head"), F.concat("said", F.lit(CLOSE)).alias("body"), own.alias("own"))
     chunks = (seen.groupBy("conv_id", "speaker", "chunk")
               .agg(F.array_sort(F.collect_list(turn)).alias("turns")))  # at most max_turns
@@ -71,6 +83,13 @@ def rotate_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
+def _name_sql() -> str:
+    out = "role"
+    for plain, code in NAME_CODES:
+        out = f"replace({out}, chr({ord(plain)}), '{code}')"
+    return out
+
+
 ORACLE = rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS role,
@@ -82,7 +101,7 @@ r AS (
   SELECT p.conv_id, speaker, pos, pos // {MAX_TURNS} AS chunk, role = speaker AS own, said || '{CLOSE}' AS body,
          CASE WHEN role = 'system' THEN '{OPEN}system' || chr(10)
               WHEN role = speaker THEN '{OPEN}assistant' || chr(10)
-              ELSE '{OPEN}user name=' || replace(regexp_replace(role, '\s+', '_', 'g'), '<|im_', '<| im_') || chr(10)
+              ELSE '{OPEN}user name=' || {_name_sql()} || chr(10)
          END AS head
   FROM p JOIN s ON p.conv_id IS NOT DISTINCT FROM s.conv_id
 ), o AS (

@@ -13,7 +13,7 @@ def brute(rows, max_turns=chat.MAX_TURNS):
             for k in range(0, len(turns), max_turns):
                 text, mask, n = "", [], 0
                 for _, r, t in turns[k:k + max_turns]:
-                    name = "_".join(r.split()) if " " in r else r
+                    name = r.replace("%", "%25").replace("_", "%5F").replace(" ", "_").replace("\t", "%09").replace("\n", "%0A")
                     text += {True: "<|im_start|>assistant\n"}.get(r == who, "<|im_start|>system\n" if r == "system"
                                                                   else f"<|im_start|>user name={name}\n")
                     if r == who:
@@ -53,5 +53,14 @@ def test_masks_cover_the_speaker_alone(spark):
             assert text[:a].endswith("<|im_start|>assistant\n") and text[a:b].endswith("<|im_end|>")
 
 
+def test_no_two_speakers_share_a_name(spark):
+    roles = ["ann lee", "ann_lee", "ann  lee", "ann\tlee", "ann\nlee", "ann%5Flee", "<|im_start|>", "<| im_start|>", "ann"]
+    rows = [(1, k, r, f"said {k}") for k, r in enumerate(roles)]
+    got = run(spark, rows)
+    assert got == brute(rows)
+    names = {m for r in got for m in r[5].split("\n") if m.startswith("<|im_start|>user name=")}
+    assert len(names) == len(roles)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
