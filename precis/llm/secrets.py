@@ -23,7 +23,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,9 +101,17 @@ def random_spans(text: str, base: list, path: str, min_chars: int, max_ratio: fl
     def below(part: str) -> bool:
         return len(part) < max_ratio * n_tokens(part, path)
 
+    starts = [b for b, _, _ in base]
+    reach = list(accumulate((f for _, _, f in base), max))
+
+    def inside_base(s: int, e: int) -> bool:
+        """Some base span that starts no later ends no sooner."""
+        n = bisect_right(starts, s)
+        return n > 0 and reach[n - 1] >= e
+
     def random(s: int, e: int) -> bool:
         part = text[s:e]
-        return (e - s >= min_chars and not known(part) and not any(b <= s and e <= f for b, _, f in base)
+        return (e - s >= min_chars and not known(part) and not inside_base(s, e)
                 and below(part) and not identifier(part, path, max_ratio))
 
     out = []
@@ -110,7 +120,7 @@ def random_spans(text: str, base: list, path: str, min_chars: int, max_ratio: fl
         run = m[0].strip("=_-/+")
         s += m[0].index(run) if run else 0
         e = s + len(run)
-        if len(run) < min_chars or known(run) or any(b <= s and e <= f for b, _, f in base):
+        if len(run) < min_chars or known(run) or inside_base(s, e):
             continue
         if random(s, e):
             out.append((s, 3, e))

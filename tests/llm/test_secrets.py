@@ -87,3 +87,15 @@ def test_letter_only_secrets():
             assert sum(found(f"key {k} end") == [k] for k in keys) >= 0.98 * n
     for word in ("getElementsByTagNameAndAttribute", "internationalization_and_localization", "to-be-or-so-it-is-as-we-do"):
         assert found(word) == []
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    import time
+    times = []
+    for n in (4_000, 16_000):
+        text = " ".join(f"password=Zk{k}Qw9 {RANDOM}" for k in range(n))
+        start = time.time()
+        base = sc.base_spans(text)
+        sc.random_spans(text, base, sc.VOCABULARY, sc.MIN_CHARS, sc.MAX_RATIO)
+        times.append(time.time() - start)
+    assert len(base) == 16_000 and times[1] < 9 * times[0] + 1
