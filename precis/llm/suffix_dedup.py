@@ -446,7 +446,10 @@ def match_segments(segments: DataFrame) -> DataFrame:
 
 
 def match_hot(windows: DataFrame) -> DataFrame:
-    least = windows.groupBy("w1", "w2").agg(F.min("o").alias("least"))
+    # both stored: the windows are cut once, and the join is of two plain
+    # shuffles, which AQE splits at a window that very many documents hold
+    windows = stored(windows, "hot-windows")
+    least = stored(windows.groupBy("w1", "w2").agg(F.min("o").alias("least")), "hot-least")
     lost = windows.join(least, ["w1", "w2"]).where("o > least").select("block", "row", "at")
 
     def run(batches):

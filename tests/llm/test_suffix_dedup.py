@@ -109,3 +109,11 @@ def test_anchors_of_equal_windows_agree():
         for w in range(lo, hi - sd.LENGTH + 1):
             assert any(w <= p <= w + sd.LENGTH - sd.GRAM for p in places)
     assert not any(200 <= p < 240 for p in places)
+
+
+def test_a_hot_passage_is_spread_over_tasks(spark):
+    """One passage in most documents, by way of the window hashes."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(200))
+    rows = [(k, "".join(rng.choice("ijkl ") for _ in range(60)) + (passage if k % 4 else "") + str(k)) for k in range(400)]
+    assert run(spark, rows, hot=10) == brute(rows)
