@@ -97,4 +97,5 @@ def test_empty_and_odd_documents(spark):
         path = f"{folder}/documents.parquet"
         spark.createDataFrame(rows, SCHEMA).write.mode("overwrite").parquet(path)
         assert os.path.isdir(path)
-        assert cp.run(spark, folder).count() == len(rows) - bool(rows)
+        # null and empty texts are equal, so of the four rows that with the smallest id stays
+        assert [r.doc_id for r in cp.run(spark, folder).collect()] == ([1] if rows else [])
