@@ -78,15 +78,15 @@ def test_few_known_pairs_give_the_same_merges(spark, docs, trained):
     assert few.merges == trained[0].merges and few.tokens == trained[0].tokens
 
 
-def test_merges_onto_existing_strings_equal_library(spark):
-    """Runs of one letter, so that strings come about in several ways."""
+def test_runs_of_one_letter_equal_library(spark):
+    """Pairs that overlap themselves, strings that may come about in several
+    ways, and a list of known pairs that runs out until no pair is left."""
     import random
     rng = random.Random(5)
     texts = [" ".join("".join(rng.choice("aaaab") for _ in range(rng.randint(1, 30))) for _ in range(10)) for _ in range(20)]
     df = spark.createDataFrame([(t,) for t in texts], "value string")
-    model = train_bpe(df, vocab_size=1000, known_pairs=300)
-    assert len(model.merges) > len(model.tokens) - 261  # some merges made no new string
-    _compare(model, _library(texts, 1000))
+    model = train_bpe(df, vocab_size=500, known_pairs=300)
+    _compare(model, _library(texts, 500))
 
 
 def test_block_merges_against_plain_lists():
