@@ -107,12 +107,12 @@ def q_validate(spark, d):
           "FROM documents WHERE text IS NOT NULL")
 def q_scan_text_files(spark, d):
     """Every document as a text file of its own, read back."""
-    from ..sources.textfiles import scan_text_files
+    from ..sources.textfiles import scan_text_files, write_text_files
     path = shared_path(spark, "text-files")
     docs = fx.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").alias("value"))
-    docs.write.partitionBy("doc_id").text(path)
+    write_text_files(docs, path, "doc_id")
     return scan_text_files(spark, path).where("error IS NULL").select(
-        F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "text", "n_bytes")
+        F.nullif(F.regexp_extract("path", r"doc_id=(-?\d+)\.txt$", 1), F.lit("")).cast("long").alias("doc_id"), "text", "n_bytes")
 
 
 @register("require_nonempty_docs", """

@@ -1,10 +1,66 @@
-"""S6 scan_text_files: ``.txt`` / ``.md`` files as documents, strict UTF-8."""
+"""S6 scan_text_files: ``.txt`` / ``.md`` files as documents, strict UTF-8; and
+documents written as text files of their own."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+from .files import file_system
+from .shared import open_folder
+
+#: files of a folder, so that Spark lists many folders of bounded size in parallel
+FOLDER_FILES = 1000
+
+
+def write_text_files(docs: DataFrame, path: str, key: str, value: str = "value", folder_files: int = FOLDER_FILES) -> None:
+    """A file ``<key>=<its value>.txt`` for each key of a partition of ``docs``,
+    its rows a line each (rows that repeat a key inside a partition share a
+    file; null is a key).  Tasks write the files themselves: Spark's writer makes
+    a folder, a checksum and a move of each file, some 20 ms a file.  A folder
+    of files is hidden until it is whole, then renamed; what a broken attempt
+    leaves stays hidden."""
+    ship_package(docs.sparkSession)
+    made, root = file_system(docs.sparkSession, path)
+    made.mkdirs(root)  # also where there is no row
+
+    def write(batches):
+        from pyspark import TaskContext
+        fs, root = open_folder(path)
+        part, made, files, folder, out, last = TaskContext.get().partitionId(), 0, 0, None, None, None
+
+        def show():
+            nonlocal made
+            shown = f"{root}/part-{part:05d}-{made:05d}"
+            if fs.get_file_info(shown).type == FileType.NotFound:  # else another attempt was first
+                fs.move(folder, shown)
+            made += 1
+
+        for batch in batches:
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if out is None or k != last:
+                    if out is not None:
+                        out.close()
+                    if files == folder_files:
+                        show()
+                        files, folder = 0, None
+                    if folder is None:
+                        folder = f"{root}/_part-{part:05d}-{made:05d}-{uuid.uuid4().hex}"
+                        fs.create_dir(folder, recursive=True)
+                    out, last, files = fs.open_output_stream(f"{folder}/{key}={'null' if k is None else k}.txt"), k, files + 1
+                out.write(text.encode() + b"\n")
+            yield batch.slice(0, 0).select([0])
+        if out is not None:
+            out.close()
+            show()
+
+    kind = docs.schema[key].dataType.simpleString()
+    docs.select(key, value).sortWithinPartitions(key).mapInArrow(write, f"{key} {kind}").count()
+
 
 def scan_text_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per ``.txt`` or ``.md`` file under ``path``: ``text`` when the

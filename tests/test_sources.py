@@ -70,6 +70,20 @@ def test_text_files_strict_utf8(spark, folder):
     assert rows["bad.txt"]["text"] is None and rows["bad.txt"]["error"]
 
 
+def test_text_files_written_in_folders_of_bounded_size(spark, folder):
+    from precis.sources.textfiles import write_text_files
+    rows = [(7, "a"), (7, "b\nc"), (None, "sans"), (3, ""), (-1, "été")] + [(100 + i, f"t{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, value string")
+    write_text_files(docs.coalesce(1), f"{folder}/all", "doc_id", folder_files=4)
+    got = {os.path.basename(r["path"]): (r["text"], r["n_bytes"]) for r in scan_text_files(spark, f"{folder}/all").collect()}
+    assert got["doc_id=7.txt"] in {("a\nb\nc\n", 6), ("b\nc\na\n", 6)}
+    assert got["doc_id=null.txt"] == ("sans\n", 5) and got["doc_id=3.txt"] == ("\n", 1) and got["doc_id=-1.txt"] == ("été\n", 6)
+    assert len(got) == 24 and all(got[f"doc_id={100 + i}.txt"][0] == f"t{i}\n" for i in range(20))
+    assert sorted(len(os.listdir(f"{folder}/all/{d}")) for d in os.listdir(f"{folder}/all")) == [4] * 6
+    write_text_files(docs.limit(0), f"{folder}/none", "doc_id")
+    assert scan_text_files(spark, f"{folder}/none").count() == 0
+
+
 def test_write_summaries_round_trip(spark, folder):
     df = spark.createDataFrame([(1, "un"), (2, "deux")], "pair_id long, summary string")
     write_summaries(df, f"{folder}/pq")
