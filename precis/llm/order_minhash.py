@@ -15,10 +15,11 @@ further keys of ``SHORT_PICKS`` words.
 Candidates: texts that are equal become one node first (hash of the text,
 partial minimum).  A first round pairs every node with the smallest node of each
 of its buckets, a partial aggregate and an equi-join, so a bucket of m texts
-gives m - 1 pairs, and verified links join most buckets into one class.  What is left are buckets of several classes, as a passage makes that
-many otherwise different texts share.  In a second round the nodes of such a
-bucket of at most ``SMALL`` are all paired; those of larger ones go through a
-forest of prefix trees: in each of ``TREES`` orders a node's ``DEPTH`` smallest
+gives m - 1 pairs, and verified links join most buckets into one class.  What
+is left are buckets of several classes, as a passage makes that many otherwise
+different texts share.  In a second round the nodes of such a bucket of at most
+``SMALL`` are all paired; those of larger ones go through a forest of prefix
+trees: in each of ``TREES`` orders a node's ``DEPTH`` smallest
 labelled words, smallest first, are its path.  Nodes that share a passage share
 the beginning of a path and part at the first word outside the passage, so texts
 that are also alike outside of it stay neighbours however many share the passage.
@@ -27,7 +28,12 @@ every node meets its ``NEAR`` neighbours on either side in each tree; in
 one more order the nodes of a bucket stand by their number of words, for texts
 that share the passage alone.  Met nodes of different classes are a pair if their
 word counts and the share of equal first words of the paths allow a link.  So
-pairs per node are bounded by a constant, whatever the size of a bucket.
+pairs per node of this round are bounded by a constant, whatever the size of a
+bucket.  A third round is exact for the buckets that still hold several classes:
+all their pairs of nodes are compared (:func:`compared`), a cell of two blocks of
+nodes at a time.  A bound of the words that two texts share, a matrix product of
+hashed word counts, rules out most pairs; it rules out none that can link.  The
+work of this round grows with the square of such a bucket, its memory does not.
 
 Verification: a pair links if its word sequences have an edit similarity
 ``1 - distance / longer`` of at least ``similarity``; the distance is computed
@@ -56,6 +62,8 @@ SHORT_WORDS, SHORT_PICKS, SHORT_TABLES = 40, 3, 24
 SKETCH = "i long, h1 long, h2 long, n int, keys array<long>"
 TREES, DEPTH, NEAR, ORDERED_BUCKETS = 64, 12, 2, 16
 SMALL = 8  # nodes of a bucket that are paired one by one
+BLOCK, BLOCK_WORDS, TILE = 2048, 1 << 20, 256  # about so many nodes and words of a block; nodes that a matrix product compares at once
+BINS = (256, 4096)  # least and most bins of hashed words
 MARKS_ALIKE = 0.5  # of the first words of the paths; texts at a similarity of 0.8 share 0.667, give or take 0.06 at 64 trees
 PATH = "tree int, path binary, node long, root long, n int, marks binary"
 MET = "a long, b long, part int, place long, tree int, node long, root long, n int, marks binary"
@@ -412,6 +420,96 @@ def links(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) ->
     return joined.mapInArrow(run, "a long, b long")
 
 
+def worded(rows: DataFrame) -> DataFrame:
+    """``node, n, buckets, words`` of rows ``node, n, buckets, t``; words: their
+    hashes in text order, eight bytes each."""
+    def run(batches):
+        for batch in batches:
+            for part in wd.pieces(batch, 3):
+                w = wd.lower_words(part.column(3))
+                held = [w.hashes[a:b].tobytes() for a, b in zip(w.bounds[:-1], w.bounds[1:])]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(3)], pa.array(held, pa.binary())],
+                                                 names=["node", "n", "buckets", "words"])
+
+    return rows.select("node", "n", "buckets", "t").mapInArrow(run, "node long, n int, buckets array<long>, words binary")
+
+
+def _bins(words: list[np.ndarray], bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, whether a bin holds at least one and at least two of its
+    words, and how many words are beyond two a bin."""
+    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    at = owner * bins + (wd.mix(np.concatenate(words)) % np.uint64(bins)).astype(np.int64)
+    held = np.bincount(at, minlength=len(words) * bins).reshape(len(words), bins)
+    return np.concatenate([held >= 1, held >= 2], axis=1).astype(np.float32), np.maximum(held - 2, 0).sum(axis=1)
+
+
+def may_link(a: list[np.ndarray], b: list[np.ndarray], similarity: float, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a`` and ``b`` (word hashes of texts) of all pairs that can be
+    similar enough: bins shared by two texts count at least the words they
+    share, and whatever the longer one does not share is an edit."""
+    (x, x_more), (y, y_more) = _bins(a, bins), _bins(b, bins)
+    shared = x @ y.T + np.minimum(x_more[:, None], y_more[None, :])
+    n, m = np.array([len(w) for w in a])[:, None], np.array([len(w) for w in b])[None, :]
+    longer = np.maximum(n, m)
+    need = longer - ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    return np.nonzero((np.minimum(n, m) >= need) & (shared >= need))
+
+
+def compared(nodes: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Links ``a, b`` between nodes ``node, n, buckets, words`` that share a
+    bucket and are of different classes (``node, root``): enough of them to join
+    the classes of all pairs that are similar enough.  A bucket's nodes are dealt
+    into blocks, and every two blocks meet in a cell; a pair is looked at in the
+    smallest bucket it shares."""
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    spread = stored(rooted.select("node", "n", "root", F.explode("buckets").alias("key")), "spread")
+    size = F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_WORDS)
+    several = stored(spread.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.ceil(size).cast("int").alias("blocks"))
+                     .where("r < s").select("key", "blocks"), "several")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = (spread.join(several, "key").select("key", "node", "root", own.alias("own"), "blocks")
+             .select("key", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+             .select("key", "node", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+
+    def run(cell: pa.Table) -> pa.Table:
+        order = np.argsort(cell.column("n").to_numpy(), kind="stable")
+        cell = cell.take(pa.array(order))
+        node, own, key = cell.column("node").to_numpy(), cell.column("own").to_numpy(), cell.column("key")[0].as_py()
+        words = [np.frombuffer(w, np.uint64) for w in cell.column("words").to_pylist()]
+        size = np.array([len(w) for w in words])
+        before = [{k for k in keys if k < key} for keys in cell.column("buckets").to_pylist()]
+        above = {r: r for r in cell.column("root").to_pylist()}
+        root, found = cell.column("root").to_pylist(), []
+        bins = min(max(1 << int(2 * size.max() - 1).bit_length(), BINS[0]), BINS[1])
+
+        def top(r: int) -> int:
+            while above[r] != r:
+                above[r] = r = above[above[r]]
+            return r
+
+        first, second = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+        for s in range(0, len(left), TILE):
+            p = left[s:s + TILE]
+            for t in range(s if first == second else 0, len(right), TILE):
+                q = right[t:t + TILE]
+                if max(size[p[0]], size[q[0]]) * similarity > min(size[p[-1]], size[q[-1]]) + 1:
+                    continue  # all of one tile are too long for all of the other
+                for x, y in zip(*(z.tolist() for z in may_link([words[k] for k in p], [words[k] for k in q], similarity, bins))):
+                    x, y = p[x], q[y]
+                    r, s_ = top(root[x]), top(root[y])
+                    if r == s_ or not before[x].isdisjoint(before[y]) or first == second and x >= y:
+                        continue
+                    most = int((1 - similarity) * max(size[x], size[y]) + 1e-9)
+                    if distance(words[x], words[y], most) is not None:
+                        above[max(r, s_)] = min(r, s_)
+                        found.append((int(max(node[x], node[y])), int(min(node[x], node[y]))))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return (cells.join(nodes, "node").select("key", "i", "j", "node", "root", "own", "n", "buckets", "words")
+            .groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct())
+
+
 def joined_classes(roots: DataFrame, found: DataFrame) -> DataFrame:
     """``node, root`` after further links ``a, b``; only the classes that they
     join go through the graph once more."""
@@ -473,6 +571,11 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = stored(verified(more), "links")
         if not found.isEmpty():
             roots = joined_classes(roots, found)
+    if not left.isEmpty():
+        roots = stored(roots, "roots")
+        found = stored(compared(stored(worded(rows), "unsettled-words"), roots, similarity), "links")
+        if not found.isEmpty():
+            roots = joined_classes(roots, found)
     # stored, so that the join is one of two plain shuffles, which AQE splits
     # where one text has very many copies
     roots = stored(roots, "roots")

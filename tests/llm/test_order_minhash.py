@@ -273,3 +273,29 @@ def test_a_link_inside_a_bucket_that_misses_both_ends(spark):
             break
     assert (keys == keys[0]).all()
     assert classes(spark, list(enumerate(texts)), picks=1, tables=1) == [(0, 0), (1, 1), (2, 1), (3, 3), (4, 4)]
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_pairs_of_a_large_bucket_that_no_neighbourhood_meets(spark, block, monkeypatch):
+    texts = passage_texts(0.72, 300, 40)
+    monkeypatch.setattr(om, "neighbours", lambda rows, *rest: spark.createDataFrame([], "a long, b long"))
+    plain = om.compared
+    monkeypatch.setattr(om, "compared", lambda nodes, roots, similarity: plain(nodes, roots, similarity, block))
+    got = dict(classes(spark, list(enumerate(texts))))
+    assert all(got[300 + k] == k for k in range(40)) and len(set(got.values())) == 300
+
+
+def test_the_bound_of_shared_words_loses_no_link():
+    rng = random.Random(9)
+    for _ in range(30):
+        vocabulary = np.array([rng.randrange(2**63) for _ in range(rng.choice([3, 40, 500]))], np.uint64)
+        texts = [np.array([rng.choice(vocabulary) for _ in range(rng.randint(1, 60))], np.uint64) for _ in range(12)]
+        for t in texts[:6]:
+            own = t.copy()
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            texts.append(own)
+        may = set(zip(*(x.tolist() for x in om.may_link(texts, texts, 0.8, 16))))
+        for i, a in enumerate(texts):
+            for j, b in enumerate(texts):
+                if om.distance(a, b, int(0.2 * max(len(a), len(b)) + 1e-9)) is not None:
+                    assert (i, j) in may
