@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,9 @@ KEY = "pair_id"
 
 
 SCORES = "array<struct<metric: string, precision: double, recall: double, fmeasure: double>>"
-GRAMS = "array<struct<n: int, ngram: string, n_pred: long, n_ref: long, overlap: long>>"
+GRAMS = "n int, ngram string, n_pred long, n_ref long, overlap long"
+#: pairs that are taken from a batch at once, and n-grams of an output batch
+GRAM_PAIRS, GRAM_ROWS = 64, 20_000
 
 
 # --- scores of one pair ------------------------------------------------------
@@ -160,20 +163,31 @@ def tokenized(pairs: DataFrame, pred: str = "prediction", ref: str = "reference"
 
 def ngram_overlap(toks: DataFrame, orders: Sequence[int] = (1, 2), key: str = KEY) -> DataFrame:
     """Per (pair, n, ngram) the prediction count, the reference count and
-    the clipped overlap (the match of the two count tables), inside the row."""
-    @F.pandas_udf(GRAMS)
-    def grams(p: pd.Series, r: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(p, r):
-            rows = []
-            for n in orders:
-                x, y = gram_counts(list(a), n), gram_counts(list(b), n)
-                rows += [{"n": n, "ngram": g if n == 1 else " ".join(g), "n_pred": x[g], "n_ref": y[g],
-                          "overlap": min(x[g], y[g])} for g in x | y]
-            out.append(rows)
-        return pd.Series(out)
-
-    return toks.select(key, F.inline(grams("_pt", "_rt")))
+    the clipped overlap (the match of the two count tables).  A task holds about
+    ``GRAM_ROWS`` output rows at a time, however many pairs a batch has."""
+    def batch(keys: list, kind: pa.DataType, rows: list) -> pa.RecordBatch:
+        n, gram, n_pred, n_ref = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys, kind), pa.array(n, pa.int32()), pa.array(gram, pa.string()), pa.array(n_pred, pa.int64()),
+             pa.array(n_ref, pa.int64()), pa.array([min(x) for x in zip(n_pred, n_ref)], pa.int64())],
+            names=[key, "n", "ngram", "n_pred", "n_ref", "overlap"])
+
+    def grams(batches):
+        for whole in batches:
+            kind, keys, rows = whole.schema.field(0).type, [], []
+            for at in range(0, whole.num_rows, GRAM_PAIRS):
+                some = whole.slice(at, GRAM_PAIRS)
+                for k, a, b in zip(*(some.column(c).to_pylist() for c in range(3))):
+                    for n in orders:
+                        x, y = gram_counts(a, n), gram_counts(b, n)
+                        rows += [(n, g if n == 1 else " ".join(g), x[g], y[g]) for g in x | y]
+                    keys += [k] * (len(rows) - len(keys))
+                    if len(rows) >= GRAM_ROWS:
+                        yield batch(keys, kind, rows)
+                        keys, rows = [], []
+            yield batch(keys, kind, rows)
+
+    return toks.select(key, "_pt", "_rt").mapInArrow(grams, f"`{key}` {toks.schema[key].dataType.simpleString()}, {GRAMS}")
 
 
 def rouge_n(pairs: DataFrame, orders: Sequence[int] = (1, 2), pred: str = "prediction", ref: str = "reference",

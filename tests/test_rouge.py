@@ -191,3 +191,21 @@ def test_bootstrap_covers_the_mean_and_narrows_with_the_pairs(spark):
     assert narrow["low"] < mean < narrow["high"] and wide["high"] - wide["low"] > 3 * (narrow["high"] - narrow["low"])
     # about 1.96 standard deviations on either side
     assert 0.7 < (narrow["high"] - narrow["low"]) / (2 * 1.96 * 0.2887 / 4000 ** 0.5) < 1.3
+
+
+def test_ngram_tables_are_made_in_small_batches(spark, monkeypatch):
+    from collections import Counter
+
+    from precis.operators import rouge
+    monkeypatch.setattr(rouge, "GRAM_PAIRS", 2)
+    monkeypatch.setattr(rouge, "GRAM_ROWS", 5)
+    texts = [(k, " ".join(f"w{j % 3}" for j in range(k)), "w0 w1 w0" if k % 2 else "") for k in range(9)]
+    pairs = spark.createDataFrame([*texts, (None, "a b", "b a")], "pair_id long, prediction string, reference string")
+    table = rouge.ngram_overlap(rouge.tokenized(pairs.coalesce(1)))
+    assert "ArrowEvalPython" not in table._jdf.queryExecution().executedPlan().toString()  # a list of rows for each pair of a batch
+    want = []
+    for k, p, r in [*texts, (None, "a b", "b a")]:
+        for n in (1, 2):
+            x, y = (Counter(" ".join(t) for t in zip(*(s.split()[j:] for j in range(n)))) for s in (p, r))
+            want += [(k, n, g, x[g], y[g], min(x[g], y[g])) for g in x | y]
+    assert sorted(map(tuple, table.collect()), key=repr) == sorted(want, key=repr)
