@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SORTED_ALPHABET, SPECIAL_TOKENS, byte_symbol_array
-from ..session import shared_path, shuffle_partitions
+from ..session import materialize, shared_path, shuffle_partitions
 from .bpe_blocks import BLOCK, MAX_SYMBOLS, Step, all_pairs, blocks, pack, run_step, outcome
 from .corpus import pretoken_counts
 
@@ -90,7 +90,12 @@ def pair_rows(words: DataFrame) -> DataFrame:
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
-    """A3: count of each adjacent symbol pair, weighted by the word count."""
+    """A3: count of each adjacent symbol pair, weighted by the word count.  The
+    words are written first: the symbols derive from the key that the words were
+    grouped by, so the optimizer would push the test for a pair below that
+    aggregation, to every occurrence of a word."""
+    spark = words.sparkSession
+    words = materialize(words.select("n", "syms").repartition(shuffle_partitions(spark)), "words")
     return pair_rows(words).groupBy("l", "r").agg(F.sum("c").alias("c"))
 
 

@@ -249,3 +249,13 @@ def test_byte_symbols_of_every_byte(spark):
     for r in df.collect():
         want = "".join(tx.BYTE_ALPHABET[b] for b in r["t"].encode())
         assert r["s"] == want and r["a"] == list(want) and r["back"] == r["t"]
+
+
+def test_pairs_are_taken_from_distinct_words_only(spark):
+    """No filter on the symbols of a word reaches the rows that are counted to words."""
+    from precis.operators.bpe import pair_counts, word_table
+    from precis.operators.corpus import pretoken_counts
+    corpus = spark.createDataFrame([("aaa b aaa",), ("",), (None,), ("é",)], "value string")
+    found = pair_counts(word_table(pretoken_counts(corpus)))
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["c"] for r in found.collect()) == [1, 1, 1, 4]
