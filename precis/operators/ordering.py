@@ -58,7 +58,9 @@ def range_of(df: DataFrame, cols: Sequence[str], cuts: list[Row]) -> Column:
                         F.when((low < high) & ~before, middle).otherwise(high).alias("high"))
 
     start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), start, halve, lambda s: s["low"])
+    # never null, and said to be so: a join by it would else test that before any
+    # aggregation the key comes from, which is once for each row of a group
+    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1)), start, halve, lambda s: s["low"]), F.lit(0))
 
 
 def with_positions(df: DataFrame, order_cols: Sequence[str], pos_col: str = "pos",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import pretokenize
+from ..session import materialize
 from ..sources import scan
 from ..sources.registry import Registry, SourceSpec
 
@@ -139,7 +140,7 @@ def conv_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.encode import dense_vocab, token_lookup
     pt = conv_pretokens(spark, sf_dir)
     vocab = dense_vocab(pt, keys=table(spark, sf_dir, "conversations").select(F.explode(pretokenize(F.col("text"))).alias("pretoken")))
-    return token_lookup(pt, vocab)
+    return token_lookup(pt, materialize(vocab, "vocab"))  # written, so that it is numbered once however often the tokens are read
 
 
 def conv_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:

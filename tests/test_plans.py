@@ -156,3 +156,16 @@ def test_batches_of_two_order_columns(spark):
     order = [(r["source_rank"], r["pair_id"]) for r in sorted(rows, key=lambda r: r["pos"])]
     assert order == [(s, p) for s in (0, 1) for p in range(200)]
     assert all(r["batch_id"] == r["pos"] // 32 and r["pos_in_batch"] == r["pos"] % 32 for r in rows)
+
+
+def test_a_range_is_never_null(spark):
+    """Else a join by it tests that on every row below the aggregation that the key comes from."""
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "k string")
+    cuts = ordering.cut_keys(df, 2)
+    assert cuts and not df.select(ordering.range_of(df, ["k"], cuts).alias("r")).schema["r"].nullable
+
+
+def test_padded_batches_read_what_was_encoded_once(spark):
+    from precis.plans import catalog
+    plan = catalog._padded(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "collect_list" not in plan
