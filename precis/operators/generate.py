@@ -1,7 +1,7 @@
 """Batch generation: G6 greedy_plain, G7 batch_summarize, X19 error_fallback.
 
-Generation is up to 150 dependent steps, so it is no DataFrame loop: a pandas
-UDF decodes the rows of an Arrow batch together.  Each step scores a matrix
+Generation is up to 150 dependent steps, so it is no DataFrame loop: an Arrow
+UDF decodes the rows of a slice of a batch together.  Each step scores a matrix
 (rows still open x vocabulary), applies the rules G1-G5 to all its rows as
 masks, takes one token per row, and closes the rows that are done.  A row keeps
 a hash of the bigrams it has seen, so the repeat rule costs one look-up.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +32,8 @@ from .encode import _Encoder, decode_ids, pretokens_with_specials
 ERROR_TEXT = "Error during generation"  # fixed value: the text of a failed row
 SOURCE_BONUS = 1.0
 ALPHA = 0.1
-#: cells of the score matrix of one decoding batch
-CELLS = 1 << 22
+#: cells of the score matrix of the rows that are decoded together (a few such matrices are held at a time)
+CELLS = 1 << 19
 
 
 class Scorer:
@@ -167,18 +167,21 @@ def batch_generate(df: DataFrame, model: BpeModel, table: DataFrame, vocab_size:
     merges = spark.sparkContext.broadcast(list(model.merges))  # bounded by the vocabulary
     at_once = max(CELLS // max(vocab_size, 1), 1)
 
-    @F.pandas_udf("gen_ids array<int>, error string")
-    def generated(pieces: pd.Series, blank: pd.Series) -> pd.DataFrame:
+    def part(pieces: pa.Array, blank: pa.Array) -> pa.StructArray:
         encoder, scorer = _open(path, merges.value, vocab_size)
-        sources = [[] if b else encoder.encode(list(p))[:max_length] for p, b in zip(pieces, blank)]
+        sources = [[] if b else encoder.encode(p)[:max_length] for p, b in zip(pieces.to_pylist(), blank.to_pylist())]
         ids, errors = [[] for _ in sources], [None] * len(sources)
         work = [k for k, s in enumerate(sources) if s]
-        for a in range(0, len(work), at_once):
-            some = work[a:a + at_once]
-            got, failed = decode_or_report([sources[k] for k in some], scorer, max_length, rules)
-            for k, i, e in zip(some, got, failed):
-                ids[k], errors[k] = i, e
-        return pd.DataFrame({"gen_ids": ids, "error": errors})
+        got, failed = decode_or_report([sources[k] for k in work], scorer, max_length, rules) if work else ([], [])
+        for k, i, e in zip(work, got, failed):
+            ids[k], errors[k] = i, e
+        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(errors, pa.string())], ["gen_ids", "error"])
+
+    @F.arrow_udf("gen_ids array<int>, error string")
+    def generated(pieces: pa.Array, blank: pa.Array) -> pa.Array:
+        # a batch stays in Arrow: only the rows that are decoded together are Python objects
+        out = [part(pieces.slice(a, at_once), blank.slice(a, at_once)) for a in range(0, len(pieces), at_once)]
+        return pa.concat_arrays(out) if out else part(pieces, blank)
 
     pieces = F.slice(pretokens_with_specials(text), 1, max_length)
     out = df.withColumn("_gen", generated(pieces, is_blank(F.col(text)))).withColumns(

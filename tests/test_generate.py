@@ -115,3 +115,17 @@ def test_generation_runs_in_many_tasks_after_a_limit(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 300
+
+
+def test_a_batch_is_decoded_in_slices_of_bounded_matrices(spark, monkeypatch):
+    from precis.operators import generate as g
+    from precis.operators.bpe import BpeModel, base_tokens
+    model = BpeModel(base_tokens())
+    table = spark.createDataFrame([(a, b, 1 + (a * b) % 7) for a in range(261) for b in range(5, 261, 41)], "prev int, next int, n long")
+    texts = spark.createDataFrame([(k, None if k % 9 == 8 else "mot " * (k % 5)) for k in range(40)], "pair_id long, text string").coalesce(1)
+    got, default = [], g.CELLS
+    for cells in (g.CELLS, 261 * 3):
+        monkeypatch.setattr(g, "CELLS", cells)
+        got.append(sorted(map(tuple, g.batch_generate(texts, model, table, 261, max_length=12).select("pair_id", "gen_ids", "error").collect())))
+    assert got[0] == got[1] and len(got[0]) == 40 and any(ids for _, ids, _ in got[0])
+    assert 8 * default <= 1 << 22  # bytes of a score matrix
