@@ -225,9 +225,9 @@ def train_bpe(corpus: DataFrame, vocab_size: int = 30000, value: str = "value",
     if vocab_size > MAX_SYMBOLS:
         raise ValueError(f"vocab_size must be at most {MAX_SYMBOLS}")
     file = _Written(spark, "words")
-    words = pretoken_counts(corpus, value).select(F.col("n").cast("long").alias("n"), symbol_ids(F.col("pretoken")).alias("ids"))
-    # no filter before this table is written: the ids derive from the grouping
-    # key, so the optimizer would push it below the aggregation
+    words = pretoken_counts(corpus, value).select(F.col("n").cast("long").alias("n"), "pretoken")
+    # no filter before this table is written: one on the grouping key goes
+    # below the aggregation
     state = file.put(blocks(words.repartition(shuffle_partitions(spark))))
     known = known_pairs_of(state, known_pairs)
     tokens = base_tokens()

@@ -20,6 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import BYTE_ALPHABET, SORTED_ALPHABET, SPECIAL_TOKENS
+
+#: byte -> id of its symbol: 5 + rank in the sorted alphabet
+SYMBOL_IDS = np.array([len(SPECIAL_TOKENS) + SORTED_ALPHABET.index(c) for c in BYTE_ALPHABET], np.int32)
 SHIFT = 21
 MAX_SYMBOLS = 1 << SHIFT
 WORDS_PER_BLOCK = 1 << 16
@@ -47,7 +51,8 @@ def pack(left, right):
 
 
 def blocks(words: DataFrame, per_block: int = WORDS_PER_BLOCK) -> DataFrame:
-    """Rows of kind ``BLOCK`` of the words ``n, ids`` (``ids`` array<int>)."""
+    """Rows of kind ``BLOCK`` of the words ``n, pretoken``.  A word's symbols are
+    those of its UTF-8 bytes, looked up for a whole block at once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -60,18 +65,19 @@ def blocks(words: DataFrame, per_block: int = WORDS_PER_BLOCK) -> DataFrame:
         if held:
             yield _block(held)
 
-    return words.select("n", "ids").mapInArrow(run, ROW)
+    return words.select("n", "pretoken").mapInArrow(run, ROW)
 
 
 def _block(batches: list) -> pa.RecordBatch:
     table = pa.Table.from_batches(batches).combine_chunks()
-    ids = table.column(1).combine_chunks()
-    sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    texts = pa.concat_arrays([c.cast(pa.large_string()) for c in table.column(1).chunks])
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    sizes = np.diff(bounds)
     counts = table.column(0).to_numpy().astype(np.int64)
     flat = np.full(int(sizes.sum()) + len(sizes), _END, np.int32)
     inside = np.ones(len(flat), bool)
     inside[np.cumsum(sizes + 1) - 1] = False
-    flat[inside] = ids.flatten().to_numpy()
+    flat[inside] = SYMBOL_IDS[np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0]:bounds[-1]]]
     return _rows(BLOCK, flat, counts)
 
 

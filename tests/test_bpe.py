@@ -259,3 +259,21 @@ def test_pairs_are_taken_from_distinct_words_only(spark):
     found = pair_counts(word_table(pretoken_counts(corpus)))
     assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["c"] for r in found.collect()) == [1, 1, 1, 4]
+
+
+def test_symbols_of_words_are_looked_up_by_byte(spark):
+    from precis.operators import bpe_blocks as bb
+    from precis.operators.bpe import symbol_ids
+    words = spark.createDataFrame([(k + 1, w) for k, w in enumerate(["a", " é", "\0\n", "日本", "", "zz" * 40])], "n long, pretoken string")
+    got = [r for r in bb.blocks(words.coalesce(1)).collect()]
+    ids, counts = (b"".join(bytes(r[c]) for r in got) for c in ("ids", "counts"))
+    import numpy as np
+    words_of, held = [], []
+    for x in np.frombuffer(ids, np.int32).tolist():
+        if x == -1:
+            words_of.append(held)
+            held = []
+        else:
+            held.append(x)
+    assert np.frombuffer(counts, np.int64).tolist() == [1, 2, 3, 4, 5, 6]
+    assert words_of == [r["i"] for r in words.orderBy("n").select(symbol_ids(F.col("pretoken")).alias("i")).collect()]
