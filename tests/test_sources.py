@@ -84,6 +84,63 @@ def test_text_files_written_in_folders_of_bounded_size(spark, folder):
     assert scan_text_files(spark, f"{folder}/none").count() == 0
 
 
+def test_text_files_are_listed_and_read_by_tasks(spark, folder):
+    """The driver holds no file, and tasks do not grow in number with files that are small."""
+    for k in range(600):
+        os.makedirs(f"{folder}/d{k % 7}/deep", exist_ok=True)
+        open(f"{folder}/d{k % 7}/{'deep/' * (k % 2)}{k}.txt", "w").write(f"texte {k}")
+    df = scan_text_files(spark, folder)
+    assert not [f for f in df.inputFiles() if f.endswith(".txt")]
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r["text"] for r in df.collect()) == sorted(f"texte {k}" for k in range(600))
+
+
+def test_text_files_spread_over_tasks_by_number_and_size(spark, folder, monkeypatch):
+    from precis.sources import textfiles
+    for k in range(60):
+        open(f"{folder}/{k}.md", "w").write("x" * 100)
+    for name, most, tasks in (("TASK_FILES", 6, 10), ("TASK_BYTES", 200, 30)):
+        with monkeypatch.context() as m:
+            m.setattr(textfiles, name, most)
+            df = scan_text_files(spark, folder)
+            assert df.rdd.getNumPartitions() == tasks and df.count() == 60
+
+
+def test_text_file_batches_are_bounded(folder):
+    import pyarrow as pa
+    from precis.sources import textfiles
+    names = []
+    for k in range(2500):
+        open(f"{folder}/{k}.txt", "w").write(str(k) if k < 2490 else "x" * 6_000_000)
+        names.append(f"file:{folder}/{k}.txt")
+    given = [pa.RecordBatch.from_arrays([pa.array(names)], ["path"])]
+    read = list(textfiles._contents(iter(given)))
+    assert [p for b in read for p in b["path"].to_pylist()] == names
+    assert [b.num_rows for b in read] == [1000, 1000, 493, 3, 3, 1]
+    listed = [r for b in textfiles._entries([pa.RecordBatch.from_arrays([pa.array([f"file:{folder}"])], ["path"])]) for r in b.to_pylist()]
+    assert sorted(r["path"] for r in listed) == sorted(names) and sum(r["n_bytes"] for r in listed) == 60_000_000 + 8850
+
+
+def test_text_files_are_those_of_the_reader_of_spark(spark, folder):
+    """Hidden, empty and other files, patterns, odd names, links, and a store that tasks cannot open."""
+    for name in ("a.txt", "b.md", "c.csv", "D.TXT", "empty.txt", "_h.txt", "_x=1.txt", ".dot.txt", "_metadata.txt", "sub/deep/e.txt",
+                 "_hid/f.txt", "_k=v/g.txt", ".hid/h.txt", "_metadata/i.txt", "w._COPYING_/j.txt", "sp ace +%25é/k l%20+.txt",
+                 "dir.txt/m.txt", "a.txt.gz", "n\nl.txt"):
+        os.makedirs(os.path.dirname(f"{folder}/{name}"), exist_ok=True)
+        open(f"{folder}/{name}", "w").write("" if name == "empty.txt" else name)
+    os.symlink(f"{folder}/sub", f"{folder}/link")
+    os.makedirs(f"{folder}/nothing")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.texts.link./in", f"file://{folder}")
+    for path, n in ((folder, 10), (f"file://{folder}/", 10), (f"{folder}/_hid", 1), (f"{folder}/_h.txt", 0), (f"{folder}/a.txt", 1),
+                    (f"{folder}/*.txt", 4), (f"{folder}/{{sub,_hid}}", 2), (f"{folder}/sp ace +%25é", 1), (f"{folder}/nothing", 0),
+                    ("viewfs://texts/in", 10)):
+        want = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,md}").option("recursiveFileLookup", "true").load(path)
+        want = sorted((r["path"], bytes(r["content"]).decode(), None, r["length"]) for r in want.collect())
+        assert sorted(map(tuple, scan_text_files(spark, path).collect())) == want and len(want) == n, path
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        scan_text_files(spark, f"{folder}/nope")
+
+
 def test_write_summaries_round_trip(spark, folder):
     df = spark.createDataFrame([(1, "un"), (2, "deux")], "pair_id long, summary string")
     write_summaries(df, f"{folder}/pq")
